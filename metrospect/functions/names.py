@@ -32,7 +32,7 @@ def compact_number(value: Column | str) -> Column:
         F.lpad(F.abs(exponent).cast("string"), 2, "0"),
     )
     return (
-        F.when(x == 0, "0")
+        F.when(x == 0, F.when(x.cast("string").startswith("-"), "-0").otherwise("0"))
         .when((size >= 1e-4) & (size < 999999.5), fixed)
         .otherwise(scientific)
     )

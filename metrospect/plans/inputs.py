@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from metrospect import constants as K
 from metrospect.functions import text as tx
 from metrospect.functions.lexical import with_lexical_metrics
-from metrospect.session import staged
+from metrospect.session import spread, staged
 
 MODELS = ["de", "en", "es", "fr"]
 
@@ -21,14 +21,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """documents for text work, on all cores also when the table is one small file."""
+    return spread(table(spark, sf_dir, "documents"), "doc_id")
+
+
 def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     """documents as raw corpus rows: seq, text and the columns ids come from."""
-    return table(spark, sf_dir, "documents").withColumnRenamed("doc_id", "seq")
+    return documents(spark, sf_dir).withColumnRenamed("doc_id", "seq")
 
 
 def document_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """id, task, language, length, split and the seven metrics of every document; narrow."""
-    docs = table(spark, sf_dir, "documents").withColumn("sha256", tx.sha256_hex("text"))
+    docs = documents(spark, sf_dir).withColumn("sha256", tx.sha256_hex("text"))
     return with_lexical_metrics(docs, "text").select(
         F.col("doc_id").alias("id"),
         F.col("source").alias("task_id"),
@@ -132,6 +137,6 @@ def programs(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.lit("y = "), body, F.lit("\n"),
         )
     )
-    return table(spark, sf_dir, "documents").select(
+    return documents(spark, sf_dir).select(
         F.col("doc_id").alias("id"), "lang", program.alias("source")
     )

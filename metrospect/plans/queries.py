@@ -353,12 +353,12 @@ def probe_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _scalar_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Probe results of two one-feature models: the sum and the sum of squares of each vector."""
+    """Probe results of two one-feature models: the sum of a vector and the sum of its positive part."""
     metrics = _flagged_metrics(spark, sf_dir)
     rows = I.vectors(spark, sf_dir)
     features = {
         "signed": F.aggregate("vec", F.lit(0.0), lambda a, x: a + x),
-        "squared": F.aggregate("vec", F.lit(0.0), lambda a, x: a + x * x),
+        "positive": F.aggregate("vec", F.lit(0.0), lambda a, x: a + F.greatest(x, F.lit(0.0))),
     }
     scored = []
     for model, feature in features.items():
@@ -677,7 +677,7 @@ def alpha_legend(spark: SparkSession, sf_dir: str) -> DataFrame:
 def jsonl_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sample records with nested metrics written as JSON lines and scanned again; records without
     metrics drop out and a missing generation id becomes 0."""
-    measured = with_lexical_metrics(I.table(spark, sf_dir, "documents"), "text")
+    measured = with_lexical_metrics(I.documents(spark, sf_dir), "text")
     labels = I.table(spark, sf_dir, "labels").select("doc_id", "quality")
     shaped = measured.join(labels, "doc_id", "left").select(
         F.concat(F.lit("task-"), F.col("doc_id")).alias("task_id"),

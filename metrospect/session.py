@@ -60,3 +60,13 @@ def staged(df: DataFrame, label: str, partition_by: tuple[str, ...] = ()) -> Dat
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def spread(scan: DataFrame, key: str) -> DataFrame:
+    """Give a scan with fewer splits than cores one partition per core, before heavy text work.
+
+    A large table has more splits than cores and passes through untouched, so texts are never shuffled
+    there; a table of one small file would otherwise be measured by a single task.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan if scan.rdd.getNumPartitions() >= cores else scan.repartition(cores, key)
