@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from metrospect import constants as K
 
 # Tokens, decision words, coefficients of the maintainability index.
-WORD = r"[\p{L}\p{N}_]+"
+BETWEEN_WORDS = r"[^\p{L}\p{N}_]+"
 MARK = r"[^\p{L}\p{N}_ \t\n\r\f\x0B]"
 CODE_LINE = r"^[ \t\r\f\x0B]*[^# \t\r\f\x0B]"
 DECISIONS = ["if", "elif", "for", "while", "except", "and", "or", "case", "assert"]
@@ -41,7 +41,7 @@ def with_lexical_metrics(df: DataFrame, source: str = "source") -> DataFrame:
     text = F.col(source)
     arrays = df.withColumns(
         {
-            "_words": F.regexp_extract_all(text, F.lit(WORD), F.lit(0)),
+            "_words": F.array_remove(F.split(text, BETWEEN_WORDS), ""),
             "_marks": F.regexp_extract_all(text, F.lit(MARK), F.lit(0)),
             "_lines": F.split(text, "\n"),
         }

@@ -25,20 +25,26 @@ FUNCTIONS = (ast.FunctionDef, ast.AsyncFunctionDef)
 SCOPES = (*FUNCTIONS, ast.ClassDef)
 
 
+def parse(source: str) -> tuple[ast.Module, bool]:
+    """Syntax tree of a text and whether the parser had no warning about it."""
+    with warnings.catch_warnings(record=True) as caught:
+        warnings.simplefilter("always")
+        tree = ast.parse(source)
+    return tree, not caught
+
+
 def parses_cleanly(source: str) -> bool:
     """True when the text parses and the parser has no warning about it."""
-    with warnings.catch_warnings():
-        warnings.simplefilter("error")
-        try:
-            ast.parse(source)
-        except Exception:
-            return False
-    return True
+    try:
+        return parse(source)[1]
+    except Exception:
+        return False
 
 
-def as_function(source: str) -> str:
+def as_function(source: str, tree: ast.Module | None = None) -> str:
     """Put a module without a top-level function into one function."""
-    if any(isinstance(node, FUNCTIONS) for node in ast.parse(source).body):
+    tree = tree or parse(source)[0]
+    if any(isinstance(node, FUNCTIONS) for node in tree.body):
         return source
     return "def _module():\n" + textwrap.indent(source, "    ") + "\n"
 
@@ -140,25 +146,31 @@ def _halstead(tree: ast.AST) -> tuple[int, int, int, int]:
     return len(set(operators)), len(set(operands)), len(operators), len(operands)
 
 
-def _line_counts(source: str) -> dict[str, int]:
-    """Physical lines, source lines, comment tokens, lines of free-standing strings, logical lines."""
+def _comment_lines(source: str, lines: list[str]) -> tuple[int, set[int]]:
+    """Number of comments and the lines that hold nothing else."""
+    if "'" not in source and '"' not in source:
+        # Without strings every '#' starts a comment, so the tokenizer is not needed.
+        starts = [(i, line.find("#"), line) for i, line in enumerate(lines, 1) if "#" in line]
+    else:
+        tokens = tokenize.generate_tokens(io.StringIO(source).readline)
+        starts = [(*t.start, t.line) for t in tokens if t.type == tokenize.COMMENT]
+    return len(starts), {i for i, column, line in starts if not line[:column].strip()}
+
+
+def _line_counts(source: str, tree: ast.Module) -> dict[str, int]:
+    """Physical lines, source lines, comments, lines of free-standing strings, logical lines."""
     lines = source.splitlines()
-    tree = ast.parse(source)
-    docs = [
-        n for n in ast.walk(tree)
-        if isinstance(n, ast.Expr) and isinstance(n.value, ast.Constant)
-        and isinstance(n.value.value, str)
-    ]
+    statements, docs = 0, []
+    for node in ast.walk(tree):
+        statements += isinstance(node, (ast.stmt, ast.ExceptHandler, ast.match_case))
+        if isinstance(node, ast.Expr) and isinstance(node.value, ast.Constant):
+            if isinstance(node.value.value, str):
+                docs.append(node)
     multi_lines = {
         i for n in docs if n.end_lineno > n.lineno for i in range(n.lineno, n.end_lineno + 1)
     }
     single_docs = {n.lineno for n in docs if n.end_lineno == n.lineno}
-    comments, comment_only = 0, set()
-    for token in tokenize.generate_tokens(io.StringIO(source).readline):
-        if token.type == tokenize.COMMENT:
-            comments += 1
-            if not token.line[: token.start[1]].strip():
-                comment_only.add(token.start[0])
+    comments, comment_only = _comment_lines(source, lines)
     blank = {i for i, line in enumerate(lines, 1) if not line.strip()} - multi_lines
     singles = (comment_only | single_docs) - multi_lines
     return {
@@ -166,20 +178,23 @@ def _line_counts(source: str) -> dict[str, int]:
         "sloc": len(lines) - len(blank) - len(multi_lines) - len(singles),
         "comments": comments,
         "multi": len(multi_lines),
-        "lloc": sum(
-            isinstance(n, (ast.stmt, ast.ExceptHandler, ast.match_case)) for n in ast.walk(tree)
-        ),
+        "lloc": statements,
     }
 
 
-def python_metrics(source: str) -> dict[str, float]:
+def python_metrics(source: str, tree: ast.Module | None = None) -> dict[str, float]:
     """The seven metrics of one source text; any exception means the text has none."""
-    wrapped = as_function(source)
-    tree = ast.parse(wrapped)
+    outer = tree or parse(source)[0]
+    wrapped = as_function(source, outer)
+    raw = _line_counts(source, outer)
+    if wrapped is source:
+        tree, inner = outer, raw
+    else:
+        tree = parse(wrapped)[0]
+        inner = _line_counts(wrapped, tree)
     n1, n2, big_n1, big_n2 = _halstead(tree)
     volume = (big_n1 + big_n2) * math.log2(n1 + n2) if n1 + n2 else 0.0
     difficulty = n1 / 2 * big_n2 / n2 if n2 else 0.0
-    raw, inner = _line_counts(source), _line_counts(wrapped)
     if volume <= 0 or inner["lloc"] <= 0:
         mi = 100.0
     else:
@@ -203,13 +218,10 @@ def python_metrics(source: str) -> dict[str, float]:
 
 def _annotate(source: str | None) -> dict:
     empty = dict.fromkeys(K.METRICS)
-    if source is None:
-        return empty | {"valid": False, "metrics_error": "TypeError"}
-    valid = parses_cleanly(source)
+    valid = False
     try:
-        with warnings.catch_warnings():
-            warnings.simplefilter("ignore")
-            return python_metrics(source) | {"valid": valid, "metrics_error": None}
+        tree, valid = parse(source)
+        return python_metrics(source, tree) | {"valid": valid, "metrics_error": None}
     except Exception as failure:
         return empty | {"valid": valid, "metrics_error": type(failure).__name__}
 

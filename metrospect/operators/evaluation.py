@@ -137,7 +137,7 @@ def task_means(samples: DataFrame, metrics: list[str] = K.METRICS) -> DataFrame:
 
 def metric_deltas(
     base: DataFrame, steered: DataFrame, metrics: list[str] = K.METRICS,
-    by: tuple[str, ...] = (), steered_by: tuple[str, ...] = (),
+    by: tuple[str, ...] = (), steered_by: tuple[str, ...] = (), medians: bool = True,
 ) -> DataFrame:
     """Change of each metric between two runs, over tasks that both have.
 
@@ -172,10 +172,19 @@ def metric_deltas(
         F.avg("delta").alias("_delta"),
         F.count("delta").alias("n"),
     )
-    pct = quantiles(tasks, keys, "pct", {"median_pct_delta": 0.5})
-    middle = quantiles(tasks, keys, "delta", {"_median_delta": 0.5})
     over = lambda c: F.try_divide(F.col(c), F.col("_base")) * 100
-    return sums.join(pct, keys, "left").join(middle, keys, "left").select(
+    if not medians:
+        return sums.select(
+            *keys, "mean_pct_delta", "std_pct_delta",
+            over("_delta").alias("mean_delta_over_base_mean_pct"), "n",
+        )
+    either = tasks.unpivot(keys, ["pct", "delta"], "kind", "change")
+    middle = quantiles(either, [*keys, "kind"], "change", {"median": 0.5})
+    wide = middle.groupBy(*keys).agg(
+        F.max(F.when(F.col("kind") == "pct", F.col("median"))).alias("median_pct_delta"),
+        F.max(F.when(F.col("kind") == "delta", F.col("median"))).alias("_median_delta"),
+    )
+    return sums.join(wide, keys, "left").select(
         *keys, "mean_pct_delta", "median_pct_delta", "std_pct_delta",
         over("_delta").alias("mean_delta_over_base_mean_pct"),
         over("_median_delta").alias("median_delta_over_base_mean_pct"), "n",

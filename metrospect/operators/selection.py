@@ -78,16 +78,38 @@ def tail_bands(long: DataFrame, low: float = 0.05, high: float = 0.95) -> DataFr
     )
 
 
-def _value_cuts(long: DataFrame, p: float) -> DataFrame:
+def _interior(cumulative: DataFrame) -> DataFrame:
+    """Cumulative counts without the smallest and the largest value of each metric."""
+    n, before, total = F.col("n"), F.col("before"), F.col("total")
+    first, last = before == 0, before + n == total
+    edges = cumulative.groupBy("metric").agg(
+        F.max(F.when(first, n)).alias("_low_n"),
+        F.max(F.when(last, n)).alias("_high_n"),
+    )
+    return (
+        cumulative.where(~first & ~last)
+        .join(F.broadcast(edges), "metric")
+        .select(
+            "metric", "value", "n", (before - F.col("_low_n")).alias("before"),
+            (total - F.col("_low_n") - F.col("_high_n")).alias("total"),
+        )
+    )
+
+
+def _value_cuts(long: DataFrame, p: float, only_inside: bool) -> DataFrame:
     """Per metric: k, the value where each side ends and how many ties of it are still needed."""
     n, before, total = F.col("n"), F.col("before"), F.col("total")
     k = F.greatest(F.lit(1), F.floor(total * F.lit(float(p)) / 100.0))
     above = total - before - n
     low_end = (before < k) & (before + n >= k)
     high_end = (above < k) & (above + n >= k)
-    return cumulative_counts(long, ["metric"], "value").groupBy("metric").agg(
+    cumulative = cumulative_counts(long, ["metric"], "value")
+    rows = _interior(cumulative) if only_inside else cumulative
+    return rows.groupBy("metric").agg(
         F.max(total).alias("total"),
         F.max(k).alias("k"),
+        F.min("value").alias("least"),
+        F.max("value").alias("most"),
         F.max(F.when(low_end, F.col("value"))).alias("low_value"),
         F.max(F.when(low_end, k - before)).alias("low_need"),
         F.max(F.when(high_end, F.col("value"))).alias("high_value"),
@@ -95,14 +117,15 @@ def _value_cuts(long: DataFrame, p: float) -> DataFrame:
     )
 
 
-def top_bottom(long: DataFrame, record: str, p: float) -> DataFrame:
+def top_bottom(long: DataFrame, record: str, p: float, only_inside: bool = False) -> DataFrame:
     """Flag the top and bottom k = max(1, int(n * p / 100)) rows of each metric.
 
-    Order is (value, record), record a unique number. The ends are found from value counts, then from
-    record counts among the rows tied at an end; the selection itself is a filter, so neither a hot
-    value nor the seven metric keys limit the parallelism. Both flags may hold for one row.
+    Order is (value, record), record a unique number; only_inside leaves out the rows at the minimum
+    and maximum of their metric. The ends are found from value counts, then from record counts among
+    the rows tied at an end; the selection itself is a filter, so neither a hot value nor the seven
+    metric keys limit the parallelism. Both flags may hold for one row.
     """
-    cuts = staged(_value_cuts(long, p), "cuts")
+    cuts = staged(_value_cuts(long, p, only_inside), "cuts")
     value, need = F.col("value"), F.col("_need")
     ends = F.array(
         F.struct(F.lit("low").alias("end"), F.col("low_value").alias("at"),
@@ -133,6 +156,7 @@ def top_bottom(long: DataFrame, record: str, p: float) -> DataFrame:
     )
     return (
         long.join(F.broadcast(full), "metric")
+        .where(value.between(F.col("least"), F.col("most")))
         .withColumns({"is_top": top, "is_bottom": bottom})
         .where(F.col("is_top") | F.col("is_bottom"))
         .select(*long.columns, "k", "total", "is_top", "is_bottom")

@@ -31,9 +31,17 @@ def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     return documents(spark, sf_dir).withColumnRenamed("doc_id", "seq")
 
 
-def document_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """id, task, language, length, split and the seven metrics of every document; narrow."""
-    docs = documents(spark, sf_dir).withColumn("sha256", tx.sha256_hex("text"))
+def document_metrics(
+    spark: SparkSession, sf_dir: str, only: DataFrame | None = None
+) -> DataFrame:
+    """id, task, language, length, split and the seven metrics of every document; narrow.
+
+    only may hold the ids that matter, so that other texts are not measured.
+    """
+    docs = documents(spark, sf_dir)
+    if only is not None:
+        docs = docs.join(only.withColumnRenamed("id", "doc_id"), "doc_id", "left_semi")
+    docs = docs.withColumn("sha256", tx.sha256_hex("text"))
     return with_lexical_metrics(docs, "text").select(
         F.col("doc_id").alias("id"),
         F.col("source").alias("task_id"),

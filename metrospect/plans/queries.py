@@ -257,9 +257,8 @@ def shifted_log(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _selected(metrics: DataFrame) -> DataFrame:
     """Top and bottom rows of the interior of each metric among the training documents."""
     train = metrics.where(F.col("split") == "train")
-    flagged = selection.with_inside_flags(train)
-    long = staged(selection.long_metrics(flagged, ["id"], only_inside=True), "interior")
-    return selection.top_bottom(long, "id", PERCENT)
+    long = selection.long_metrics(train, ["id"]).where(F.col("value").isNotNull())
+    return selection.top_bottom(long, "id", PERCENT, only_inside=True)
 
 
 @query
@@ -280,9 +279,7 @@ def _contrast(spark: SparkSession, sf_dir: str) -> DataFrame:
         pooling.drop_zero_vectors(I.vectors(spark, sf_dir)), "vectors", ("layer", "pool")
     )
     present = rows.where((F.col("layer") == 1) & (F.col("pool") == "mean")).select("id")
-    metrics = staged(
-        I.document_metrics(spark, sf_dir).join(present, "id", "left_semi"), "vector-metrics"
-    )
+    metrics = staged(I.document_metrics(spark, sf_dir, only=present), "vector-metrics")
     return contrast.contrast_vectors(_selected(metrics), rows)
 
 
@@ -606,7 +603,8 @@ def _summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     rows = staged(I.samples(spark, sf_dir), "samples")
     deltas = evaluation.metric_deltas(
-        rows, rows.where(F.col("alpha").isNotNull()), K.REPORT_METRICS, ("model",), ("alpha",)
+        rows, rows.where(F.col("alpha").isNotNull()), K.REPORT_METRICS, ("model",), ("alpha",),
+        medians=False,
     )
     steered = deltas.join(rates, ["model", "alpha"]).select(
         "model", "metric", "alpha", "pass", "mean_pct_delta", "std_pct_delta"
