@@ -15,7 +15,10 @@ def _plain(text: Column) -> Column:
 
 
 def compact_number(value: Column | str) -> Column:
-    """Six significant digits without trailing zeros, as the C format %g prints a number."""
+    """Six significant digits without trailing zeros, as the C format %g prints a number.
+
+    Rounding looks at the shortest decimal form of the number, halves go to the even digit.
+    """
     x = col(value).cast("double")
     size = F.abs(x)
     exact = x.cast("decimal(38,18)")

@@ -38,7 +38,10 @@ def length_batches(df: DataFrame, length: str, record: str, batch_size: int) ->
 
     Position = rows with a shorter length + place among equal lengths; neither part sorts globally.
     """
-    shorter = cumulative_counts(df, [], length).select(length, F.col("before").alias("start"))
+    lengths = df.select(F.col(length).alias("_length"))
+    shorter = cumulative_counts(lengths, [], "_length").select(
+        F.col("_length").alias(length), F.col("before").alias("start")
+    )
     placed = row_number_within(df, [length], record, "_place", starts=shorter)
     return (
         placed.withColumn("position", F.col("_place") - 1)

@@ -9,13 +9,15 @@ from pyspark.sql import functions as F
 
 from metrospect import constants as K
 from metrospect.functions.vectors import cosine, mean_vector, norm, principal_angle, subtract
+from metrospect.session import broadcast_if_small
 
 
 def contrast_vectors(selected: DataFrame, vectors: DataFrame, record: str = "id") -> DataFrame:
     """mean(top) - mean(bottom) per metric, layer and pool.
 
     Each record carries its few (metric, side) memberships as one array, so a vector is joined once
-    and fanned out only inside the task that adds it to its partial sums.
+    and fanned out only inside the task that adds it to its partial sums. A small membership table is
+    broadcast, so the vectors are summed where they lie.
     """
     side = F.array_compact(
         F.array(
@@ -26,7 +28,7 @@ def contrast_vectors(selected: DataFrame, vectors: DataFrame, record: str = "id"
     # Bounded array: at most two sides for each metric of the fixed list.
     member = selected.groupBy(record).agg(F.flatten(F.collect_list(side)).alias("sides"))
     sums = (
-        vectors.join(member, record)
+        vectors.join(broadcast_if_small(member, "members"), record)
         .withColumn("s", F.explode("sides"))
         .groupBy(F.col("s.metric").alias("metric"), "layer", "pool", F.col("s.side").alias("side"))
         .agg(mean_vector("vec").alias("vec"))

@@ -85,21 +85,21 @@ def to_curated(df: DataFrame, *ids: Column | str) -> DataFrame:
 
 
 def curate(
-    df: DataFrame, source: Column, seq: str, *ids: Column | str, profile: str = "lexical",
+    df: DataFrame, source: Column, seq: str, *ids: str, profile: str = "lexical",
     min_chars: int = K.MIN_CHARS, max_chars: int = K.MAX_CHARS,
 ) -> DataFrame:
-    """The whole cascade in batch. Cheap checks and dedup run before the metrics where the order of
-    drop reasons does not need them: a lexical text is measured only after it has survived."""
-    keep = ["source", "sha256", seq, *[c for c in ids if isinstance(c, str)]]
+    """The whole cascade in batch; ids are the columns of the id fallback chain.
+
+    A lexical text is measured only after it has survived the cheap checks and dedup.
+    """
+    base = df.withColumn("source", source).select(*dict.fromkeys(["source", seq, *ids]))
     if profile == "lexical":
-        base = df.withColumn("source", source)
         fit = base.where(lexically_valid("source") & tx.length_ok("source", min_chars, max_chars))
         hashed = fit.withColumn("sha256", tx.sha256_hex("source"))
-        unique = first_seen(hashed.select(*dict.fromkeys(keep)), "sha256", seq)
-        measured = with_lexical_metrics(unique)
+        measured = with_lexical_metrics(first_seen(hashed, "sha256", seq))
     else:
         ready = prepare(
-            df, source, seq, profile=profile, min_chars=min_chars, max_chars=max_chars
+            base, F.col("source"), seq, profile=profile, min_chars=min_chars, max_chars=max_chars
         ).where(F.col("early_reason").isNull())
         measured = first_seen(ready, "sha256", seq)
     return to_curated(measured.where(F.col("metrics_error").isNull()), *ids)

@@ -19,6 +19,7 @@ from pyspark.sql import types as T
 
 from metrospect import constants as K
 from metrospect.functions.vectors import dot, has_signal, norm
+from metrospect.session import broadcast_if_small
 
 KEYS = ["layer", "pool", "metric", "part"]
 MAX_GRAM_WIDTH = 1024
@@ -167,13 +168,14 @@ def probe_sweep(
     """Every (layer, pool, metric) probe in one job.
 
     labelled: record, split, metrics and <metric>_inside flags. Rows count for a probe when the vector
-    is not zero, the split is train or test and the metric is strictly inside its limits.
+    is not zero, the split is train or test and the metric is strictly inside its limits. A small
+    target table is broadcast, so the vectors are not shuffled.
     """
     targets = [F.when(F.col(f"{m}_inside"), F.col(m)).alias(m) for m in metrics]
     wanted = labelled.where(F.col("split").isin("train", "test")).select(
         record, F.col("split").alias("part"), *targets
     )
-    rows = vectors.where(has_signal("vec")).join(wanted, record)
+    rows = vectors.where(has_signal("vec")).join(broadcast_if_small(wanted, "targets"), record)
     return fit_probes(second_moments(rows, metrics), alpha)
 
 

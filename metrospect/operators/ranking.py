@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from metrospect.session import staged
+from metrospect.session import staged_counted
 
 BLOCK_ROWS = 1 << 16
 SKETCH_ACCURACY = 10_000
@@ -64,8 +64,8 @@ def cumulative_counts(
     for key in keys:
         present &= F.col(key).isNotNull()
     collapsed = df.where(present).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("n"))
-    counts = staged(collapsed, "counts")
-    if counts.count() <= one_sort_rows:
+    counts, rows = staged_counted(collapsed, "counts")
+    if rows <= one_sort_rows:
         smaller = W.partitionBy(*keys).orderBy(value).rowsBetween(W.unboundedPreceding, -1)
         return counts.select(
             *keys, value, "n",

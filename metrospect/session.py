@@ -5,7 +5,11 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
+
+# A narrow table of this many rows (below 200 MB) may be broadcast.
+BROADCAST_ROWS = 2_000_000
 
 
 def local_session(cores: int | str = "*", app: str = "metrospect", **conf: str) -> SparkSession:
@@ -62,6 +66,23 @@ def staged(df: DataFrame, label: str, partition_by: tuple[str, ...] = ()) -> Dat
     return spark.read.schema(df.schema).parquet(path)
 
 
+def staged_counted(df: DataFrame, label: str) -> tuple[DataFrame, int]:
+    """staged, and the number of rows, counted while they are written."""
+    seen = Observation()
+    table = staged(df.observe(seen, F.count(F.lit(1)).alias("rows")), label)
+    return table, int(seen.get["rows"])
+
+
+def broadcast_if_small(df: DataFrame, label: str, max_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """Stage a narrow table and mark it for broadcast only when its counted rows allow it.
+
+    Saves the shuffle of a wide table on the other side of a join; beyond max_rows the planner joins
+    by shuffle as usual.
+    """
+    table, rows = staged_counted(df, label)
+    return F.broadcast(table) if rows <= max_rows else table
+
+
 def spread(scan: DataFrame, key: str) -> DataFrame:
     """Give a scan with fewer splits than cores one partition per core, before heavy text work.
 
