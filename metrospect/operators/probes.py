@@ -19,7 +19,8 @@ from pyspark.sql import types as T
 
 from metrospect import constants as K
 from metrospect.functions.vectors import dot, has_signal, norm
-from metrospect.session import broadcast_if_small
+from metrospect.operators.wide_probes import fit_wide_probes, wide_axes
+from metrospect.session import broadcast_if_small, staged
 
 KEYS = ["layer", "pool", "metric", "part"]
 MAX_GRAM_WIDTH = 1024
@@ -49,7 +50,7 @@ def _matrix(column: pa.Array) -> np.ndarray:
     flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
     x = flat.reshape(len(column), -1) if len(column) else flat.reshape(0, 0)
     if x.shape[1] > MAX_GRAM_WIDTH:
-        raise ValueError(f"vectors of width {x.shape[1]}: use fit_wide_probe beyond {MAX_GRAM_WIDTH}")
+        raise ValueError(f"width {x.shape[1]} needs wide_probes, beyond {MAX_GRAM_WIDTH}")
     return x
 
 
@@ -79,12 +80,19 @@ def _collect_sums(metrics: list[str]) -> Callable:
                 for m in metrics
             }
             for (layer, pool, part), index in cells.groupby(["layer", "pool", "part"]).indices.items():
+                whole = x[index]
+                gram = whole.T @ whole
                 for m in metrics:
-                    rows = index[~np.isnan(targets[m][index])]
-                    if not len(rows):
+                    absent = np.isnan(targets[m][index])
+                    if absent.all():
                         continue
-                    xs, y = x[rows], targets[m][rows]
-                    sums = [len(rows), y.sum(), y @ y, xs.sum(0), xs.T @ y, np.ravel(xs.T @ xs)]
+                    xs, y = whole[~absent], targets[m][index][~absent]
+                    if 2 * absent.sum() < len(index):
+                        # Most rows count: take the few others off the sum all metrics share.
+                        square = gram - whole[absent].T @ whole[absent]
+                    else:
+                        square = xs.T @ xs
+                    sums = [len(y), y.sum(), y @ y, xs.sum(0), xs.T @ y, np.ravel(square)]
                     _add(store, (int(layer), pool, m, part), sums)
         yield from _emit(store, TaskContext.get().partitionId() % SALTS)
 
@@ -161,45 +169,35 @@ def fit_probes(moments: DataFrame, alpha: float = K.RIDGE_ALPHA) -> DataFrame:
     return moments.groupBy("layer", "pool", "metric").applyInPandas(_solver(alpha), RESULT_SCHEMA)
 
 
+def _width(vectors: DataFrame) -> int:
+    first = vectors.select(F.size("vec").alias("width")).first()
+    return first["width"] if first else 0
+
+
 def probe_sweep(
     vectors: DataFrame, labelled: DataFrame, record: str = "id",
-    metrics: list[str] = K.METRICS, alpha: float = K.RIDGE_ALPHA,
+    metrics: list[str] = K.METRICS, alpha: float = K.RIDGE_ALPHA, max_gram: int = MAX_GRAM_WIDTH,
 ) -> DataFrame:
-    """Every (layer, pool, metric) probe in one job.
+    """Every (layer, pool, metric) probe together.
 
     labelled: record, split, metrics and <metric>_inside flags. Rows count for a probe when the vector
     is not zero, the split is train or test and the metric is strictly inside its limits. A small
-    target table is broadcast, so the vectors are not shuffled.
+    target table is broadcast, so the vectors are not shuffled. Vectors up to max_gram wide need one
+    pass; wider ones are fitted by iteration over staged rows.
     """
-    targets = [F.when(F.col(f"{m}_inside"), F.col(m)).alias(m) for m in metrics]
+    targets = [
+        F.when(F.col(f"{m}_inside"), F.col(m)).cast("double").alias(m) for m in metrics
+    ]
     wanted = labelled.where(F.col("split").isin("train", "test")).select(
         record, F.col("split").alias("part"), *targets
     )
     rows = vectors.where(has_signal("vec")).join(broadcast_if_small(wanted, "targets"), record)
-    return fit_probes(second_moments(rows, metrics), alpha)
-
-
-def fit_wide_probe(
-    train: DataFrame, test: DataFrame, target: str, alpha: float = K.RIDGE_ALPHA
-) -> dict[str, float]:
-    """One probe by iterative least squares, for vectors too wide for d x d sums.
-
-    train and test have an ML vector column `features`, already standardised by the train rows.
-    """
-    from pyspark.ml.evaluation import RegressionEvaluator
-    from pyspark.ml.regression import LinearRegression
-
-    spread = train.agg(F.count(F.lit(1)), F.stddev_samp(target)).first()
-    model = LinearRegression(
-        featuresCol="features", labelCol=target, solver="l-bfgs", elasticNetParam=0.0,
-        regParam=alpha * spread[1] / spread[0], standardization=False, tol=1e-9, maxIter=500,
-    ).fit(train)
-    score = RegressionEvaluator(labelCol=target, metricName="r2")
-    return {
-        "r2_train": score.evaluate(model.transform(train)),
-        "r2_test": score.evaluate(model.transform(test)),
-        "intercept": model.intercept,
-    }
+    if _width(vectors) <= max_gram:
+        return fit_probes(second_moments(rows, metrics), alpha)
+    fixed = staged(rows, "probe-rows", ("layer", "pool"))
+    return vectors.sparkSession.createDataFrame(
+        fit_wide_probes(fixed, metrics, alpha), RESULT_SCHEMA
+    )
 
 
 AXES_SCHEMA = "layer int, pool string, n long, mean array<double>, axes array<array<double>>"
@@ -223,8 +221,15 @@ def _axes(count: int) -> Callable:
     return run
 
 
-def principal_axes(vectors: DataFrame, count: int = 2) -> DataFrame:
-    """Mean and leading principal axes of every layer and pool; an axis' largest loading is positive."""
+def principal_axes(
+    vectors: DataFrame, count: int = 2, max_gram: int = MAX_GRAM_WIDTH
+) -> DataFrame:
+    """Mean and leading principal axes of every layer and pool; an axis' largest loading is positive.
+
+    Stage vectors beyond max_gram wide: the iteration reads them once per step.
+    """
+    if _width(vectors) > max_gram:
+        return vectors.sparkSession.createDataFrame(wide_axes(vectors, count), AXES_SCHEMA)
     rows = vectors.withColumn("part", F.lit("all")).withColumn("one", F.lit(1.0))
     sums = second_moments(rows, ["one"])
     return sums.groupBy("layer", "pool").applyInPandas(_axes(count), AXES_SCHEMA)

@@ -1,0 +1,225 @@
+"""Ridge probes and principal axes of vectors too wide for d x d sums.
+
+Each pass over the vectors multiplies them with a few directions per (layer, pool) and brings back sums
+of width d. The driver holds only those: the grid of the model times d, whatever the number of rows.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from metrospect import constants as K
+
+Cell = tuple[int, str]
+Key = tuple[int, str, str]
+SUM_SCHEMA = "layer int, pool string, name string, sums array<double>"
+_ARROW = pa.schema(
+    [("layer", pa.int32()), ("pool", pa.string()), ("name", pa.string()),
+     ("sums", pa.list_(pa.float64()))]
+)
+
+
+def _by_cell(batches: Iterator[pa.RecordBatch], columns: list[str]) -> Iterator[tuple]:
+    """(cell, part, vectors, target columns) for the rows of each cell and part of each batch."""
+    for batch in batches:
+        n = batch.num_rows
+        if not n:
+            continue
+        flat = batch.column("vec").flatten().to_numpy(zero_copy_only=False)
+        x = flat.astype(np.float64).reshape(n, -1)
+        y = {c: batch.column(c).to_numpy(zero_copy_only=False).astype(np.float64) for c in columns}
+        cells = batch.select(["layer", "pool", "part"]).to_pandas()
+        for (layer, pool, part), i in cells.groupby(["layer", "pool", "part"]).indices.items():
+            yield (int(layer), pool), part, x[i], {c: y[c][i] for c in columns}
+
+
+def _pass(rows: DataFrame, columns: list[str], add: Callable) -> dict[Key, np.ndarray]:
+    """Run add over every cell of every task, sum its named vectors in Spark and return the sums."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store: dict[Key, np.ndarray] = {}
+        for cell, part, x, y in _by_cell(batches, columns):
+            for name, sums in add(cell, part, x, y):
+                key = (*cell, name)
+                store[key] = store[key] + sums if key in store else sums
+        for (layer, pool, name), sums in store.items():
+            row = {"layer": [layer], "pool": [pool], "name": [name], "sums": [sums]}
+            yield pa.RecordBatch.from_pydict(row, schema=_ARROW)
+
+    lean = rows.select("layer", "pool", "part", "vec", *columns)
+    partial = lean.mapInArrow(run, SUM_SCHEMA)
+    total = vector_to_array(Summarizer.sum(array_to_vector("sums"))).alias("sums")
+    found = partial.groupBy("layer", "pool", "name").agg(total)
+    return {(r["layer"], r["pool"], r["name"]): np.asarray(r["sums"]) for r in found.collect()}
+
+
+def _moments(rows: DataFrame, columns: list[str]) -> dict[Key, np.ndarray]:
+    """Per cell, column and part: n, Σy, Σy² and the vectors Σx, Σx², Σxy in one array."""
+
+    def add(cell: Cell, part: str, x: np.ndarray, y: dict) -> Iterator[tuple[str, np.ndarray]]:
+        for c in columns:
+            keep = ~np.isnan(y[c])
+            xs, ys = x[keep], y[c][keep]
+            head = [len(ys), ys.sum(), ys @ ys]
+            yield f"{c}/{part}", np.concatenate([head, xs.sum(0), (xs**2).sum(0), ys @ xs])
+
+    return _pass(rows, columns, add)
+
+
+def _products(
+    rows: DataFrame, columns: list[str], part: str,
+    directions: dict[Cell, tuple[list[str], np.ndarray, np.ndarray]],
+) -> dict[Key, np.ndarray]:
+    """Xᵀ(Xv - c) for every direction v of every cell, over the rows of part its column counts."""
+    shared = rows.sparkSession.sparkContext.broadcast(directions)
+
+    def add(cell: Cell, rows_part: str, x: np.ndarray, y: dict) -> Iterator[tuple[str, np.ndarray]]:
+        if rows_part != part or cell not in shared.value:
+            return
+        names, v, c = shared.value[cell]
+        u = x @ v - c
+        for j, name in enumerate(names):
+            u[np.isnan(y[name.split("/")[0]]), j] = 0.0
+        sums = x.T @ u
+        for j, name in enumerate(names):
+            yield name, sums[:, j]
+
+    found = _pass(rows, columns, add)
+    shared.unpersist()
+    return found
+
+
+def _scores(rows: DataFrame, metrics: list[str], models: dict[Key, tuple[np.ndarray, float]]) -> dict:
+    """Squared error of every fitted model on each part."""
+    shared = rows.sparkSession.sparkContext.broadcast(models)
+
+    def add(cell: Cell, part: str, x: np.ndarray, y: dict) -> Iterator[tuple[str, np.ndarray]]:
+        for m in metrics:
+            if (*cell, m) in shared.value:
+                slope, offset = shared.value[(*cell, m)]
+                keep = ~np.isnan(y[m])
+                error = y[m][keep] - x[keep] @ slope - offset
+                yield f"{m}/{part}", np.array([error @ error])
+
+    found = _pass(rows, metrics, add)
+    shared.unpersist()
+    return found
+
+
+def fit_wide_probes(
+    rows: DataFrame, metrics: list[str], alpha: float = K.RIDGE_ALPHA,
+    tolerance: float = 1e-7, max_passes: int = 500,
+) -> list[tuple]:
+    """All ridge probes at once by conjugate gradients: one pass over the rows per step.
+
+    rows: layer, pool, part (train or test), vec and a column per metric, NULL where a row does not
+    count; stage it, it is read once per step. Returns rows of the probe result schema.
+    """
+    sums = _moments(rows, metrics)
+    fits: dict[Key, dict] = {}
+    for (layer, pool, name), s in sums.items():
+        metric, part = name.split("/")
+        if part != "train" or s[0] == 0:
+            continue
+        d = (len(s) - 3) // 3
+        n, mean, mean_y = s[0], s[3:3 + d] / s[0], s[1] / s[0]
+        scale = np.sqrt(np.clip(s[3 + d:3 + 2 * d] / n - mean**2, 0, None))
+        scale[scale <= 1e-9 * np.maximum(1, np.abs(mean))] = 1.0
+        right = (s[3 + 2 * d:] - n * mean * mean_y) / scale
+        fits[layer, pool, metric] = {
+            "n": n, "mean": mean, "mean_y": mean_y, "scale": scale, "w": np.zeros(d),
+            "r": right, "p": right, "stop": tolerance * np.linalg.norm(right),
+        }
+    for _ in range(max_passes):
+        open_fits = {k: f for k, f in fits.items() if np.linalg.norm(f["r"]) > f["stop"]}
+        if not open_fits:
+            break
+        directions = {}
+        for cell in {k[:2] for k in open_fits}:
+            names = [k[2] for k in open_fits if k[:2] == cell]
+            group = [open_fits[(*cell, m)] for m in names]
+            v = np.stack([f["p"] / f["scale"] for f in group], axis=1)
+            directions[cell] = (names, v, np.array([f["mean"] @ v[:, j] for j, f in enumerate(group)]))
+        for key, product in _products(rows, metrics, "train", directions).items():
+            f = open_fits[key]
+            ap = product / f["scale"] + alpha * f["p"]
+            step = (f["r"] @ f["r"]) / (f["p"] @ ap)
+            residual = f["r"] - step * ap
+            f["w"] = f["w"] + step * f["p"]
+            f["p"] = residual + (residual @ residual) / (f["r"] @ f["r"]) * f["p"]
+            f["r"] = residual
+    else:
+        raise RuntimeError(f"probes have not converged in {max_passes} passes")
+    models = {}
+    for key, f in fits.items():
+        slope = f["w"] / f["scale"]
+        models[key] = (slope, f["mean_y"] - slope @ f["mean"])
+    errors = _scores(rows, metrics, models)
+
+    def r2(cell: Cell, name: str) -> float | None:
+        s = sums.get((*cell, name))
+        spread = 0.0 if s is None or s[0] == 0 else s[2] - s[1] ** 2 / s[0]
+        return float(1 - errors[(*cell, name)][0] / spread) if spread > 0 else None
+
+    results = []
+    for (layer, pool, metric), f in fits.items():
+        test = sums.get((layer, pool, f"{metric}/test"))
+        results.append(
+            (layer, pool, metric, r2((layer, pool), f"{metric}/train"),
+             r2((layer, pool), f"{metric}/test"), int(f["n"]), 0 if test is None else int(test[0]),
+             float(f["mean_y"]), f["w"].tolist())
+        )
+    return results
+
+
+def wide_axes(
+    vectors: DataFrame, count: int = 2, extra: int = 8, tolerance: float = 1e-10,
+    max_passes: int = 300,
+) -> list[tuple]:
+    """Leading principal axes of every cell by subspace iteration: one pass per step.
+
+    Returns rows (layer, pool, n, mean, axes); an axis' largest loading is positive.
+    """
+    rows = vectors.withColumn("part", F.lit("all")).withColumn("one", F.lit(1.0))
+    cells, spaces, values = {}, {}, {}
+    for (layer, pool, _), s in _moments(rows, ["one"]).items():
+        d = (len(s) - 3) // 3
+        cells[layer, pool] = (s[0], s[3:3 + d] / s[0])
+        start = np.random.default_rng(0).normal(size=(d, min(d, count + extra)))
+        spaces[layer, pool] = np.linalg.qr(start)[0]
+    waiting = set(cells)
+    for _ in range(max_passes):
+        if not waiting:
+            break
+        directions = {}
+        for cell in waiting:
+            names = [f"one/{j}" for j in range(spaces[cell].shape[1])]
+            directions[cell] = (names, spaces[cell], cells[cell][1] @ spaces[cell])
+        found = _products(rows, ["one"], "all", directions)
+        for cell in list(waiting):
+            names = directions[cell][0]
+            image = np.stack([found[(*cell, name)] for name in names], axis=1)
+            small, turn = np.linalg.eigh(spaces[cell].T @ image)
+            lead = small[::-1][:count]
+            basis = spaces[cell] @ turn[:, ::-1][:, :count]
+            drift = np.linalg.norm(image @ turn[:, ::-1][:, :count] - basis * lead)
+            values[cell] = basis.T
+            if drift <= tolerance * max(abs(lead[0]), 1e-300):
+                waiting.discard(cell)
+            else:
+                spaces[cell] = np.linalg.qr(image)[0]
+    if waiting:
+        raise RuntimeError(f"axes of {len(waiting)} cells have not converged")
+    results = []
+    for (layer, pool), axes in values.items():
+        n, mean = cells[layer, pool]
+        largest = axes[np.arange(len(axes)), np.abs(axes).argmax(1)]
+        results.append((layer, pool, int(n), mean.tolist(), (axes * np.sign(largest)[:, None]).tolist()))
+    return results

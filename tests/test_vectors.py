@@ -1,6 +1,5 @@
 import numpy as np
 import pytest
-from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
 from metrospect.functions import vectors as vx
@@ -57,7 +56,8 @@ def ridge(x, y, alpha=1.0):
     return w, r2
 
 
-def test_probe_sweep_matches_brute_force(spark):
+@pytest.mark.parametrize("max_gram", [64, 2])
+def test_probe_sweep_matches_brute_force(spark, max_gram):
     rng = np.random.default_rng(1)
     n, d = 300, 6
     x = {1: rng.normal(3, 2, size=(n, d)), 2: rng.normal(size=(n, d)) * [1, 2, 3, 4, 5, 0]}
@@ -72,7 +72,7 @@ def test_probe_sweep_matches_brute_force(spark):
         "id long, split string, cc double, mi double",
     )
     flagged = with_inside_flags(labelled, ["cc", "mi"])
-    results = probes.probe_sweep(vectors, flagged, metrics=["cc", "mi"]).collect()
+    results = probes.probe_sweep(vectors, flagged, metrics=["cc", "mi"], max_gram=max_gram).collect()
     assert len(results) == 4
     for row in results:
         xs, y = x[row["layer"]], cc if row["metric"] == "cc" else mi
@@ -80,34 +80,20 @@ def test_probe_sweep_matches_brute_force(spark):
         train, test = keep & (split == "train"), keep & (split == "test")
         w, r2 = ridge(xs[train], y[train])
         assert (row["n_train"], row["n_test"]) == (train.sum(), test.sum())
-        assert row["weights"] == pytest.approx(w.tolist(), rel=1e-6, abs=1e-9)
+        assert row["weights"] == pytest.approx(w.tolist(), rel=1e-5, abs=1e-6 * y.std())
         assert row["intercept"] == pytest.approx(y[train].mean())
         assert row["r2_train"] == pytest.approx(r2(xs[train], y[train]), abs=1e-8)
         assert row["r2_test"] == pytest.approx(r2(xs[test], y[test]), abs=1e-8)
 
 
-def test_wide_probe_agrees_with_the_sums(spark):
-    rng = np.random.default_rng(2)
-    x = rng.normal(size=(200, 4))
-    y = x @ [1.0, -2.0, 0.5, 0.0] + rng.normal(size=200)
-    z = (x - x[:150].mean(0)) / x[:150].std(0)
-    rows = [(float(a), b.tolist(), i < 150) for i, (a, b) in enumerate(zip(y, z))]
-    df = spark.createDataFrame(rows, "y double, vec array<double>, train boolean").withColumn(
-        "features", array_to_vector("vec")
-    )
-    got = probes.fit_wide_probe(df.where("train"), df.where("not train"), "y")
-    _, r2 = ridge(x[:150], y[:150])
-    assert got["r2_train"] == pytest.approx(r2(x[:150], y[:150]), abs=1e-4)
-    assert got["r2_test"] == pytest.approx(r2(x[150:], y[150:]), abs=1e-3)
-
-
-def test_pca_matches_svd_up_to_sign(spark):
+@pytest.mark.parametrize("max_gram", [64, 2])
+def test_pca_matches_svd_up_to_sign(spark, max_gram):
     rng = np.random.default_rng(3)
     cells = {(1, "mean"): rng.normal(size=(80, 5)) * [5, 3, 1, 1, 1] + 7,
              (2, "last"): rng.normal(size=(60, 5)) * [1, 1, 9, 2, 1]}
     frames = [table(spark, x, *key) for key, x in cells.items()]
     vectors = frames[0].unionByName(frames[1]).repartition(4)
-    scores = probes.pca_scores(vectors, probes.principal_axes(vectors)).collect()
+    scores = probes.pca_scores(vectors, probes.principal_axes(vectors, 2, max_gram)).collect()
     for (layer, pool), x in cells.items():
         rows = sorted((r["id"], r["pc_0"], r["pc_1"]) for r in scores
                       if (r["layer"], r["pool"]) == (layer, pool))
