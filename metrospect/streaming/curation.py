@@ -116,11 +116,24 @@ def batch_drop_counts(query: StreamingQuery) -> list[tuple[int, ...]]:
     return rows
 
 
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def configure(spark: SparkSession, progress_kept: int = 1_000_000) -> None:
+    """Session settings of the stream: seen hashes on disk rather than in memory, and the progress of
+    every micro-batch of a run kept for its counters. A provider that is set already stays."""
+    provider = "spark.sql.streaming.stateStore.providerClass"
+    if not spark.conf.get(provider, ""):
+        spark.conf.set(provider, ROCKSDB)
+    spark.conf.set("spark.sql.streaming.numRecentProgressUpdates", str(progress_kept))
+
+
 def run_curation(
     spark: SparkSession, path: str, schema: T.StructType, source: Column, ids: list[str],
     out: str, checkpoint: str, files_per_batch: int = 100,
 ) -> DataFrame:
     """Run the stream over the files present and return the drop counters per micro-batch."""
+    configure(spark)
     stream = read_stream(spark, path, schema, files_per_batch)
     query = start(curate_stream(stream, source, *ids), out, checkpoint)
     query.awaitTermination()
