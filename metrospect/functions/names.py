@@ -70,6 +70,7 @@ def parse_run_name(name: Column | str, models: list[str], metrics: list[str]) ->
     """
     name = col(name)
     model = "|".join(models)
+    # The two forms of a summary file name.
     steered = rf"^pass(\d)_full_({model})_({'|'.join(metrics)})_a([+-]?\d+\.?\d*)_p10_summary\.json"
     base = rf"^pass(\d)_full_({model})_base_p10_summary\.json"
 

@@ -10,6 +10,10 @@ from metrospect import constants as K
 # White space stripped by Python's str.strip for ASCII text.
 BLANK = r"[ \t\n\r\x0B\f\x1C-\x1F]"
 
+# What marks code in a raw output.
+FENCE = r"(?s)```(?:python)?\n(.*?)```"
+CODE_START = "def task_func"
+
 
 def col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
@@ -53,10 +57,9 @@ def strip(text: Column | str) -> Column:
 def extract_code(raw: Column | str) -> Column:
     """First fenced block, else the text from the task function on, else all of it; stripped."""
     raw = col(raw)
-    fence = r"(?s)```(?:python)?\n(.*?)```"
-    start = F.locate("def task_func", raw)
+    start = F.locate(CODE_START, raw)
     return strip(
-        F.when(raw.rlike(fence), F.regexp_extract(raw, fence, 1))
+        F.when(raw.rlike(FENCE), F.regexp_extract(raw, FENCE, 1))
         .when(start > 0, F.substr(raw, start))
         .otherwise(raw)
     )

@@ -14,12 +14,13 @@ def first_rows(df: DataFrame, key: str, seq: str) -> DataFrame:
 
 
 def first_seen(df: DataFrame, key: str, seq: str) -> DataFrame:
-    """Whole rows of the first appearance of each key.
+    """Whole rows of the first appearance of each key; seq must be unique.
 
-    Only (key, seq) is aggregated; the rows come back through a semi join on the unique seq, so a text
-    with any number of copies never meets them in one task.
+    Only (key, seq) is aggregated; the rows come back through a join on seq, so a text with any number
+    of copies never meets them in one task. The key comes with the winners and is not computed twice.
     """
-    return df.join(first_rows(df, key, seq).select(seq), seq, "left_semi")
+    winners = first_rows(df, key, seq)
+    return df.drop(key).join(winners, seq).select(df.columns)
 
 
 def early_reason(syntax_ok: Column, length_ok: Column) -> Column:
