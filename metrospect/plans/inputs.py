@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from metrospect import constants as K
 from metrospect.functions import text as tx
 from metrospect.functions.lexical import with_lexical_metrics
-from metrospect.session import spread, staged
+from metrospect.session import broadcast_if_small, spread, staged
 
 MODELS = ["de", "en", "es", "fr"]
 
@@ -40,7 +40,8 @@ def document_metrics(
     """
     docs = documents(spark, sf_dir)
     if only is not None:
-        docs = docs.join(only.withColumnRenamed("id", "doc_id"), "doc_id", "left_semi")
+        wanted = broadcast_if_small(only.select(F.col("id").alias("doc_id")), "wanted")
+        docs = docs.join(wanted, "doc_id", "left_semi")
     docs = docs.withColumn("sha256", tx.sha256_hex("text"))
     return with_lexical_metrics(docs, "text").select(
         F.col("doc_id").alias("id"),
@@ -117,11 +118,14 @@ def statuses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document as a sample of its task with metrics and the verdict of its label, if any."""
+    """Every document as a sample of its task with metrics and the verdict of its label, if any.
+
+    Metrics are staged before the join, so only narrow rows are shuffled for it.
+    """
     verdicts = statuses(spark, sf_dir).select(
         "id", "alpha", tx.status_passed("status").alias("passed")
     )
-    return document_metrics(spark, sf_dir).join(verdicts, "id", "left")
+    return staged_metrics(spark, sf_dir).join(verdicts, "id", "left")
 
 
 def programs(spark: SparkSession, sf_dir: str) -> DataFrame:

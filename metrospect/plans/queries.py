@@ -184,7 +184,7 @@ def zero_vector_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 def index_metrics_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Index of embeddings with the metrics of their documents; the row count may not change."""
     index = I.table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "label")
-    metrics = I.document_metrics(spark, sf_dir).select("id", "split", "cc", "sloc", "comment_ratio")
+    metrics = I.staged_metrics(spark, sf_dir).select("id", "split", "cc", "sloc", "comment_ratio")
     return rounded(tables_io.with_metrics(index, metrics), comment_ratio=9)
 
 
@@ -332,7 +332,7 @@ def pca_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = pooling.drop_zero_vectors(I.vectors(spark, sf_dir))
     cells = staged(rows, "vectors", ("layer", "pool"))
     scores = probes.pca_scores(cells, probes.principal_axes(cells))
-    metrics = I.document_metrics(spark, sf_dir).select("id", *K.METRICS)
+    metrics = I.staged_metrics(spark, sf_dir).select("id", *K.METRICS)
     joined = scores.select("id", "layer", "pool", "pc_0", "pc_1").join(metrics, "id")
     return rounded(joined, pc_0=6, pc_1=6, **DIGITS)
 
@@ -446,7 +446,7 @@ def verdict_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def quality_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = staged(I.samples(spark, sf_dir), "samples")
+    rows = I.samples(spark, sf_dir)
     return rounded_by_metric(evaluation.quality_summary(rows), "mean", "median", "std")
 
 
@@ -485,7 +485,7 @@ def pass_at_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _deltas(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Labelled documents against all documents, per source."""
-    rows = staged(I.samples(spark, sf_dir), "samples")
+    rows = I.samples(spark, sf_dir)
     return evaluation.metric_deltas(rows, rows.where(F.col("passed").isNotNull()))
 
 
@@ -602,7 +602,7 @@ def _summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
     rates = evaluation.pass_at_k(totals, [1], ("model", "alpha")).select(
         "model", "alpha", F.col("pass_at_k").alias("pass")
     )
-    rows = staged(I.samples(spark, sf_dir), "samples")
+    rows = I.samples(spark, sf_dir)
     deltas = evaluation.metric_deltas(
         rows, rows.where(F.col("alpha").isNotNull()), K.REPORT_METRICS, ("model",), ("alpha",),
         medians=False,

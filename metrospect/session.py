@@ -84,10 +84,10 @@ def broadcast_if_small(df: DataFrame, label: str, max_rows: int = BROADCAST_ROWS
 
 
 def spread(scan: DataFrame, key: str) -> DataFrame:
-    """Spread a scan that would leave three of four cores idle, before heavy text work.
+    """Spread a scan that would leave half of the cores idle, before heavy text work.
 
     A large table has splits enough and passes through untouched, so its texts are never shuffled here;
     a table of one small file would otherwise be measured by a single task.
     """
     cores = scan.sparkSession.sparkContext.defaultParallelism
-    return scan if scan.rdd.getNumPartitions() * 4 > cores else scan.repartition(cores, key)
+    return scan if scan.rdd.getNumPartitions() * 2 > cores else scan.repartition(cores, key)
