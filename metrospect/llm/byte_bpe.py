@@ -24,6 +24,7 @@ import ahocorasick
 import pandas as pd
 import regex
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 CACHE = 300_000
 PAIRS = 400_000
@@ -265,53 +266,43 @@ def sent(docs: DataFrame, path: str, pattern: str):
 
 def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """doc_id and ids (array of int) of every row."""
-
     get = sent(docs, path, pattern)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    @F.pandas_udf("array<int>")
+    def ids(texts: pd.Series) -> pd.Series:
         own = get()
-        for batch in batches:
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "ids": [own.encode(t or "") for t in batch["text"]]})
+        return pd.Series([own.encode(text or "") for text in texts], dtype=object)
 
-    return _narrow(docs).mapInPandas(run, "doc_id long, ids array<int>")
+    return docs.select("doc_id", ids(F.col("text").cast("string")).alias("ids"))
 
 
 def decode(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
     """doc_id and text of encoded rows."""
-
     get = sent(encoded, path, pattern)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    @F.pandas_udf("string")
+    def text(ids: pd.Series) -> pd.Series:
         own = get()
-        for batch in batches:
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "text": [own.decode(i).decode("utf-8", "replace") for i in batch["ids"]]})
+        return pd.Series([own.decode(some).decode("utf-8", "replace") for some in ids], dtype=object)
 
-    return encoded.select("doc_id", "ids").mapInPandas(run, "doc_id long, text string")
+    return encoded.select("doc_id", text("ids").alias("text"))
 
 
 def digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256: encodes every text and decodes its ids, all in the
     scan, without moving the ids themselves."""
-
     get = sent(docs, path, pattern)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        own = get()
-        for batch in batches:
-            rows = []
-            for text in batch["text"]:
-                entries = own.entries(text or "")
-                data = own.decode(chain.from_iterable([entry[2] for entry in entries]))
-                rows.append((
-                    sum([entry[0] for entry in entries]),
-                    hashlib.sha256(" ".join([entry[1] for entry in entries]).encode()).hexdigest(),
-                    hashlib.sha256(data).hexdigest()))
-            out = pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256"])
-            out.insert(0, "doc_id", batch["doc_id"].values)
-            yield out
-
-    return _narrow(docs).mapInPandas(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
-
-
-def _narrow(docs: DataFrame) -> DataFrame:
-    return docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text")
+    @F.pandas_udf("n_tokens long, ids_sha256 string, decoded_sha256 string")
+    def digest(texts: pd.Series) -> pd.DataFrame:
+        own, rows = get(), []
+        for text in texts:
+            entries = own.entries(text or "")
+            data = own.decode(chain.from_iterable([entry[2] for entry in entries]))
+            rows.append((
+                sum([entry[0] for entry in entries]),
+                hashlib.sha256(" ".join([entry[1] for entry in entries]).encode()).hexdigest(),
+                hashlib.sha256(data).hexdigest()))
+        return pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256"])
+
+    return docs.select("doc_id", digest(F.col("text").cast("string")).alias("d")).select("doc_id", "d.*")

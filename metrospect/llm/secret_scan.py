@@ -151,8 +151,17 @@ class Automaton:
                     again = True
             at = 0 if again else at + 1
 
+    def accepts(self, value: str) -> bool:
+        """Whether every step of the string was seen in learning, and it may end where it does."""
+        state = 0
+        for name, _ in letters(value):
+            if not self.count[state].get(name, 0):
+                return False
+            state = self.next[state][name]
+        return self.ends[state] > 0
+
     def score(self, value: str) -> float:
-        """Log likelihood of a string; unseen steps have a small share, and a lost run stays lost."""
+        """Log likelihood of a string; unseen steps have a small share, and what follows one is anyone's."""
         total, state = 0.0, 0
         options = len(CLASSES) + 2
         for name, size in letters(value):
@@ -175,10 +184,9 @@ class Formats:
         self.kinds = {kind: Automaton(sorted(values)) for kind, values in sorted(samples.items()) if kind != "other" and values}
 
     def ratio(self, value: str) -> float:
-        """Best log-likelihood ratio of a credential format against the background."""
-        if not self.kinds:
-            return -math.inf
-        return max(automaton.score(value) for automaton in self.kinds.values()) - self.background.score(value)
+        """Best log-likelihood ratio of a credential format that accepts the string against the background."""
+        best = max((automaton.score(value) for automaton in self.kinds.values() if automaton.accepts(value)), default=-math.inf)
+        return best - self.background.score(value)
 
 
 def fit(docs: DataFrame, sample: int = SAMPLE) -> Formats:
@@ -235,15 +243,14 @@ def written(found: list[Span]) -> str:
 def scan(docs: DataFrame, formats: Formats, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id and spans (array of kind, start, end; code points, end exclusive) of every row."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    @F.pandas_udf("array<struct<kind:string,start:long,end:long>>")
+    def find(texts: pd.Series) -> pd.Series:
         memo: dict[str, bool] = {}
-        for batch in batches:
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "spans": [
-                [{"kind": kind, "start": start, "end": end} for start, end, kind in spans(text or "", formats, threshold, memo)]
-                for text in batch["text"]]})
+        return pd.Series([
+            [{"kind": kind, "start": start, "end": end} for start, end, kind in spans(text or "", formats, threshold, memo)]
+            for text in texts], dtype=object)
 
-    return docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text").mapInPandas(
-        run, "doc_id long, spans array<struct<kind:string,start:long,end:long>>")
+    return docs.select("doc_id", find(F.col("text").cast("string")).alias("spans"))
 
 
 def digest(scanned: DataFrame) -> DataFrame:
