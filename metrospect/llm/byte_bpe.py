@@ -36,7 +36,8 @@ def parse_ranks(raw: bytes) -> dict[bytes, int]:
     return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, raw.splitlines())}
 
 
-Entry = tuple[int, str, tuple[int, ...]]
+#: Number of ids, ids as text, ids, the bytes that they decode to.
+Entry = tuple[int, str, tuple[int, ...], bytes]
 
 
 class Recent:
@@ -183,24 +184,25 @@ class PrefixEncoder:
         return ids[::-1]
 
     def piece(self, text: str) -> Entry:
-        """Number of ids, ids as text, ids of one match of the pattern."""
+        """The entry of one match of the pattern."""
         entry = self.known.get(text)
         if entry is None:
             data = text.encode()
-            whole = self.ranks.get(data)
-            ids = (whole,) if whole is not None else tuple(self.ids_of(data, self.table(data)))
-            entry = len(ids), " ".join(map(str, ids)), ids
+            entry = self.entry_of([self.ranks[data]] if data in self.ranks else self.ids_of(data, self.table(data)))
             if len(data) <= ENTRY_BYTES:
                 self.known.put(text, entry)
         return entry
 
+    def entry_of(self, ids: list[int]) -> Entry:
+        return len(ids), " ".join(map(str, ids)), tuple(ids), self.decode(ids)
+
     def stretch(self, text: str) -> Entry:
         """The same of any text, match by match."""
         entries = [self.piece(match) for match in self.split(text)]
         if len(entries) == 1:
             return entries[0]
-        return (sum([entry[0] for entry in entries]), " ".join([entry[1] for entry in entries]),
-                tuple(chain.from_iterable([entry[2] for entry in entries])))
+        numbers, texts, ids, decoded = zip(*entries) if entries else ((), (), (), ())
+        return sum(numbers), " ".join(texts), tuple(chain.from_iterable(ids)), b"".join(decoded)
 
     def entries(self, text: str) -> list[Entry]:
         """Entries of a text, in order. A match of the pattern always ends where white space follows other
@@ -298,7 +300,7 @@ def digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
         own, rows = get(), []
         for text in texts:
             entries = own.entries(text or "")
-            data = own.decode(chain.from_iterable([entry[2] for entry in entries]))
+            data = b"".join([entry[3] for entry in entries])
             rows.append((
                 sum([entry[0] for entry in entries]),
                 hashlib.sha256(" ".join([entry[1] for entry in entries]).encode()).hexdigest(),
