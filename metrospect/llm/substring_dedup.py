@@ -175,7 +175,9 @@ def marks_of(texts: DataFrame, hot: int) -> DataFrame:
     anchors = each.groupBy("anchor").agg(
         F.count("*").alias("n"), F.min("content").alias("low"), F.max("content").alias("high")).where("n > 1")
     state = F.when(F.col("low") == F.col("high"), "same").when(F.col("n") > hot, "hot").otherwise("mixed")
-    marked = each.join(anchors.select("anchor", state.alias("state")), "anchor")
+    # Staged, so that both sides of the join are dealt anew and a hot anchor's stretches can be split.
+    states = staged(anchors.select("anchor", state.alias("state")), "substring-anchors")
+    marked = each.join(states, "anchor")
     return marked.groupBy("key").agg(F.collect_list(F.struct("at", "state")).alias("marks"))
 
 
