@@ -3,8 +3,9 @@
 Components become floor(1024 * x), so scores are whole numbers. Queries and data are cut into blocks; a task
 gets a block of each, builds a cover tree of both (children lie within the parent's radius divided by EXPANSION
 and are at least that far apart) and walks pairs of nodes. A pair is pruned if even the largest inner product
-that its centres and covering radii allow, <q, c> + |q| r + |c| s + r s, stays below the worst k-th score of
-the query group. The per-block results of a query, at most k rows each, are merged by a window per query.
+that its centres and covering radii allow stays below the worst k-th score of the query group; a leaf of
+queries is tested query by query. The per-block results of a query, at most k rows each, are merged by a
+window per query.
 
 The number of blocks follows the number of rows, so a task's memory is bounded by BLOCK vectors; every
 query block meets every data block once (a stated query set against all rows).
@@ -43,25 +44,49 @@ def whole_vectors(table: DataFrame, scale: int = SCALE) -> DataFrame:
 class Node:
     """A ball around a point: `points` (positions) of a leaf, or children."""
 
-    __slots__ = ("centre", "norm", "radius", "points", "children", "stack", "norms", "radii")
+    __slots__ = ("centre", "radius", "longest", "points", "children", "balls")
 
-    def __init__(self, centre: np.ndarray, radius: float, points: np.ndarray, children: list[Node]):
-        self.centre, self.radius, self.points, self.children = centre, radius, points, children
-        self.norm = float(np.sqrt(centre @ centre))
+    def __init__(self, centre: np.ndarray, radius: float, longest: float, points: np.ndarray, children: list[Node]):
+        self.centre, self.radius, self.longest, self.points, self.children = centre, radius, longest, points, children
         if children:
-            self.stack = np.stack([child.centre for child in children])
-            self.norms = np.array([child.norm for child in children])
-            self.radii = np.array([child.radius for child in children])
+            self.balls = Balls(
+                np.stack([child.centre for child in children]), np.array([child.radius for child in children]),
+                np.array([child.longest for child in children]))
+
+
+class Balls:
+    """Centres, radii and longest norms of several balls."""
+
+    def __init__(self, centres: np.ndarray, radii: np.ndarray, longest: np.ndarray):
+        self.centres, self.radii, self.longest = centres, radii, longest
+        self.norms = np.sqrt((centres * centres).sum(axis=1))
+
+    @classmethod
+    def of(cls, node: Node) -> Balls:
+        return cls(node.centre[None, :], np.array([node.radius]), np.array([node.longest]))
+
+    def bounds(self, other: Balls) -> np.ndarray:
+        """The largest inner product that a point of each ball can have with one of each other ball: by the
+        centres' product and the radii, and by the least distance and the longest norms."""
+        products = self.centres @ other.centres.T
+        near, far = self.radii[:, None], other.radii[None, :]
+        by_product = products + self.norms[:, None] * far + near * other.norms[None, :] + near * far
+        squares = self.norms[:, None] ** 2 + other.norms[None, :] ** 2 - 2 * products
+        apart = np.maximum(np.sqrt(np.maximum(squares, 0.0)) - near - far, 0.0)
+        by_distance = (self.longest[:, None] ** 2 + other.longest[None, :] ** 2 - apart**2) / 2
+        return np.minimum(by_product, by_distance)
 
 
 def cover_tree(x: np.ndarray, expansion: float = EXPANSION, leaf: int = LEAF) -> Node:
     """The cover tree of the rows of x; points at distance 0 of their centre share a leaf."""
 
+    norms = np.sqrt((x * x).sum(axis=1))
+
     def build(points: np.ndarray, distances: np.ndarray) -> Node:
         """points[0] is the centre, distances are to it."""
-        radius = float(distances.max())
+        radius, longest = float(distances.max()), float(norms[points].max())
         if len(points) <= leaf or radius == 0.0:
-            return Node(x[points[0]], radius, points, [])
+            return Node(x[points[0]], radius, longest, points, [])
         reach, children = radius / expansion, []
         rest, far = points, distances
         centre = points[0]
@@ -74,7 +99,7 @@ def cover_tree(x: np.ndarray, expansion: float = EXPANSION, leaf: int = LEAF) ->
             rest = rest[~mine]
             if len(rest):
                 centre = rest[int(far.argmax())]
-        return Node(x[points[0]], radius, points, children)
+        return Node(x[points[0]], radius, longest, points, children)
 
     everything = np.arange(len(x))
     return build(everything, np.sqrt(((x - x[0]) ** 2).sum(axis=1)))
@@ -88,6 +113,7 @@ class Search:
         self.q, self.d = q, d
         largest = float(max(np.abs(q).max(initial=0.0), np.abs(d).max(initial=0.0)))
         self.fits = largest * largest * q.shape[1] < EXACT
+        self.q_norms = np.sqrt((q.astype(np.float64) ** 2).sum(axis=1))
         self.scores = np.full((len(q), k), -np.inf)
         self.found = np.full((len(q), k), np.iinfo(np.int64).max)
         self.slack = 1e-9 * largest * largest * q.shape[1] + 1e-6
@@ -115,22 +141,29 @@ class Search:
                 self.scores[row], self.found[row] = all_scores[best], all_ids[best]
 
     def run(self) -> None:
+        """Walk node pairs, the most promising data first. A leaf of queries bounds each of its queries."""
         waiting = [(cover_tree(self.q), cover_tree(self.d), np.inf)]
         while waiting:
             queries, data, bound = waiting.pop()
             if bound + self.slack < self.worst(queries):
                 continue
-            if not queries.children and not data.children:
-                self.meet(queries.points, data.points)
-            elif data.children and (not queries.children or data.radius >= queries.radius):
-                bounds = (data.stack @ queries.centre + queries.norm * data.radii
-                          + data.norms * queries.radius + data.radii * queries.radius)
-                for i in np.argsort(bounds):
-                    waiting.append((queries, data.children[i], bounds[i]))
-            else:
-                bounds = (queries.stack @ data.centre + queries.norms * data.radius
-                          + data.norm * queries.radii + queries.radii * data.radius)
+            if queries.children and (not data.children or queries.radius > data.radius):
+                bounds = queries.balls.bounds(Balls.of(data))[:, 0]
                 waiting += [(child, data, b) for child, b in zip(queries.children, bounds)]
+            elif queries.children:
+                bounds = Balls.of(queries).bounds(data.balls)[0]
+                waiting += [(queries, data.children[i], bounds[i]) for i in np.argsort(bounds)]
+            else:
+                points, kth = queries.points, self.scores[queries.points, -1]
+                each = Balls(self.q[points], np.zeros(len(points)), self.q_norms[points])
+                if data.children:
+                    bounds = each.bounds(data.balls)
+                    useful = (bounds + self.slack >= kth[:, None]).any(axis=0)
+                    best = np.where(useful, bounds.max(axis=0), -np.inf)
+                    waiting += [(queries, data.children[i], best[i]) for i in np.argsort(best) if useful[i]]
+                else:
+                    useful = each.bounds(Balls.of(data))[:, 0] + self.slack >= kth
+                    self.meet(points[useful], data.points)
 
 
 def top_k(table: DataFrame, every: int, k: int, scale: int = SCALE, block: int = BLOCK) -> DataFrame:

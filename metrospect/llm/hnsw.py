@@ -63,7 +63,7 @@ def layers_of(ids: np.ndarray, degree: int) -> np.ndarray:
 def walk(x: np.ndarray, near: np.ndarray, asked: np.ndarray, entries: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
     """Best-first search in one layer for many queries side by side: positions (-1: none) and
     similarities of the `width` best nodes met. near holds the neighbours of each node (-1: none)."""
-    count, degree = len(asked), near.shape[1]
+    count = len(asked)
     seen = np.zeros((count, len(x) + 1), bool)
     seen[:, -1] = True
     best = np.full((count, width), -1)
@@ -86,7 +86,7 @@ def walk(x: np.ndarray, near: np.ndarray, asked: np.ndarray, entries: np.ndarray
         marked = done[active]
         np.put_along_axis(marked, take, True, 1)
         done[active] = marked
-        met = np.where(nodes[:, :, None] >= 0, near[nodes], -1).reshape(len(active), STEPS * degree)
+        met = np.where(nodes[:, :, None] >= 0, near[nodes], -1).reshape(len(active), -1)
         met = np.sort(met, axis=1)
         met[:, 1:][met[:, 1:] == met[:, :-1]] = -1
         met = np.where(seen[active[:, None], met], -1, met)

@@ -30,7 +30,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from metrospect.session import staged
+from metrospect.session import staged, staged_counted
 
 FIT_ROWS = 24_000
 TERMS = 5_000
@@ -38,6 +38,7 @@ EXCEPTIONS = 2_000
 SHORTEST, LONGEST = 3, 12
 LEAST_DOCS = 2
 LEAST_WEIGHT = 2.0
+LEAST_EVIDENCE = 8.0
 BINS = 400
 # Letters of other alphabets that look like Latin ones, and digits and signs used for letters.
 HOMOGLYPHS = str.maketrans("аеорсухівкмнтѕјαβεικνορτυχ", "aeopcyxibkmhtsjabeiknoptux")
@@ -179,12 +180,18 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Lexicon
     # Terms of toxic documents come first: a term without LEAST_DOCS of them cannot be kept.
     of_toxic = rows.where("toxic = 1").mapInPandas(count_terms, "term string, toxic int, n long")
     of_toxic = of_toxic.groupBy("term").agg(F.sum("n").alias("a")).where(F.col("a") >= LEAST_DOCS)
+    of_toxic, tried = staged_counted(of_toxic, "toxicity-terms")
     of_clean = rows.where("toxic = 0").mapInPandas(count_terms, "term string, toxic int, n long")
     of_clean = of_clean.groupBy("term").agg(F.sum("n").alias("b"))
     odds = F.log((F.col("a") + 0.5) / (toxic + 1)) - F.log((F.coalesce("b", F.lit(0)) + 0.5) / (clean + 1))
+    # Log likelihood ratio of the term's own share of toxic documents against the share of all: it must
+    # exceed what the best of so many terms reaches by chance.
+    share, seen = toxic / (toxic + clean), F.col("a") + F.col("b")
+    evidence = F.col("a") * F.log(F.col("a") / (seen * share)) + F.when(
+        F.col("b") > 0, F.col("b") * F.log(F.col("b") / (seen * (1 - share)))).otherwise(0.0)
     counted = (
         of_toxic.join(of_clean, "term", "left").select("term", "a", F.coalesce("b", F.lit(0)).alias("b"), odds.alias("odds"))
-        .where(F.col("odds") >= LEAST_WEIGHT).orderBy(F.desc(F.col("a") * F.col("odds")), "term").limit(TERMS).collect()
+        .where((F.col("odds") >= LEAST_WEIGHT) & (evidence >= max(LEAST_EVIDENCE, math.log(tried + 1)))).orderBy(F.desc(F.col("a") * F.col("odds")), "term").limit(TERMS).collect()
     )
     terms = pick_terms([(r["term"], r["a"], r["b"]) for r in counted], toxic, clean)
     lexicon = Lexicon(terms, learned_exceptions(rows, Lexicon(terms, [], 1.0, 0.0)), 1.0, 0.0)
