@@ -4,8 +4,8 @@ Folding lower-cases, maps homoglyphs to Latin letters and, in words that hold a
 that stand for letters. Lexicon terms are words or beginnings of words, learned from labelled rows: each
 gets the smoothed log odds of toxic against clean documents that hold it. A beginning is kept only if no
 longer one does the same work. Phrases of two words that hold a term but mostly occur in clean documents
-are exceptions and cancel the hit. The weights of a text's hits are summed and divided by the square root
-of its length in words; a logistic curve, fitted on the labelled rows, maps that to 0..1.
+are exceptions and cancel the hit. The weights of a text's hits are summed and divided by its length in
+words to the power LENGTH_POWER; a logistic curve, fitted on the labelled rows, maps that to 0..1.
 
 Labels may be many; the model is fitted on about FIT_ROWS of them, chosen by the hash of the text, and has
 at most TERMS terms and EXCEPTIONS phrases. Only these travel to tasks. Every text is scored
@@ -38,7 +38,7 @@ EXCEPTIONS = 2_000
 SHORTEST, LONGEST = 3, 12
 LEAST_DOCS = 2
 LEAST_WEIGHT = 2.0
-LEAST_EVIDENCE = 8.0
+LENGTH_POWER = 0.5
 BINS = 400
 # Letters of other alphabets that look like Latin ones, and digits and signs used for letters.
 HOMOGLYPHS = str.maketrans("аеорсухівкмнтѕјαβεικνορτυχ", "aeopcyxibkmhtsjabeiknoptux")
@@ -107,12 +107,12 @@ class Lexicon:
         return any(True for _ in self.automata()[1].iter(around))
 
     def strength(self, text: str | None) -> float:
-        """Weights of the hits over the square root of the number of words."""
+        """Weights of the hits over a power of the number of words."""
         text = folded(text or "")
         found = self.hits(text)
         if not found:
             return 0.0
-        return sum(weight for _, _, weight in found) / math.sqrt(1 + len(WORD.findall(text)))
+        return sum(weight for _, _, weight in found) / (1 + len(WORD.findall(text))) ** LENGTH_POWER
 
     def score(self, strength: float) -> float:
         return 1 / (1 + math.exp(-max(-60.0, min(60.0, self.slope * strength + self.offset))))
@@ -125,9 +125,9 @@ def phrase_words(text: str, start: int) -> list[str]:
     return before + after
 
 
-def pick_terms(counted: list[tuple[str, int, int]], toxic: int, clean: int) -> dict[str, float]:
-    """Weights of the terms kept from (term, toxic documents, clean documents)."""
-    weight = {t: math.log((a + 0.5) / (toxic + 1)) - math.log((b + 0.5) / (clean + 1)) for t, a, b in counted}
+def pick_terms(counted: list[tuple[str, int, float]]) -> dict[str, float]:
+    """Weights of the terms kept from (term, toxic documents, weight)."""
+    weight = {t: w for t, _, w in counted}
     of = {t: a for t, a, _ in counted}
     longer_same = {t[:-1] for t in of if of[t] >= 0.98 * of.get(t[:-1], math.inf)}
     kept: dict[str, float] = {}
@@ -184,16 +184,18 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Lexicon
     of_clean = rows.where("toxic = 0").mapInPandas(count_terms, "term string, toxic int, n long")
     of_clean = of_clean.groupBy("term").agg(F.sum("n").alias("b"))
     odds = F.log((F.col("a") + 0.5) / (toxic + 1)) - F.log((F.coalesce("b", F.lit(0)) + 0.5) / (clean + 1))
-    # Log likelihood ratio of the term's own share of toxic documents against the share of all: it must
-    # exceed what the best of so many terms reaches by chance.
+    # Log likelihood ratio of the term's own share of toxic documents against the share of all. Terms that
+    # stay below what the best of so many terms reaches by chance weigh less.
     share, seen = toxic / (toxic + clean), F.col("a") + F.col("b")
     evidence = F.col("a") * F.log(F.col("a") / (seen * share)) + F.when(
         F.col("b") > 0, F.col("b") * F.log(F.col("b") / (seen * (1 - share)))).otherwise(0.0)
     counted = (
-        of_toxic.join(of_clean, "term", "left").select("term", "a", F.coalesce("b", F.lit(0)).alias("b"), odds.alias("odds"))
-        .where((F.col("odds") >= LEAST_WEIGHT) & (evidence >= max(LEAST_EVIDENCE, math.log(tried + 1)))).orderBy(F.desc(F.col("a") * F.col("odds")), "term").limit(TERMS).collect()
+        of_toxic.join(of_clean, "term", "left")
+        .withColumn("b", F.coalesce("b", F.lit(0)))
+        .select("term", "a", "b", (odds * F.least(F.lit(1.0), evidence / math.log(tried + 2)) ** 2).alias("weight"), odds.alias("odds"))
+        .where((F.col("odds") >= LEAST_WEIGHT) & (F.col("weight") >= LEAST_WEIGHT / 4)).orderBy(F.desc(F.col("a") * F.col("weight")), "term").limit(TERMS).collect()
     )
-    terms = pick_terms([(r["term"], r["a"], r["b"]) for r in counted], toxic, clean)
+    terms = pick_terms([(r["term"], r["a"], r["weight"]) for r in counted])
     lexicon = Lexicon(terms, learned_exceptions(rows, Lexicon(terms, [], 1.0, 0.0)), 1.0, 0.0)
     lexicon.slope, lexicon.offset = curve(rows, lexicon)
     return lexicon
