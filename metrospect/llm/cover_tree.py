@@ -27,6 +27,7 @@ from metrospect.session import staged
 
 EXPANSION = 1.2
 LEAF = 64
+QUERY_LEAF = 256
 BLOCK = 25_000
 LEAST_BLOCKS = 6
 SCALE = 1024
@@ -44,7 +45,7 @@ def whole_vectors(table: DataFrame, scale: int = SCALE) -> DataFrame:
 class Node:
     """A ball around a point: `points` (positions) of a leaf, or children."""
 
-    __slots__ = ("centre", "radius", "longest", "points", "children", "balls")
+    __slots__ = ("centre", "radius", "longest", "points", "children", "balls", "leaves")
 
     def __init__(self, centre: np.ndarray, radius: float, longest: float, points: np.ndarray, children: list[Node]):
         self.centre, self.radius, self.longest, self.points, self.children = centre, radius, longest, points, children
@@ -52,6 +53,7 @@ class Node:
             self.balls = Balls(
                 np.stack([child.centre for child in children]), np.array([child.radius for child in children]),
                 np.array([child.longest for child in children]))
+            self.leaves = np.array([not child.children for child in children])
 
 
 class Balls:
@@ -80,7 +82,14 @@ class Balls:
 def cover_tree(x: np.ndarray, expansion: float = EXPANSION, leaf: int = LEAF) -> Node:
     """The cover tree of the rows of x; points at distance 0 of their centre share a leaf."""
 
-    norms = np.sqrt((x * x).sum(axis=1))
+    squares = (x * x).sum(axis=1)
+    norms = np.sqrt(squares)
+    # Distances come from products; below this share of the squares they are rounding.
+    least = 1e-12 * float(squares.max(initial=0.0))
+
+    def apart(rows: np.ndarray, of: np.ndarray, centre: int) -> np.ndarray:
+        found = of + squares[centre] - 2 * (rows @ x[centre])
+        return np.sqrt(np.where(found > least, found, 0.0))
 
     def build(points: np.ndarray, distances: np.ndarray) -> Node:
         """points[0] is the centre, distances are to it."""
@@ -88,21 +97,24 @@ def cover_tree(x: np.ndarray, expansion: float = EXPANSION, leaf: int = LEAF) ->
         if len(points) <= leaf or radius == 0.0:
             return Node(x[points[0]], radius, longest, points, [])
         reach, children = radius / expansion, []
-        rest, far = points, distances
-        centre = points[0]
+        rest, far, centre = points, distances, points[0]
+        rows, of = x[rest], squares[rest]
         while len(rest):
-            near = np.sqrt(np.maximum(((x[rest] - x[centre]) ** 2).sum(axis=1), 0.0))
+            near = apart(rows, of, centre)
             mine = near <= reach
-            order = np.argsort(rest[mine] != centre, kind="stable")
-            children.append(build(rest[mine][order], near[mine][order]))
-            far = np.minimum(far, near)[~mine]
-            rest = rest[~mine]
+            mine[rest == centre] = True
+            own = rest[mine]
+            order = np.argsort(own != centre, kind="stable")
+            children.append(build(own[order], near[mine][order]))
+            left = ~mine
+            rest, far = rest[left], np.minimum(far, near)[left]
+            rows, of = rows[left], of[left]
             if len(rest):
                 centre = rest[int(far.argmax())]
         return Node(x[points[0]], radius, longest, points, children)
 
     everything = np.arange(len(x))
-    return build(everything, np.sqrt(((x - x[0]) ** 2).sum(axis=1)))
+    return build(everything, apart(x, squares, 0))
 
 
 class Search:
@@ -141,13 +153,14 @@ class Search:
                 self.scores[row], self.found[row] = all_scores[best], all_ids[best]
 
     def run(self) -> None:
-        """Walk node pairs, the most promising data first. A leaf of queries bounds each of its queries."""
-        waiting = [(cover_tree(self.q), cover_tree(self.d), np.inf)]
+        """Walk node pairs, the most promising data first. A leaf of queries bounds each of its queries, and
+        meets the points of all useful leaves below a node at once."""
+        waiting = [(cover_tree(self.q, leaf=QUERY_LEAF), cover_tree(self.d), np.inf)]
         while waiting:
             queries, data, bound = waiting.pop()
             if bound + self.slack < self.worst(queries):
                 continue
-            if queries.children and (not data.children or queries.radius > data.radius):
+            if queries.children and (not data.children or queries.radius * EXPANSION > data.radius):
                 bounds = queries.balls.bounds(Balls.of(data))[:, 0]
                 waiting += [(child, data, b) for child, b in zip(queries.children, bounds)]
             elif queries.children:
@@ -158,9 +171,13 @@ class Search:
                 each = Balls(self.q[points], np.zeros(len(points)), self.q_norms[points])
                 if data.children:
                     bounds = each.bounds(data.balls)
-                    useful = (bounds + self.slack >= kth[:, None]).any(axis=0)
-                    best = np.where(useful, bounds.max(axis=0), -np.inf)
-                    waiting += [(queries, data.children[i], best[i]) for i in np.argsort(best) if useful[i]]
+                    open_pairs = bounds + self.slack >= kth[:, None]
+                    useful, best = open_pairs.any(axis=0), bounds.max(axis=0)
+                    at_once = np.flatnonzero(useful & data.leaves)
+                    if len(at_once):
+                        asking = open_pairs[:, at_once].any(axis=1)
+                        self.meet(points[asking], np.concatenate([data.children[i].points for i in at_once]))
+                    waiting += [(queries, data.children[i], best[i]) for i in np.argsort(best) if useful[i] and not data.leaves[i]]
                 else:
                     useful = each.bounds(Balls.of(data))[:, 0] + self.slack >= kth
                     self.meet(points[useful], data.points)
