@@ -23,12 +23,15 @@ def compact_number(value: Column | str) -> Column:
     size = F.abs(x)
     exact = x.cast("decimal(38,18)")
     fixed = F.lit(None).cast("string")
-    for exponent in range(5, -5, -1):
+    for exponent in range(5, -6, -1):
         digits = 5 - exponent
         text = F.bround(exact, digits).cast("string")
         fixed = F.coalesce(fixed, F.when(size >= 10.0**exponent, _plain(text)))
-    exponent = F.floor(F.log10(size)).cast("int")
-    mantissa = F.bround((x / F.pow(F.lit(10.0), exponent)).cast("decimal(38,18)"), 5)
+    below = F.floor(F.log10(size)).cast("int")
+    rounded = F.bround((x / F.pow(F.lit(10.0), below)).cast("decimal(38,18)"), 5)
+    carried = F.abs(rounded) >= 10
+    exponent = F.when(carried, below + 1).otherwise(below)
+    mantissa = F.when(carried, F.bround(rounded / 10, 5)).otherwise(rounded)
     sign = F.when(exponent < 0, "-").otherwise("+")
     scientific = F.concat(
         _plain(mantissa.cast("string")), F.lit("e"), sign,
@@ -36,7 +39,7 @@ def compact_number(value: Column | str) -> Column:
     )
     return (
         F.when(x == 0, F.when(x.cast("string").startswith("-"), "-0").otherwise("0"))
-        .when((size >= 1e-4) & (size < 999999.5), fixed)
+        .when(exponent.between(-4, 5), fixed)
         .otherwise(scientific)
     )
 
@@ -107,14 +110,23 @@ def parse_steering(spec: Column | str) -> Column:
     )
 
 
+def fixed_point(value: Column | str, digits: int, width: int = 0, signed: bool = False) -> Column:
+    """A number with so many decimals, halves to the even digit, padded on the left."""
+    exact = F.bround(col(value).cast("double").cast("decimal(38,18)"), digits).cast(f"decimal(38,{digits})")
+    negative = col(value).cast("double").cast("string").startswith("-")
+    sign = F.when(negative, "-").otherwise("+" if signed else "")
+    text = F.concat(sign, F.abs(exact).cast("string"))
+    return F.when(F.length(text) < width, F.lpad(text, width, " ")).otherwise(text)
+
+
 def report_cell(mean: Column | str, std: Column | str, passed: Column | str) -> Column:
     """One report cell 'mean±std pass', or dashes when the mean or the pass rate is missing."""
     missing = col(mean).isNull() | col(passed).isNull()
     text = F.concat(
-        F.format_string("%+6.1f", col(mean)),
+        fixed_point(mean, 1, 6, signed=True),
         F.lit("±"),
-        F.coalesce(F.when(col(std).isNotNull(), F.format_string("%5.1f", col(std))), F.lit("  nan")),
+        F.coalesce(F.when(col(std).isNotNull(), fixed_point(std, 1, 5)), F.lit("  nan")),
         F.lit(" "),
-        F.format_string("%.3f", col(passed)),
+        fixed_point(passed, 3),
     )
     return F.when(missing, K.MISSING_CELL).otherwise(text)

@@ -9,7 +9,6 @@ from __future__ import annotations
 import ast
 import io
 import math
-import textwrap
 import tokenize
 import warnings
 from collections.abc import Iterator
@@ -41,12 +40,13 @@ def parses_cleanly(source: str) -> bool:
         return False
 
 
-def as_function(source: str, tree: ast.Module | None = None) -> str:
-    """Put a module without a top-level function into one function."""
-    tree = tree or parse(source)[0]
-    if any(isinstance(node, FUNCTIONS) for node in tree.body):
-        return source
-    return "def _module():\n" + textwrap.indent(source, "    ") + "\n"
+def enclosed(tree: ast.Module) -> ast.Module:
+    """A module whose statements are the body of one function, for trees that define none at the top."""
+    if not tree.body:
+        raise IndentationError("a function needs a body")
+    nothing = ast.arguments(posonlyargs=[], args=[], kwonlyargs=[], kw_defaults=[], defaults=[])
+    function = ast.FunctionDef(name="_module", args=nothing, body=tree.body, decorator_list=[], type_params=[])
+    return ast.Module(body=[function], type_ignores=[])
 
 
 def _branches(node: ast.AST) -> int:
@@ -184,14 +184,11 @@ def _line_counts(source: str, tree: ast.Module) -> dict[str, int]:
 
 def python_metrics(source: str, tree: ast.Module | None = None) -> dict[str, float]:
     """The seven metrics of one source text; any exception means the text has none."""
-    outer = tree or parse(source)[0]
-    wrapped = as_function(source, outer)
-    raw = _line_counts(source, outer)
-    if wrapped is source:
-        tree, inner = outer, raw
-    else:
-        tree = parse(wrapped)[0]
-        inner = _line_counts(wrapped, tree)
+    tree = tree or parse(source)[0]
+    raw = inner = _line_counts(source, tree)
+    if not any(isinstance(node, FUNCTIONS) for node in tree.body):
+        # The head of the enclosing function is one more line and one more statement.
+        tree, inner = enclosed(tree), raw | {"sloc": raw["sloc"] + 1, "lloc": raw["lloc"] + 1}
     n1, n2, big_n1, big_n2 = _halstead(tree)
     volume = (big_n1 + big_n2) * math.log2(n1 + n2) if n1 + n2 else 0.0
     difficulty = n1 / 2 * big_n2 / n2 if n2 else 0.0

@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from metrospect import constants as K
 
-# White space stripped by Python's str.strip for ASCII text.
-BLANK = r"[ \t\n\r\x0B\f\x1C-\x1F]"
+# White space that Python's str.strip removes.
+BLANK = r"[ \t\n\r\x0B\f\x1C-\x1F\x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000]"
 
 # What marks code in a raw output.
 FENCE = r"(?s)```(?:python)?\n(.*?)```"

@@ -37,11 +37,16 @@ def length_batches(df: DataFrame, length: str, record: str, batch_size: int) ->
     """Add position in (length, record) order and batch = position div batch_size.
 
     Position = rows with a shorter length + place among equal lengths; neither part sorts globally.
+    Rows without a length come last.
     """
     lengths = df.select(F.col(length).alias("_length"))
     shorter = cumulative_counts(lengths, [], "_length").select(
         F.col("_length").alias(length), F.col("before").alias("start")
     )
+    unknown = lengths.agg(F.count("_length").alias("start")).select(
+        F.lit(None).cast(df.schema[length].dataType).alias(length), "start"
+    )
+    shorter = shorter.unionByName(unknown)
     placed = row_number_within(df, [length], record, "_place", starts=shorter)
     return (
         placed.withColumn("position", F.col("_place") - 1)

@@ -16,11 +16,14 @@ def first_rows(df: DataFrame, key: str, seq: str) -> DataFrame:
 def first_seen(df: DataFrame, key: str, seq: str) -> DataFrame:
     """Whole rows of the first appearance of each key; seq must be unique.
 
-    Only (key, seq) is aggregated; the rows come back through a join on seq, so a text with any number
-    of copies never meets them in one task. The key comes with the winners and is not computed twice.
+    Only (key, seq) travels: keys that occur more than once give the seq of every later copy, and rows
+    with such a seq are left out. The copies are few and narrow, so most texts stay where they are when
+    the planner broadcasts them, and a text with any number of copies never meets them in one task.
     """
-    winners = first_rows(df, key, seq)
-    return df.drop(key).join(winners, seq).select(df.columns)
+    keyed = df.select(key, seq)
+    first = keyed.groupBy(key).agg(F.min(seq).alias("_first"), F.count(F.lit(1)).alias("_n"))
+    later = keyed.join(first.where(F.col("_n") > 1), key).where(F.col(seq) != F.col("_first"))
+    return df.join(later.select(seq), seq, "left_anti").select(df.columns)
 
 
 def early_reason(syntax_ok: Column, length_ok: Column) -> Column:

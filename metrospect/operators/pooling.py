@@ -11,8 +11,11 @@ from metrospect.functions.vectors import (
 
 
 def pool_mean(states: DataFrame, sequence: str = "seq_id") -> DataFrame:
-    """Mean of the unmasked positions of each sequence; partial sums before the shuffle."""
-    return states.where(F.col("mask") == 1).groupBy(sequence).agg(mean_vector("vec").alias("vec"))
+    """Mean of the unmasked positions of each sequence; partial sums before the shuffle. A sequence
+    without an unmasked position has no mean: NULL."""
+    means = states.where(F.col("mask") == 1).groupBy(sequence).agg(mean_vector("vec").alias("vec"))
+    masked = states.groupBy(sequence).agg(F.max(F.coalesce(F.col("mask"), F.lit(0))).alias("_any")).where("_any <> 1")
+    return means.unionByName(masked.select(sequence, F.lit(None).cast("array<double>").alias("vec")))
 
 
 def pool_last(states: DataFrame, sequence: str = "seq_id") -> DataFrame:

@@ -14,7 +14,17 @@ from metrospect.session import staged_counted
 
 BLOCK_ROWS = 1 << 16
 SKETCH_ACCURACY = 10_000
-ONE_SORT_ROWS = 200_000
+RANGE_ROWS = 200_000
+MIN_RANGES = 8
+
+
+def join_null_safe(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    """Inner join in which NULL keys meet; the keys come from the left."""
+    renamed = right.select(*[F.col(k).alias(f"_right_{k}") if k in keys else F.col(k) for k in right.columns])
+    same = F.lit(True)
+    for key in keys:
+        same &= F.col(key).eqNullSafe(F.col(f"_right_{key}"))
+    return left.join(renamed, same).drop(*[f"_right_{key}" for key in keys])
 
 
 def row_number_within(
@@ -25,7 +35,7 @@ def row_number_within(
 
     A group is cut into blocks of block_rows consecutive seq values, so a block never holds more than
     block_rows rows however hot the group is; block totals give each block its offset. starts may
-    hold one row (keys, start) per key, added to the positions of that key.
+    hold one row (keys, start) per key, added to the positions of that key. NULL is a key like any other.
     """
     blocked = df.withColumn("_block", F.floor(F.col(seq) / block_rows))
     totals = blocked.groupBy(*keys, "_block").agg(F.count(F.lit(1)).alias("_rows"))
@@ -34,51 +44,40 @@ def row_number_within(
         *keys, "_block", F.coalesce(F.sum("_rows").over(earlier), F.lit(0)).alias("_offset")
     )
     if starts is not None:
-        offsets = offsets.join(starts, keys).select(
+        offsets = join_null_safe(offsets, starts, keys).select(
             *keys, "_block", (F.col("_offset") + F.col("start")).alias("_offset")
         )
     within = W.partitionBy(*keys, "_block").orderBy(seq)
     return (
-        blocked.join(offsets, [*keys, "_block"])
+        join_null_safe(blocked, offsets, [*keys, "_block"])
         .withColumn(out, F.col("_offset") + F.row_number().over(within))
         .drop("_block", "_offset")
     )
 
 
-def _range_count(df: DataFrame) -> int:
-    """Value ranges per key: as many as the session has shuffle partitions, within reason."""
-    partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return min(max(partitions, 8), 512)
+def _range_count(rows: int) -> int:
+    """Value ranges per key: a range holds about RANGE_ROWS counted rows."""
+    return max(MIN_RANGES, -(-rows // RANGE_ROWS))
 
 
-def cumulative_counts(
-    df: DataFrame, keys: list[str], value: str, *, one_sort_rows: int = ONE_SORT_ROWS
-) -> DataFrame:
+def cumulative_counts(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     """One row per (keys, value): n rows have it, `before` rows are smaller, `total` rows in the key.
 
     NULL and NaN values and NULL keys are left out. Equal values collapse to counts on the map side;
-    the counts are staged, so their number is known. Up to one_sort_rows of them are ordered per key
-    directly; more are cut into value ranges that are ordered side by side. Exact either way.
+    the counts are staged, so their number is known, and cut into value ranges that are ordered side by
+    side. The limits of the ranges only steer balance; the result is exact.
     """
     present = F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double"))
     for key in keys:
         present &= F.col(key).isNotNull()
     collapsed = df.where(present).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("n"))
     counts, rows = staged_counted(collapsed, "counts")
-    if rows <= one_sort_rows:
-        smaller = W.partitionBy(*keys).orderBy(value).rowsBetween(W.unboundedPreceding, -1)
-        return counts.select(
-            *keys, value, "n",
-            F.coalesce(F.sum("n").over(smaller), F.lit(0)).alias("before"),
-            F.sum("n").over(W.partitionBy(*keys)).alias("total"),
-        )
-    return _ranged_counts(counts, keys, value)
+    return _ranged_counts(counts, keys, value, _range_count(rows))
 
 
-def _ranged_counts(counts: DataFrame, keys: list[str], value: str) -> DataFrame:
+def _ranged_counts(counts: DataFrame, keys: list[str], value: str, ranges: int) -> DataFrame:
     """The cumulative counts by value ranges. Range limits come from a quantile sketch of the distinct
     values, so they only steer balance; range totals give each range its exact offset."""
-    ranges = _range_count(counts)
     shares = [i / ranges for i in range(1, ranges)]
     shape = F.struct(
         F.percentile_approx(value, shares, SKETCH_ACCURACY).alias("limits"),

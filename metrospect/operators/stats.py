@@ -65,9 +65,16 @@ def spearman(
     df: DataFrame, record: str, columns: list[str] = K.METRICS,
     pairs: list[tuple[str, str]] | None = None,
 ) -> DataFrame:
-    """Spearman correlation of column pairs as (metric_a, metric_b, rho); NULL if one is constant."""
+    """Spearman correlation of column pairs as (metric_a, metric_b, rho); NULL if one is constant.
+
+    The population is the rows that have all columns of the pairs; ranks, means and deviations are taken
+    over these rows alone. NaN counts as absent.
+    """
     pairs = pairs or list(itertools.combinations(columns, 2))
-    ranks = rank_matrix(df, record, columns)
+    columns = [c for c in columns if any(c in pair for pair in pairs)]
+    columns += [c for pair in pairs for c in pair if c not in columns]
+    columns = list(dict.fromkeys(columns))
+    ranks = rank_matrix(df.na.drop("any", subset=columns), record, columns)
     covers = [F.covar_pop(a, b).alias(f"c{i}") for i, (a, b) in enumerate(pairs)]
     spreads = [F.stddev_pop(c).alias(f"s_{c}") for c in columns]
     row = ranks.agg(*covers, *spreads)

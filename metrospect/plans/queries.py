@@ -706,7 +706,7 @@ def verdict_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "verdicts")
     lines = I.table(spark, sf_dir, "labels").select(F.coalesce(document, tasks).alias("value"))
     lines.write.text(path)
-    return records_io.read_verdicts(spark, path)
+    return records_io.read_verdicts(spark, path, per_line=True)
 
 
 @query

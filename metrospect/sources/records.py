@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -43,8 +44,29 @@ def write_jsonl(df: DataFrame, path: str) -> None:
 
 
 def read_jsonl(spark: SparkSession, path: str, schema: str = SAMPLE_SCHEMA) -> DataFrame:
-    """JSON lines with a declared schema; blank lines are skipped."""
-    return spark.read.schema(schema).json(path)
+    """JSON lines with a declared schema; blank lines are skipped, a line that is no JSON raises."""
+    return spark.read.schema(schema).option("mode", "FAILFAST").json(path)
+
+
+def read_samples(spark: SparkSession, path: str) -> DataFrame:
+    """Sample records with seq, a whole number that grows in file order (files by name), and solution, which
+    falls back to raw_solution.
+
+    A split knows its file and its first byte; lines within a split keep their order, so seq needs the
+    number of the split and the line's place in it, and the lines are not sorted.
+    """
+    schema = f"{SAMPLE_SCHEMA}, raw_solution string"
+    lines = spark.read.text(path).select(
+        "value", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_start"),
+        F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)).alias("_line"),
+    )
+    by_place = W.orderBy("_file", "_start")
+    splits = lines.select("_file", "_start").distinct().withColumn("_split", F.row_number().over(by_place))
+    parsed = lines.where(F.trim("value") != "").join(splits, ["_file", "_start"]).select(
+        F.from_json("value", schema, {"mode": "FAILFAST"}).alias("record"),
+        (F.col("_split") * F.lit(1 << 33) + F.col("_line")).alias("seq"),
+    )
+    return parsed.select("seq", "record.*").withColumn("solution", F.coalesce("solution", "raw_solution"))
 
 
 def read_metric_rows(spark: SparkSession, path: str) -> DataFrame:
@@ -56,7 +78,7 @@ def read_metric_rows(spark: SparkSession, path: str) -> DataFrame:
 
 
 def verdicts_from_json(text: Column) -> Column:
-    """Array of (task_id, generation_id, status, passed) from one evaluation document.
+    """Map entries (task, JSON list of results) of one evaluation document.
 
     The task map may be wrapped in "eval" or be the document; entries that are no list are skipped.
     """
@@ -66,12 +88,13 @@ def verdicts_from_json(text: Column) -> Column:
     return lists
 
 
-def read_verdicts(spark: SparkSession, path: str) -> DataFrame:
-    """(task_id, generation_id, status, passed) rows of evaluation documents, one document per line.
+def read_verdicts(spark: SparkSession, path: str, per_line: bool = False) -> DataFrame:
+    """(task_id, generation_id, status, passed) rows of evaluation documents: one per file, indented or not,
+    or one per line.
 
     The position in a task's result list is the generation id.
     """
-    documents = spark.read.text(path).where(F.trim("value") != "")
+    documents = spark.read.text(path, wholetext=not per_line).where(F.trim("value") != "")
     tasks = documents.select(F.explode(verdicts_from_json(F.col("value"))).alias("task"))
     results = tasks.select(
         F.col("task.key").alias("task_id"),
@@ -106,7 +129,7 @@ def write_run_metadata(spark: SparkSession, path: str, **fields: object) -> None
 
 
 def read_run_metadata(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.json(path)
+    return spark.read.option("multiLine", "true").json(path)
 
 
 def summary_name(path: Column) -> Column:
@@ -121,11 +144,11 @@ def summary_name(path: Column) -> Column:
 def read_summaries(
     spark: SparkSession, path: str, models: list[str], metrics: list[str] = K.REPORT_METRICS
 ) -> DataFrame:
-    """Run summaries of a folder with (pass_k, model, metric, alpha) from their names.
+    """Run summaries of a folder, one document per file, with (pass_k, model, metric, alpha) from their names.
 
     Summaries whose name has no known form are left out.
     """
-    reader = spark.read.schema(SUMMARY_SCHEMA).option("recursiveFileLookup", "true")
+    reader = spark.read.schema(SUMMARY_SCHEMA).option("recursiveFileLookup", "true").option("multiLine", "true")
     named = reader.json(path).withColumn(
         "run", parse_run_name(summary_name(F.col("_metadata.file_path")), models, metrics)
     )

@@ -5,11 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-VECTOR_SCHEMA = "id long, vec array<float>, layer int, pool string"
-
-
 def write_vectors(vectors: DataFrame, path: str) -> None:
-    """Vector cells by layer and pool; the folder of a cell holds only its rows."""
+    """Vector cells by layer and pool; the folder of a cell holds only its rows. Ids keep their type."""
     rows = vectors.select("id", F.col("vec").cast("array<float>").alias("vec"), "layer", "pool")
     rows.write.mode("overwrite").partitionBy("layer", "pool").parquet(path)
 
@@ -18,7 +15,7 @@ def read_vectors(
     spark: SparkSession, path: str, layer: int | None = None, pool: str | None = None
 ) -> DataFrame:
     """Vector table, or one layer or pool of it by partition pruning."""
-    df = spark.read.schema(VECTOR_SCHEMA).parquet(path)
+    df = spark.read.parquet(path)
     if layer is not None:
         df = df.where(F.col("layer") == layer)
     if pool is not None:
@@ -31,7 +28,7 @@ def write_index(index: DataFrame, path: str) -> None:
 
 
 def read_index(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema("id long, split string").parquet(path)
+    return spark.read.parquet(path).select("id", "split")
 
 
 def with_metrics(index: DataFrame, metrics: DataFrame, key: str = "id") -> DataFrame:
@@ -50,12 +47,17 @@ def with_metrics(index: DataFrame, metrics: DataFrame, key: str = "id") -> DataF
     return index.join(unique, key, "left")
 
 
+def _replace(rows: DataFrame, path: str, *keys: str) -> None:
+    """Write the cells that rows has and leave all others as they are."""
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*keys).parquet(path)
+
+
 def write_probe_results(
     results: DataFrame, path: str, model: str, ridge_alpha: float
 ) -> None:
-    """Probe results with their weights, keyed by model and pool."""
+    """Probe results with their weights, keyed by model and pool; others in the folder stay."""
     rows = results.withColumn("model", F.lit(model)).withColumn("ridge_alpha", F.lit(ridge_alpha))
-    rows.write.mode("overwrite").partitionBy("model", "pool").parquet(path)
+    _replace(rows, path, "model", "pool")
 
 
 def read_probe_results(spark: SparkSession, path: str) -> DataFrame:
@@ -69,7 +71,7 @@ def probe_weights(results: DataFrame, layer: int, pool: str, metric: str) -> Dat
 
 def write_contrast(contrast: DataFrame, path: str, model: str, p: int) -> None:
     rows = contrast.withColumn("model", F.lit(model)).withColumn("p", F.lit(p))
-    rows.write.mode("overwrite").partitionBy("model", "metric").parquet(path)
+    _replace(rows, path, "model", "metric", "p")
 
 
 def read_contrast(

@@ -1,17 +1,16 @@
+import ast
 import math
 
 import pytest
 
-from metrospect.functions.pyast import (
-    as_function, parses_cleanly, python_metrics, with_python_metrics,
-)
+from metrospect.functions.pyast import enclosed, parses_cleanly, python_metrics, with_python_metrics
 
-SIMPLE = "def foo(x, y):\n    return x + y * 2\n"
+SIMPLE = "def area(width, height):\n    whole = width * height\n    return whole / 2\n"
 BRANCHY = (
-    "def foo(x):\n    if x > 0:\n        return x\n    elif x < 0:\n        return -x\n"
-    "    else:\n        return 0\n"
+    "def grade(points):\n    while points > 90:\n        points -= 1\n"
+    "    if points and points % 2:\n        return 'odd'\n    return 'even'\n"
 )
-SCRIPT = "# this is a comment\nx = 1\ny = 2\n"
+SCRIPT = "total = 0\nlimit = 5  # upper end\nprint(total)\n# done\n"
 
 
 @pytest.mark.parametrize(
@@ -23,19 +22,20 @@ def test_validity(source, ok):
     assert parses_cleanly(source) is ok
 
 
-def test_wrapping():
-    assert as_function("x = 1\ny = 2\n").startswith("def _module():")
-    for source in (SIMPLE, "async def foo():\n    return 1\n"):
-        assert as_function(source) == source
+def test_statements_without_a_function_are_enclosed():
+    tree = enclosed(ast.parse(SCRIPT))
+    assert [node.name for node in tree.body] == ["_module"] and len(tree.body[0].body) == 3
+    with pytest.raises(IndentationError):
+        enclosed(ast.parse("# nothing\n"))
 
 
 def test_simple_and_branchy_function():
     simple = python_metrics(SIMPLE)
-    assert simple["cc"] == 1 and simple["comment_ratio"] == 0 and simple["sloc"] == 2
+    assert simple["cc"] == 1 and simple["comment_ratio"] == 0 and simple["sloc"] == 3
     assert 0 <= simple["mi"] <= 100
     assert simple["h_volume"] == pytest.approx(6 * math.log2(2 + 4))
-    assert python_metrics(BRANCHY)["cc"] == 3
-    assert python_metrics(SCRIPT)["comment_ratio"] == pytest.approx(1 / 4)
+    assert python_metrics(BRANCHY)["cc"] == 4
+    assert python_metrics(SCRIPT)["comment_ratio"] == pytest.approx(1 / 3)
 
 
 def test_decisions_strings_and_docstrings():

@@ -8,12 +8,11 @@ from metrospect.operators import ranking, selection
 from metrospect.operators.batching import length_batches, overflow_flags, padding_report
 
 
-@pytest.fixture(params=["one_sort", "ranges"])
+@pytest.fixture(params=["few_ranges", "many_ranges"])
 def path(request, monkeypatch):
-    """Both ways to order counted values: directly and by value ranges."""
-    if request.param == "ranges":
-        defaults = ranking.cumulative_counts.__kwdefaults__ | {"one_sort_rows": 0}
-        monkeypatch.setattr(ranking.cumulative_counts, "__kwdefaults__", defaults)
+    """Counted values in the least number of ranges and in many."""
+    if request.param == "many_ranges":
+        monkeypatch.setattr(ranking, "RANGE_ROWS", 7)
     return request.param
 
 
@@ -155,3 +154,12 @@ def test_overflow_drops_the_whole_batch(spark):
     df = spark.createDataFrame([(i, 9 if i == 5 else 2) for i in range(8)], "pos long, tokens int")
     flags = {r["pos"]: r["overflow"] for r in overflow_flags(df, "pos", "tokens", 4, 8).collect()}
     assert [flags[i] for i in range(8)] == [False] * 4 + [True] * 4
+
+
+def test_null_keys_are_numbered_and_null_lengths_come_last(spark):
+    rows = spark.createDataFrame([(1, "a"), (2, None), (3, None), (4, "a")], "seq long, task string")
+    got = {(r.task, r.seq): r.place for r in ranking.row_number_within(rows, ["task"], "seq", "place").collect()}
+    assert got == {("a", 1): 1, ("a", 4): 2, (None, 2): 1, (None, 3): 2}
+    lengths = spark.createDataFrame([(1, 5), (2, None), (3, 4), (4, None)], "id long, n int")
+    placed = {r.id: r.position for r in length_batches(lengths, "n", "id", 2).collect()}
+    assert placed == {3: 0, 1: 1, 2: 2, 4: 3}

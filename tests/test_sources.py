@@ -105,3 +105,32 @@ def test_tasks_and_metadata(spark, tmp_path):
     records.write_run_metadata(spark, path, model_name="m", p=10, temperature=0.2, pools=["last"])
     row = records.read_run_metadata(spark, path).first()
     assert (row["model_name"], row["p"], row["temperature"], row["pools"]) == ("m", 10, 0.2, ["last"])
+
+
+def test_indented_documents_and_samples_in_file_order(spark, tmp_path):
+    import json
+
+    (tmp_path / "results.json").write_text(json.dumps({"eval": {"t1": [{"status": "pass"}, {"status": "fail"}]}}, indent=2))
+    got = {(r.task_id, r.generation_id): r.passed for r in records.read_verdicts(spark, str(tmp_path / "results.json")).collect()}
+    assert got == {("t1", 0): True, ("t1", 1): False}
+    (tmp_path / "meta.json").write_text(json.dumps({"model_name": "m", "p": 10}, indent=2))
+    assert records.read_run_metadata(spark, str(tmp_path / "meta.json")).first()["p"] == 10
+    lines = [{"task_id": f"t{i % 3}", "raw_solution": str(i)} for i in range(50)] + [{"task_id": None, "solution": "s", "raw_solution": "r"}]
+    (tmp_path / "samples.jsonl").write_text("\n".join(map(json.dumps, lines)) + "\n\n")
+    samples = records.read_samples(spark, str(tmp_path / "samples.jsonl")).orderBy("seq").collect()
+    assert [r.solution for r in samples] == [*map(str, range(50)), "s"]
+    (tmp_path / "broken.jsonl").write_text('{"task_id": "a"}\n{"task_id": \n')
+    with pytest.raises(Exception):
+        records.read_jsonl(spark, str(tmp_path / "broken.jsonl")).collect()
+
+
+def test_stores_hold_several_models_and_shares(spark, tmp_path):
+    contrast = spark.createDataFrame([("mi", 1, [1.0])], "metric string, layer int, vec array<double>")
+    path = str(tmp_path / "c")
+    for p in (10, 25, 10):
+        tables.write_contrast(contrast, path, "m", p)
+    tables.write_contrast(contrast, path, "n", 10)
+    assert tables.read_contrast(spark, path).count() == 3
+    ids = spark.createDataFrame([("a", 1, "mean", [1.0]), ("b", 1, "last", [2.0])], "id string, layer int, pool string, vec array<double>")
+    tables.write_vectors(ids, str(tmp_path / "v"))
+    assert {r.id for r in tables.read_vectors(spark, str(tmp_path / "v")).collect()} == {"a", "b"}

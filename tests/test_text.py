@@ -128,3 +128,22 @@ def test_lexical_metrics_of_nothing(spark):
     for row in rows:
         assert row["cc"] is None and row["mi"] is None
         assert row["metrics_error"] == "IndentationError"
+
+
+def test_numbers_print_as_python_prints_them(spark):
+    from metrospect.functions.names import compact_number, fixed_point
+
+    values = [9999999.0, 999999.5, 9.999995e-05, 9.9999995e-05, 0.5, 100000.0, 123456.7, -1e-7, 0.0001, 12.5]
+    frame = spark.createDataFrame([(v,) for v in values], "x double")
+    assert [r.s for r in frame.select(compact_number("x").alias("s")).collect()] == [f"{v:g}" for v in values]
+    ties = [0.25, 2.25, -0.75, 0.0, 12.0, -100.25]
+    frame = spark.createDataFrame([(v,) for v in ties], "x double")
+    got = [r.s for r in frame.select(fixed_point("x", 1, 6, signed=True).alias("s")).collect()]
+    assert got == [f"{v:+6.1f}" for v in ties]
+
+
+def test_strip_removes_all_blanks(spark):
+    from metrospect.functions.text import strip
+
+    text = "\u3000\xa0\x85 a b\u2009\n"
+    assert spark.range(1).select(strip(F.lit(text)).alias("s")).first().s == text.strip()
