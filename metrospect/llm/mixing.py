@@ -168,16 +168,19 @@ def mixed_rows(docs: DataFrame) -> DataFrame:
     Of rows alike in doc_id, source and text one is read for all. A use of a part of a document keeps its
     first words, joined by one space, and n_chars, if there is one, follows.
     """
+    # One key column for both steps, in which null fields are equal: rows dealt by it once serve the join too.
+    # coalesce gives both keys one type: a staged hash may be null for the planner, a computed one not.
+    key = lambda text_hash, doc_id, source: F.struct(
+        F.coalesce(text_hash, F.lit(0)).alias("text_hash"), doc_id.alias("doc_id"), source.alias("source"))
     uses = mix(docs).select(
-        F.col("doc_id").alias("of_id"), F.col("source").alias("of_source"), "text_hash", F.explode("uses").alias("use"))
+        key(F.col("text_hash"), F.col("doc_id"), F.col("source")).alias("key"), F.explode("uses").alias("use"))
     text = F.col("row.text").cast("string")
     rows = docs.select(F.struct("*").alias("row")).select(
-        "row", F.xxhash64(F.coalesce(text, F.lit(""))).alias("hash"),
-        F.col("row.doc_id").alias("id"), F.col("row.source").cast("string").alias("from"),
+        "row", key(
+            F.xxhash64(F.coalesce(text, F.lit(""))), F.col("row.doc_id"), F.col("row.source").cast("string")).alias("key"),
         F.regexp_count(F.coalesce(text, F.lit("")), F.lit(WORD)).alias("size"),
-    ).dropDuplicates(["hash", "id", "from"])
-    same = (F.col("hash") == F.col("text_hash")) & F.col("id").eqNullSafe(F.col("of_id")) & F.col("from").eqNullSafe(F.col("of_source"))
-    used = rows.join(uses, same)
+    ).dropDuplicates(["key"])
+    used = rows.join(uses, "key")
     first_words = F.array_join(F.slice(F.split(F.ltrim(F.regexp_replace(text, BLANKS, " ")), " "), 1, F.col("use.words").cast("int")), " ")
     part = F.when(F.col("use.words") < F.col("size"), first_words).otherwise(text)
     used = used.withColumn("part", part)
@@ -189,5 +192,5 @@ def mixed_rows(docs: DataFrame) -> DataFrame:
         elif name == "n_chars":
             column = F.when(F.col("use.words") < F.col("size"), F.length("part").cast("long")).otherwise(column)
         columns.append(column.alias(name))
-    order = (F.col("use.position"), F.col("from"), F.col("id"), F.col("use.epoch"))
+    order = (F.col("use.position"), F.col("key.source"), F.col("key.doc_id"), F.col("use.epoch"))
     return used.repartitionByRange(*order).sortWithinPartitions(*order).select(*columns)
