@@ -90,16 +90,20 @@ def curate(
 ) -> DataFrame:
     """The whole cascade in batch; ids are the columns of the id fallback chain.
 
-    A lexical text is measured only after it has survived the cheap checks and dedup.
+    A text is measured once, and only after it has survived the cheap checks and dedup. Copies are valid
+    or not together, so a Python text is parsed only after dedup, whose pass also tells if it is valid.
     """
     base = df.withColumn("source", source).select(*dict.fromkeys(["source", seq, *ids]))
+    cheap = tx.length_ok("source", min_chars, max_chars)
     if profile == "lexical":
-        fit = base.where(lexically_valid("source") & tx.length_ok("source", min_chars, max_chars))
-        hashed = fit.withColumn("sha256", tx.sha256_hex("source"))
-        measured = with_lexical_metrics(first_seen(hashed, "sha256", seq))
+        cheap = lexically_valid("source") & cheap
+    elif profile != "python_ast":
+        raise ValueError(f"unknown profile {profile!r}")
+    unique = first_seen(
+        base.where(cheap).withColumn("sha256", tx.sha256_hex("source")), "sha256", seq
+    )
+    if profile == "lexical":
+        measured = with_lexical_metrics(unique)
     else:
-        ready = prepare(
-            base, F.col("source"), seq, profile=profile, min_chars=min_chars, max_chars=max_chars
-        ).where(F.col("early_reason").isNull())
-        measured = first_seen(ready, "sha256", seq)
+        measured = with_python_metrics(unique).where("valid")
     return to_curated(measured.where(F.col("metrics_error").isNull()), *ids)

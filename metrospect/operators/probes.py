@@ -1,17 +1,11 @@
-"""Ridge probes and principal components from keyed second moments.
-
-One pass over the vectors yields, per (layer, pool, metric, part), the sums that ridge, R² and PCA need.
-Tasks emit d x d sums, never rows; sums are merged in two shuffles (salted, then by key), streaming.
-"""
+"""Ridge probes and principal components from keyed second moments, exact at every width."""
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
-import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -19,171 +13,72 @@ from pyspark.sql import types as T
 
 from metrospect import constants as K
 from metrospect.functions.vectors import dot, has_signal, norm
-from metrospect.operators.wide_probes import fit_wide_probes, wide_axes
-from metrospect.session import broadcast_if_small, staged
-
-KEYS = ["layer", "pool", "metric", "part"]
-MAX_GRAM_WIDTH = 1024
-SALTS = 16
-MOMENT_SCHEMA = (
-    "layer int, pool string, metric string, part string, salt int, n long, sy double, syy double, "
-    "sx array<double>, sxy array<double>, sxx array<double>"
-)
+from metrospect.operators.moments import TILE, Part, parts_of, second_moments
+from metrospect.session import broadcast_if_small
+
 RESULT_SCHEMA = (
     "layer int, pool string, metric string, r2_train double, r2_test double, n_train long, "
     "n_test long, intercept double, weights array<double>"
 )
-_ARROW = pa.schema(
-    [
-        ("layer", pa.int32()), ("pool", pa.string()), ("metric", pa.string()),
-        ("part", pa.string()), ("salt", pa.int32()), ("n", pa.int64()),
-        ("sy", pa.float64()), ("syy", pa.float64()),
-        ("sx", pa.list_(pa.float64())), ("sxy", pa.list_(pa.float64())),
-        ("sxx", pa.list_(pa.float64())),
-    ]
-)
-Sums = list  # [n, sy, syy, sx, sxy, sxx]
-
-
-def _matrix(column: pa.Array) -> np.ndarray:
-    """Rows of equal-length lists as a 2-d float64 array."""
-    flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-    x = flat.reshape(len(column), -1) if len(column) else flat.reshape(0, 0)
-    if x.shape[1] > MAX_GRAM_WIDTH:
-        raise ValueError(f"width {x.shape[1]} needs wide_probes, beyond {MAX_GRAM_WIDTH}")
-    return x
-
-
-def _add(store: dict[tuple, Sums], key: tuple, sums: Sums) -> None:
-    held = store.get(key)
-    store[key] = sums if held is None else [a + b for a, b in zip(held, sums)]
-
-
-def _emit(store: dict[tuple, Sums], salt: int) -> Iterator[pa.RecordBatch]:
-    for (layer, pool, metric, part), (n, sy, syy, sx, sxy, sxx) in store.items():
-        row = {
-            "layer": [layer], "pool": [pool], "metric": [metric], "part": [part],
-            "salt": [salt], "n": [int(n)], "sy": [float(sy)], "syy": [float(syy)],
-            "sx": [sx], "sxy": [sxy], "sxx": [np.ravel(sxx)],
-        }
-        yield pa.RecordBatch.from_pydict(row, schema=_ARROW)
-
-
-def _collect_sums(metrics: list[str]) -> Callable:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        store: dict[tuple, Sums] = {}
-        for batch in batches:
-            x = _matrix(batch.column("vec"))
-            cells = batch.select(["layer", "pool", "part"]).to_pandas()
-            targets = {
-                m: batch.column(m).to_numpy(zero_copy_only=False).astype(np.float64)
-                for m in metrics
-            }
-            for (layer, pool, part), index in cells.groupby(["layer", "pool", "part"]).indices.items():
-                whole = x[index]
-                gram = whole.T @ whole
-                for m in metrics:
-                    absent = np.isnan(targets[m][index])
-                    if absent.all():
-                        continue
-                    xs, y = whole[~absent], targets[m][index][~absent]
-                    if 2 * absent.sum() < len(index):
-                        # Most rows count: take the few others off the sum all metrics share.
-                        square = gram - whole[absent].T @ whole[absent]
-                    else:
-                        square = xs.T @ xs
-                    sums = [len(y), y.sum(), y @ y, xs.sum(0), xs.T @ y, np.ravel(square)]
-                    _add(store, (int(layer), pool, m, part), sums)
-        yield from _emit(store, TaskContext.get().partitionId() % SALTS)
-
-    return run
-
-
-def _merge_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    store: dict[tuple, Sums] = {}
-    for batch in batches:
-        small = {c: batch.column(c).to_pylist() for c in [*KEYS, "n", "sy", "syy"]}
-        lists = {c: batch.column(c) for c in ("sx", "sxy", "sxx")}
-        for i in range(batch.num_rows):
-            key = tuple(small[c][i] for c in KEYS)
-            wide = [lists[c][i].values.to_numpy(zero_copy_only=False) for c in lists]
-            _add(store, key, [small["n"][i], small["sy"][i], small["syy"][i], *wide])
-    yield from _emit(store, 0)
 
 
-def second_moments(rows: DataFrame, metrics: list[str]) -> DataFrame:
-    """Sums per (layer, pool, metric, part). rows: layer, pool, part, vec and one target column per
-    metric, NULL where the row does not count for that metric."""
-    lean = rows.select("layer", "pool", "part", "vec", *[F.col(m).cast("double") for m in metrics])
-    partial = lean.mapInArrow(_collect_sums(metrics), MOMENT_SCHEMA)
-    salted = partial.repartition(*KEYS, "salt").mapInArrow(_merge_sums, MOMENT_SCHEMA)
-    return salted.repartition("layer", "pool", "metric").mapInArrow(_merge_sums, MOMENT_SCHEMA)
-
-
-def _explained(part: pd.Series, offset: float, slope: np.ndarray) -> float | None:
+def _explained(part: Part, offset: float, slope: np.ndarray) -> float | None:
     """R² of offset + slope·x on the rows behind one set of sums; None without variance."""
-    d = len(slope)
-    n, sx, sxy = part["n"], np.asarray(part["sx"]), np.asarray(part["sxy"])
-    sxx = np.asarray(part["sxx"]).reshape(d, d)
-    spread = part["syy"] - part["sy"] ** 2 / n
+    spread = part.syy - part.sy**2 / part.n
     if not spread > 0:
         return None
-    fitted = offset * part["sy"] + slope @ sxy
-    squared = n * offset**2 + 2 * offset * (slope @ sx) + slope @ sxx @ slope
-    return float(1 - (part["syy"] - 2 * fitted + squared) / spread)
+    fitted = offset * part.sy + slope @ part.sxy
+    squared = part.n * offset**2 + 2 * offset * (slope @ part.sx) + part.form(slope)
+    return float(1 - (part.syy - 2 * fitted + squared) / spread)
 
 
-def _solver(alpha: float) -> Callable:
+def _solver(alpha: float, tile: int) -> Callable:
     names = [f.name for f in T._parse_datatype_string(RESULT_SCHEMA).fields]
 
-    def solve(group: pd.DataFrame) -> pd.DataFrame:
-        parts = {p: row for p, row in zip(group["part"], group.to_dict("records"))}
+    def solve(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
+        parts = parts_of(group, tile)
         train, test = parts.get("train"), parts.get("test")
         if train is None:
             return pd.DataFrame(columns=names)
-        n, d = train["n"], len(train["sx"])
-        mean = np.asarray(train["sx"]) / n
-        mean_y = train["sy"] / n
-        cov = np.asarray(train["sxx"]).reshape(d, d) - n * np.outer(mean, mean)
-        scale = np.sqrt(np.clip(np.diag(cov), 0, None) / n)
+        n, mean, mean_y = train.n, train.sx / train.n, train.sy / train.n
+        inner = train.square()
+        inner -= n * np.outer(mean, mean)
+        scale = np.sqrt(np.clip(np.diag(inner), 0, None) / n)
         scale[scale <= 1e-12 * np.maximum(1, np.abs(mean))] = 1.0
-        inner = cov / np.outer(scale, scale) + alpha * np.eye(d)
-        weights = np.linalg.solve(inner, (np.asarray(train["sxy"]) - n * mean * mean_y) / scale)
+        inner /= scale
+        inner /= scale[:, None]
+        inner[np.diag_indices_from(inner)] += alpha
+        weights = np.linalg.solve(inner, (train.sxy - n * mean * mean_y) / scale)
         slope = weights / scale
         offset = mean_y - slope @ mean
         row = [
-            train["layer"], train["pool"], train["metric"], _explained(train, offset, slope),
+            *key, _explained(train, offset, slope),
             None if test is None else _explained(test, offset, slope),
-            n, 0 if test is None else test["n"], mean_y, weights.tolist(),
+            n, 0 if test is None else test.n, mean_y, weights.tolist(),
         ]
         return pd.DataFrame([row], columns=names)
 
     return solve
 
 
-def fit_probes(moments: DataFrame, alpha: float = K.RIDGE_ALPHA) -> DataFrame:
+def fit_probes(moments: DataFrame, alpha: float = K.RIDGE_ALPHA, tile: int = TILE) -> DataFrame:
     """Ridge on features standardised by the train rows, with R² on train and test.
 
-    Each group holds the train and the test sums of one probe, so it is two rows.
+    A group holds the tiles of the train and the test sums of one probe, whatever the number of rows:
+    about 210 MB at width 5120.
     """
-    return moments.groupBy("layer", "pool", "metric").applyInPandas(_solver(alpha), RESULT_SCHEMA)
-
-
-def _width(vectors: DataFrame) -> int:
-    first = vectors.select(F.size("vec").alias("width")).first()
-    return first["width"] if first else 0
+    return moments.groupBy("layer", "pool", "metric").applyInPandas(_solver(alpha, tile), RESULT_SCHEMA)
 
 
 def probe_sweep(
     vectors: DataFrame, labelled: DataFrame, record: str = "id",
-    metrics: list[str] = K.METRICS, alpha: float = K.RIDGE_ALPHA, max_gram: int = MAX_GRAM_WIDTH,
+    metrics: list[str] = K.METRICS, alpha: float = K.RIDGE_ALPHA, tile: int = TILE,
 ) -> DataFrame:
-    """Every (layer, pool, metric) probe together.
+    """Every (layer, pool, metric) probe together, exactly, in one pass over the vectors of any width.
 
     labelled: record, split, metrics and <metric>_inside flags. Rows count for a probe when the vector
     is not zero, the split is train or test and the metric is strictly inside its limits. A small
-    target table is broadcast, so the vectors are not shuffled. Vectors up to max_gram wide need one
-    pass; wider ones are fitted by iteration over staged rows.
+    target table is broadcast, so the vectors are not shuffled.
     """
     targets = [
         F.when(F.col(f"{m}_inside"), F.col(m)).cast("double").alias(m) for m in metrics
@@ -192,47 +87,33 @@ def probe_sweep(
         record, F.col("split").alias("part"), *targets
     )
     rows = vectors.where(has_signal("vec")).join(broadcast_if_small(wanted, "targets"), record)
-    if _width(vectors) <= max_gram:
-        return fit_probes(second_moments(rows, metrics), alpha)
-    fixed = staged(rows, "probe-rows", ("layer", "pool"))
-    return vectors.sparkSession.createDataFrame(
-        fit_wide_probes(fixed, metrics, alpha), RESULT_SCHEMA
-    )
+    return fit_probes(second_moments(rows, metrics, tile), alpha, tile)
 
 
 AXES_SCHEMA = "layer int, pool string, n long, mean array<double>, axes array<array<double>>"
 
 
-def _axes(count: int) -> Callable:
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        row = group.iloc[0]
-        n, mean = row["n"], np.asarray(row["sx"]) / row["n"]
-        d = len(mean)
-        cov = np.asarray(row["sxx"]).reshape(d, d) / n - np.outer(mean, mean)
-        _, basis = np.linalg.eigh(cov)
+def _axes(count: int, tile: int) -> Callable:
+    def run(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
+        rows = parts_of(group, tile)["all"]
+        mean = rows.sx / rows.n
+        _, basis = np.linalg.eigh(rows.square() / rows.n - np.outer(mean, mean))
         axes = basis[:, ::-1][:, :count].T
         largest = axes[np.arange(len(axes)), np.abs(axes).argmax(1)]
         axes = axes * np.sign(largest)[:, None]
         return pd.DataFrame(
-            [[row["layer"], row["pool"], n, mean.tolist(), axes.tolist()]],
+            [[*key, rows.n, mean.tolist(), axes.tolist()]],
             columns=["layer", "pool", "n", "mean", "axes"],
         )
 
     return run
 
 
-def principal_axes(
-    vectors: DataFrame, count: int = 2, max_gram: int = MAX_GRAM_WIDTH
-) -> DataFrame:
-    """Mean and leading principal axes of every layer and pool; an axis' largest loading is positive.
-
-    Stage vectors beyond max_gram wide: the iteration reads them once per step.
-    """
-    if _width(vectors) > max_gram:
-        return vectors.sparkSession.createDataFrame(wide_axes(vectors, count), AXES_SCHEMA)
+def principal_axes(vectors: DataFrame, count: int = 2, tile: int = TILE) -> DataFrame:
+    """Mean and leading principal axes of every layer and pool; an axis' largest loading is positive."""
     rows = vectors.withColumn("part", F.lit("all")).withColumn("one", F.lit(1.0))
-    sums = second_moments(rows, ["one"])
-    return sums.groupBy("layer", "pool").applyInPandas(_axes(count), AXES_SCHEMA)
+    sums = second_moments(rows, ["one"], tile)
+    return sums.groupBy("layer", "pool").applyInPandas(_axes(count, tile), AXES_SCHEMA)
 
 
 def pca_scores(vectors: DataFrame, axes: DataFrame, count: int = 2) -> DataFrame:

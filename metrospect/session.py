@@ -5,11 +5,11 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-# A narrow table of this many rows (below 200 MB) may be broadcast.
-BROADCAST_ROWS = 2_000_000
+# A table may be broadcast when its rows, written out as text, take no more than this.
+BROADCAST_BYTES = 128 << 20
 
 
 def local_session(cores: int | str = "*", app: str = "metrospect", **conf: str) -> SparkSession:
@@ -66,21 +66,26 @@ def staged(df: DataFrame, label: str, partition_by: tuple[str, ...] = ()) -> Dat
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _staged_observed(df: DataFrame, label: str, measure: Column) -> tuple[DataFrame, int]:
+    seen = Observation()
+    table = staged(df.observe(seen, F.coalesce(measure, F.lit(0)).alias("total")), label)
+    return table, int(seen.get["total"])
+
+
 def staged_counted(df: DataFrame, label: str) -> tuple[DataFrame, int]:
     """staged, and the number of rows, counted while they are written."""
-    seen = Observation()
-    table = staged(df.observe(seen, F.count(F.lit(1)).alias("rows")), label)
-    return table, int(seen.get["rows"])
+    return _staged_observed(df, label, F.count(F.lit(1)))
 
 
-def broadcast_if_small(df: DataFrame, label: str, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Stage a narrow table and mark it for broadcast only when its counted rows allow it.
+def broadcast_if_small(df: DataFrame, label: str, max_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """Stage a table and mark it for broadcast only when the measured bytes of its rows allow it.
 
-    Saves the shuffle of a wide table on the other side of a join; beyond max_rows the planner joins
+    Saves the shuffle of a wide table on the other side of a join; beyond max_bytes the planner joins
     by shuffle as usual.
     """
-    table, rows = staged_counted(df, label)
-    return F.broadcast(table) if rows <= max_rows else table
+    written = F.octet_length(F.to_json(F.struct(*df.columns)))
+    table, size = _staged_observed(df, label, F.sum(written))
+    return F.broadcast(table) if size <= max_bytes else table
 
 
 def spread(scan: DataFrame, key: str) -> DataFrame:

@@ -3,7 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from metrospect.functions import vectors as vx
-from metrospect.operators import contrast, pooling, probes, stats
+from metrospect.operators import contrast, moments, pooling, probes, stats
 from metrospect.operators.selection import with_inside_flags
 
 SCHEMA = "id long, layer int, pool string, vec array<double>"
@@ -56,8 +56,8 @@ def ridge(x, y, alpha=1.0):
     return w, r2
 
 
-@pytest.mark.parametrize("max_gram", [64, 2])
-def test_probe_sweep_matches_brute_force(spark, max_gram):
+@pytest.mark.parametrize("tile", [64, 4, 1])
+def test_probe_sweep_matches_brute_force(spark, tile):
     rng = np.random.default_rng(1)
     n, d = 300, 6
     x = {1: rng.normal(3, 2, size=(n, d)), 2: rng.normal(size=(n, d)) * [1, 2, 3, 4, 5, 0]}
@@ -72,7 +72,7 @@ def test_probe_sweep_matches_brute_force(spark, max_gram):
         "id long, split string, cc double, mi double",
     )
     flagged = with_inside_flags(labelled, ["cc", "mi"])
-    results = probes.probe_sweep(vectors, flagged, metrics=["cc", "mi"], max_gram=max_gram).collect()
+    results = probes.probe_sweep(vectors, flagged, metrics=["cc", "mi"], tile=tile).collect()
     assert len(results) == 4
     for row in results:
         xs, y = x[row["layer"]], cc if row["metric"] == "cc" else mi
@@ -86,14 +86,14 @@ def test_probe_sweep_matches_brute_force(spark, max_gram):
         assert row["r2_test"] == pytest.approx(r2(xs[test], y[test]), abs=1e-8)
 
 
-@pytest.mark.parametrize("max_gram", [64, 2])
-def test_pca_matches_svd_up_to_sign(spark, max_gram):
+@pytest.mark.parametrize("tile", [64, 4, 1])
+def test_pca_matches_svd_up_to_sign(spark, tile):
     rng = np.random.default_rng(3)
     cells = {(1, "mean"): rng.normal(size=(80, 5)) * [5, 3, 1, 1, 1] + 7,
              (2, "last"): rng.normal(size=(60, 5)) * [1, 1, 9, 2, 1]}
     frames = [table(spark, x, *key) for key, x in cells.items()]
     vectors = frames[0].unionByName(frames[1]).repartition(4)
-    scores = probes.pca_scores(vectors, probes.principal_axes(vectors, 2, max_gram)).collect()
+    scores = probes.pca_scores(vectors, probes.principal_axes(vectors, 2, tile)).collect()
     for (layer, pool), x in cells.items():
         rows = sorted((r["id"], r["pc_0"], r["pc_1"]) for r in scores
                       if (r["layer"], r["pool"]) == (layer, pool))
@@ -161,3 +161,23 @@ def test_score_reports_pick_the_lower_layer_on_ties(spark):
     pivot = {r["layer"]: r["mi"] for r in
              probes.score_pivot(scores.where("model = 'x'"), "layer").collect()}
     assert pivot == {1: 0.5, 2: 0.7, 3: 0.7}
+
+
+def test_moments_survive_flushes_and_refuse_unequal_widths(spark):
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(50, 7))
+    y = [None if i % 3 == 0 else float(i) for i in range(50)]
+    rows = [(1, "mean", "train", v.tolist(), 1.0, t) for v, t in zip(x, y)]
+    df = spark.createDataFrame(
+        rows, "layer int, pool string, part string, vec array<double>, a double, b double"
+    ).repartition(9)
+    sums = moments.second_moments(df, ["a", "b"], tile=3, held_bytes=0).toPandas()
+    kept = np.array([t is not None for t in y])
+    for metric, used in (("a", x), ("b", x[kept])):
+        part = moments.parts_of(sums[sums["metric"] == metric], 3)["train"]
+        assert part.n == len(used) and np.allclose(part.square(), used.T @ used)
+        assert part.form(part.sx) == pytest.approx(part.sx @ used.T @ used @ part.sx)
+    mixed = df.withColumn("vec", F.when(F.col("b") > 40, F.slice("vec", 1, 1)).otherwise(F.col("vec")))
+    with pytest.raises(Exception, match="width"):
+        moments.second_moments(mixed, ["a"]).collect()
+    assert moments.second_moments(df.where("layer > 1"), ["a"]).count() == 0
