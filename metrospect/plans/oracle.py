@@ -198,6 +198,54 @@ scores AS (
   FROM parts GROUP BY model, layer, pool, metric)"""
 
 
+PAIR = f"""{VECTORS},
+feat AS (
+  SELECT id, layer, pool, list_sum(vec) AS x,
+    list_sum(list_transform(vec, lambda v: greatest(v, 0::double))) AS z FROM nz)"""
+
+
+def pair_probe() -> str:
+    """Two-feature ridge by Cramer's rule, scored over rows."""
+    return TABLE + "," + PAIR + f""",
+{unpivoted('tab', 'id, split', 'long_all')},
+edge AS (SELECT metric, min(value) AS lo, max(value) AS hi FROM long_all GROUP BY metric),
+obs AS (
+  SELECT f.layer, f.pool, l.metric, l.split, x, z, value AS y
+  FROM feat f JOIN long_all l ON f.id = l.id JOIN edge e ON l.metric = e.metric
+  WHERE value > lo AND value < hi AND split IN ('train', 'test')),
+sums AS (
+  SELECT layer, pool, metric, count(*) AS n, avg(x) AS mx, avg(z) AS mz, avg(y) AS my,
+    stddev_pop(x) AS sx, stddev_pop(z) AS sz, count(*) * corr(x, z) AS nr,
+    count(*) * covar_pop(x, y) / stddev_pop(x) AS rx, count(*) * covar_pop(z, y) / stddev_pop(z) AS rz
+  FROM obs WHERE split = 'train' GROUP BY ALL),
+fitted AS (
+  SELECT *, ((n + 1) * rx - nr * rz) / ((n + 1) * (n + 1) - nr * nr) AS wx,
+    ((n + 1) * rz - nr * rx) / ((n + 1) * (n + 1) - nr * nr) AS wz FROM sums),
+scored AS (
+  SELECT o.*, my + wx * (x - mx) / sx + wz * (z - mz) / sz AS guess,
+    avg(y) OVER (PARTITION BY o.layer, o.pool, o.metric, split) AS centre
+  FROM obs o JOIN fitted f ON o.layer = f.layer AND o.pool = f.pool AND o.metric = f.metric)
+SELECT layer, pool, metric, split, count(*) AS n,
+  round(1 - sum((y - guess) * (y - guess)) / nullif(sum((y - centre) * (y - centre)), 0), 6) AS r2
+FROM scored GROUP BY ALL"""
+
+
+def pair_axes() -> str:
+    """Principal axes of two features by the angle that turns their covariance diagonal."""
+    return PAIR + """,
+turned AS (
+  SELECT layer, pool, avg(x) AS mx, avg(z) AS mz,
+    0.5 * atan2(2 * covar_pop(x, z), var_pop(x) - var_pop(z)) AS t FROM feat GROUP BY layer, pool),
+axes AS (
+  SELECT layer, pool, mx, mz, cos(t) AS c, sin(t) AS s,
+    CASE WHEN abs(cos(t)) >= abs(sin(t)) THEN sign(cos(t)) ELSE sign(sin(t)) END AS lead,
+    CASE WHEN abs(cos(t)) >= abs(sin(t)) THEN sign(cos(t)) ELSE -sign(sin(t)) END AS next
+  FROM turned)
+SELECT id, f.layer, f.pool, round(lead * (c * (x - mx) + s * (z - mz)), 6) AS pc_0,
+  round(next * (c * (z - mz) - s * (x - mx)), 6) AS pc_1
+FROM feat f JOIN axes a ON f.layer = a.layer AND f.pool = a.pool"""
+
+
 def pivot_scores(rows: str) -> str:
     cells = ", ".join(
         f"round(max(CASE WHEN metric = '{m}' THEN r2_test END), 6) AS {m}" for m in METRICS
@@ -471,6 +519,8 @@ def statements() -> dict[str, str]:
       SELECT model, layer, pool, metric, round(r2_train, 6) AS r2_train,
         round(r2_test, 6) AS r2_test, n_train, n_test, round(weight, 3) AS weight,
         {by_metric('intercept', 'intercept')} FROM scores"""
+    sql["probe_sweep_pair"] = f"WITH {pair_probe()}"
+    sql["pca_scores_pair"] = f"WITH {pair_axes()}"
     sql["probe_pivot"] = pivot_scores("layer")
     sql["model_pivot"] = pivot_scores("model")
     sql["best_layer"] = f"""WITH {scalar_probe()}

@@ -374,6 +374,34 @@ def probe_sweep_scalar(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(rounded_by_metric(scores, "intercept"), r2_train=6, r2_test=6, weight=3)
 
 
+def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors of two features: the sum of a vector and the sum of its positive part."""
+    signed = F.aggregate("vec", F.lit(0.0), lambda a, x: a + x)
+    positive = F.aggregate("vec", F.lit(0.0), lambda a, x: a + F.greatest(x, F.lit(0.0)))
+    rows = pooling.drop_zero_vectors(I.vectors(spark, sf_dir))
+    return rows.withColumn("vec", F.array(signed, positive))
+
+
+@query
+def probe_sweep_pair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """R² of every probe on two features, in tiles of one feature."""
+    scores = probes.probe_sweep(_pairs(spark, sf_dir), _flagged_metrics(spark, sf_dir), tile=1)
+    parts = F.array(*[
+        F.struct(F.lit(p).alias("split"), F.col(f"n_{p}").alias("n"), F.col(f"r2_{p}").alias("r2"))
+        for p in ("train", "test")
+    ])
+    long = scores.select("layer", "pool", "metric", F.explode(parts).alias("s"))
+    return rounded(long.select("layer", "pool", "metric", "s.*").where("n > 0"), r2=6)
+
+
+@query
+def pca_scores_pair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of two-feature vectors on both axes, from tiles of one feature."""
+    cells = staged(_pairs(spark, sf_dir), "pairs")
+    scores = probes.pca_scores(cells, probes.principal_axes(cells, tile=1))
+    return rounded(scores.select("id", "layer", "pool", "pc_0", "pc_1"), pc_0=6, pc_1=6)
+
+
 @query
 def probe_pivot(spark: SparkSession, sf_dir: str) -> DataFrame:
     pivot = probes.score_pivot(_scalar_scores(spark, sf_dir), "layer")

@@ -4,8 +4,10 @@ import pytest
 from oracle_check import compare, duck
 
 from __spark_entry__ import entry, oracle_sql, queries
+from metrospect.plans.oracle import statements
+from metrospect.plans.queries import REGISTRY
 
-SQL = oracle_sql()
+SQL = statements()
 
 
 @pytest.fixture(scope="module")
@@ -13,7 +15,7 @@ def con(sf_dir):
     return duck(sf_dir)
 
 
-@pytest.mark.parametrize("name", list(queries()))
+@pytest.mark.parametrize("name", list(REGISTRY))
 def test_query_matches_its_check(spark, con, sf_dir, name):
     verdict = compare(spark, con, sf_dir, name, SQL.get(name))
     assert verdict.startswith(("ok", "rows only")), verdict
@@ -21,8 +23,8 @@ def test_query_matches_its_check(spark, con, sf_dir, name):
 
 def test_entry_and_keys(spark):
     assert entry(spark).count() == 3
-    assert set(SQL) <= set(queries())
-    assert set(queries()) - set(SQL) == {"pca_scores", "probe_sweep"}
+    assert set(REGISTRY) <= set(queries()) and set(oracle_sql()) <= set(queries())
+    assert set(REGISTRY) - set(SQL) == {"pca_scores", "probe_sweep"}
 
 
 def plan(df):
