@@ -162,6 +162,13 @@ def training_order(mixed: DataFrame, partitions: int | None = None) -> DataFrame
     return spread.sortWithinPartitions(*keys)
 
 
+def by_first_use(mixed: DataFrame) -> DataFrame:
+    """mix()'s rows, range-sorted by the training position of their first use; those never used come last."""
+    first = F.try_element_at("uses", F.lit(1))["position"]
+    keys = (first.asc_nulls_last(), F.col("source"), F.col("doc_id"))
+    return mixed.repartitionByRange(*keys).sortWithinPartitions(*keys)
+
+
 def mixed_rows(docs: DataFrame) -> DataFrame:
     """All columns of docs, one row per use, range-sorted by training position.
 

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from metrospect.llm import mixing, sharding
+from metrospect.llm import queries as llm
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, shard string, target string"
 
@@ -146,3 +147,12 @@ def test_inverse_of_the_integral(spark):
     pieces = mixing.integrated(F.expr("array(named_struct('at', 0D, 'height', 1D), named_struct('at', 1D, 'height', 3D))"))
     row = spark.range(1).select(*[mixing.inverted(pieces, F.lit(s)).alias(f"p{i}") for i, s in enumerate((0.0, 0.375, 1.0))]).first()
     assert row.p0 == pytest.approx(0) and row.p1 == pytest.approx(0.5) and row.p2 == pytest.approx(1)
+
+
+def test_registered_mix_comes_in_training_order(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    first = {r.doc_id: r.uses[0].position for r in mixing.mix(docs).collect() if r.uses}
+    got = llm.op9_curriculum_mix(spark, sf_dir).collect()
+    positions = [first.get(r.doc_id, 2.0) for r in got]
+    assert len(got) == docs.count() and len(set(positions)) > 100
+    assert positions == sorted(positions)
