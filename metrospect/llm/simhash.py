@@ -9,6 +9,9 @@ below it. A group reports a spanning forest, not all pairs: a pair of nodes that
 whole is skipped. A group above GROUP fingerprints is divided again by blocks of its other bits, which
 loses no pair by the same argument. The forests are joined to components by star contraction.
 
+The pipeline's stage (first_of_each) asks for a Jaccard similarity of 0.8 on five-word shingles instead, which
+so few bits cannot tell: MinHash bands bring candidates together, and shared shingles are counted exactly.
+
 Defined cases: null and empty texts have fingerprint zero, linked like any other; null ids never are a
 component's id unless all its ids are null; repeated rows all come out; an empty table gives an empty
 result; other columns are not read.
@@ -32,6 +35,15 @@ SHINGLE = 4
 SEED = 42
 GROUP = 1 << 20
 LEAF = 64
+# The pipeline's stage: shingles of five words; 24 bands of 5 MinHash values bring a pair of similarity 0.8
+# together but for 7 of 100,000.
+STAGE_SHINGLE = 5
+BANDS, BAND = 24, 5
+MARKS, AGREE = 512, 364
+FACTORS = np.random.default_rng(SEED).integers(1 << 63, size=MARKS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+ROUNDS = 3
+STAR = 1000
+TILE = 512
 
 
 def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
@@ -238,20 +250,169 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return grouped(prints).select("doc_id", as_hex("fp").alias("fingerprint"), "component_id")
 
 
-def first_of_each(docs: DataFrame) -> DataFrame:
-    """One whole row of each component: that of the smallest doc_id (nulls last), then the first read.
+def shingle_set(text: str | None, shingle: int = STAGE_SHINGLE) -> np.ndarray:
+    """The distinct XXH64 values of a text's shingles, in order; none for a text without words."""
+    words = (text or "").encode().lower().split()
+    last = max(len(words) - shingle, 0) + 1 if words else 0
+    return np.unique(np.array([xxhash.xxh64_intdigest(b" ".join(words[i:i + shingle]), SEED) for i in range(last)], np.uint64))
+
+
+def min_hashes(hashes: np.ndarray, count: int) -> np.ndarray:
+    least = np.full(count, np.iinfo(np.uint64).max, np.uint64)
+    for part in range(0, len(hashes), 1 << 12):
+        mixed = FACTORS[:count, None] * hashes[part:part + (1 << 12)][None, :]
+        np.minimum(least, mixed.min(axis=1), out=least)
+    return least
+
+
+def band_keys(hashes: np.ndarray) -> list[int]:
+    """A signed key for each band of MinHash values; two sets share one with probability similarity ** BAND."""
+    bands = min_hashes(hashes, BANDS * BAND).reshape(BANDS, BAND)
+    return [signed(xxhash.xxh64_intdigest(band.tobytes(), at)) for at, band in enumerate(bands)]
+
 
-    Rows get a number in a staged copy; only numbers, ids and fingerprints are joined, and the winners'
-    numbers, one per component, are joined back.
+@F.pandas_udf(T.StructType().add("id", T.LongType()).add("n", T.LongType()).add("bands", T.ArrayType(T.LongType())))
+def sketches(texts: pd.Series) -> pd.DataFrame:
+    """The identity of each text's shingle set, its size and its band keys."""
+    out = []
+    for text in texts:
+        hashes = shingle_set(text)
+        out.append((signed(xxhash.xxh64_intdigest(hashes.tobytes(), SEED)), len(hashes), band_keys(hashes) if len(hashes) else []))
+    return pd.DataFrame(out, columns=["id", "n", "bands"])
+
+
+@F.pandas_udf(T.ArrayType(T.LongType()))
+def shingle_sets(texts: pd.Series) -> pd.Series:
+    return pd.Series([shingle_set(text).view(np.int64) for text in texts])
+
+
+@F.pandas_udf(T.BinaryType())
+def low_bytes(sets: pd.Series) -> pd.Series:
+    """The low byte of each of MARKS MinHash values of a set."""
+    return pd.Series([min_hashes(np.asarray(some, np.int64).view(np.uint64), MARKS).astype(np.uint8).tobytes() for some in sets])
+
+
+def likely_pairs(group: DataFrame, sets: DataFrame, tile: int = TILE) -> DataFrame:
+    """Pairs (a, b) within the groups of the rows (key, id, n, root) of different roots that agree in AGREE of
+    the MinHash bytes, which a similarity of 0.8 misses in fewer than one in a million pairs.
+
+    A group above `tile` rows is cut into tiles, and each two tiles meet in their own place.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[pd.DataFrame] = []
+        last = None
+        for batch in batches:
+            if batch.empty:
+                continue
+            keys = batch[["key", "low", "high"]].to_numpy()
+            edges = np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1
+            bounds = [0, *edges.tolist(), len(batch)]
+            for lo, hi in zip(bounds, bounds[1:]):
+                if held and tuple(keys[lo]) != last:
+                    yield solve(pd.concat(held))
+                    held = []
+                last = tuple(keys[lo])
+                held.append(batch.iloc[lo:hi])
+        if held:
+            yield solve(pd.concat(held))
+
+    def solve(some: pd.DataFrame) -> pd.DataFrame:
+        ids, sizes, roots, tiles = (some[name].to_numpy() for name in ("id", "n", "root", "tile"))
+        marks = np.frombuffer(b"".join(some["marks"]), np.uint8).reshape(len(some), -1)
+        within = some["low"].iloc[0] == some["high"].iloc[0]
+        found = [np.empty((0, 2), np.int64)]
+        for i in range(len(some)) if within else np.flatnonzero(tiles == some["low"].iloc[0]):
+            others = np.arange(i + 1, len(some)) if within else np.flatnonzero(tiles == some["high"].iloc[0])
+            others = others[(roots[others] != roots[i]) & (5 * np.minimum(sizes[others], sizes[i]) >= 4 * np.maximum(sizes[others], sizes[i]))]
+            near = others[(marks[others] == marks[i]).sum(axis=1) >= AGREE]
+            found.append(np.column_stack([np.minimum(ids[near], ids[i]), np.maximum(ids[near], ids[i])]))
+        return pd.DataFrame(np.concatenate(found), columns=["a", "b"])
+
+    marks = sets.join(group.select("id").distinct(), "id", "left_semi").select("id", low_bytes("hashes").alias("marks"))
+    parts = group.groupBy("key").agg(F.ceil(F.count("*") / tile).alias("parts"))
+    dealt = group.join(parts, "key").join(marks, "id").withColumn("tile", F.pmod(F.xxhash64("id"), "parts"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+    dealt = dealt.select("key", F.least("tile", "other").alias("low"), F.greatest("tile", "other").alias("high"), "tile", "id", "n", "root", "marks")
+    spots = ("key", "low", "high")
+    return dealt.repartition(*spots).sortWithinPartitions(*spots).mapInPandas(run, "a long, b long").distinct()
+
+
+def similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose shingle sets have a Jaccard similarity of 0.8 or more, counted exactly.
+
+    A set that many pairs start from is repeated, so that its pairs are dealt to several tasks.
+    """
+    many = pairs.groupBy("a").agg((F.floor(F.count("*") / STAR) + 1).alias("salts"))
+    pairs = pairs.join(many, "a").withColumn("salt", F.pmod(F.xxhash64("b"), "salts"))
+    ones = many.join(sets, many["a"] == sets["id"]).select(
+        "a", "hashes", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("salt"))
+    others = sets.select(F.col("id").alias("b"), F.col("hashes").alias("others"))
+    both = F.size(F.array_intersect("hashes", "others"))
+    met = pairs.select("a", "b", "salt").join(others, "b").join(ones, ["a", "salt"])
+    return met.where(5 * both >= 4 * (F.size("hashes") + F.size("others") - both)).select("a", "b")
+
+
+def similar_roots(distinct: DataFrame, rows: DataFrame) -> DataFrame:
+    """node, root of the shingle sets (id, n, bands, least) joined by a similarity of 0.8 or more.
+
+    Sets that share a band key form a group. In each of ROUNDS rounds, the least set of every group meets the
+    group's others and leaves; groups that are one component by then are done. What is left meets pair by
+    pair in likely_pairs.
+    """
+    group = distinct.select("id", "n", F.explode("bands").alias("key"))
+    shared = group.groupBy("key").count().where("count > 1").select("key")
+    group = staged(group.join(shared, "key"), "simhash-groups")
+    reps = distinct.join(group.select("id").distinct(), "id", "left_semi").select("id", F.col("least.at").alias("at"))
+    texts = rows.select("at", F.col("row.text").cast("string").alias("text"))
+    sets = staged(texts.join(reps, "at").select("id", shingle_sets("text").alias("hashes")), "simhash-sets")
+    group = group.withColumn("root", F.col("id"))
+    edges = roots = None
+    for step in range(ROUNDS + 1):
+        if step < ROUNDS:
+            first = staged(group.groupBy("key").agg(F.min(F.struct("id", "n", "root")).alias("first")), "simhash-first")
+            ones = first.select("key", F.col("first.id").alias("a"), F.col("first.n").alias("n_a"), F.col("first.root").alias("root_a"))
+            met = group.join(ones, "key").where((F.col("a") < F.col("id")) & (F.col("root") != F.col("root_a")))
+            met = met.where(5 * F.least("n", "n_a") >= 4 * F.greatest("n", "n_a"))
+            pairs = met.select("a", F.col("id").alias("b")).distinct()
+        else:
+            pairs = likely_pairs(group, sets)
+        pairs = staged(pairs, "simhash-pairs")
+        found = staged(similar(pairs, sets), "simhash-similar")
+        edges = found if edges is None else edges.unionByName(found)
+        if roots is None or not found.isEmpty():
+            roots = components(edges)
+        if step == ROUNDS:
+            break
+        group = group.join(ones.select("key", "a"), "key").where("id <> a").drop("a", "root")
+        known = roots.withColumnRenamed("node", "id")
+        group = group.join(known, "id", "left").withColumn("root", F.coalesce("root", "id"))
+        mixed = group.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high")
+        group = staged(group.join(mixed.select("key"), "key", "left_semi").select("id", "n", "key", "root"), "simhash-left")
+        if group.isEmpty():
+            break
+    return roots
+
+
+def first_of_each(docs: DataFrame) -> DataFrame:
+    """One whole row of each component of similar texts: that of the smallest doc_id (nulls last), then the
+    first read.
+
+    Two texts are linked if the Jaccard similarity of their sets of five-word shingles is 0.8 or more; all
+    texts without words are linked. Candidates share a MinHash band: of 64 SimHash bits, texts of that
+    similarity differ in about ten, far beyond what blocks of bits can route. Rows get a number in a staged
+    copy; numbers, ids, band keys and the sets of candidates are joined, and the winners' numbers, one per
+    component, are joined back.
     """
     row = docs.select(F.struct("*").alias("row"))
     rows = staged(row.select(
-        F.monotonically_increasing_id().alias("at"), fingerprints(F.col("row.text").cast("string")).alias("fp"), "row"),
+        F.monotonically_increasing_id().alias("at"), sketches(F.col("row.text").cast("string")).alias("sketch"), "row"),
         "simhash-rows")
-    prints = rows.select("at", F.col("row.doc_id").alias("doc_id"), "fp")
+    prints = rows.select("at", F.col("row.doc_id").alias("doc_id"), "sketch.*")
     least = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "at"))
-    distinct = staged(prints.groupBy("fp").agg(least.alias("least")), "simhash-distinct")
-    roots = components(links(distinct.select("fp")))
-    owned = distinct.join(roots, distinct["fp"] == roots["node"], "left").select(F.coalesce("root", "fp").alias("root"), "least")
+    distinct = staged(prints.groupBy("id").agg(
+        least.alias("least"), F.any_value("n").alias("n"), F.any_value("bands").alias("bands")), "simhash-distinct")
+    roots = similar_roots(distinct, rows)
+    owned = distinct.join(roots, distinct["id"] == roots["node"], "left").select(F.coalesce("root", "id").alias("root"), "least")
     winners = owned.groupBy("root").agg(F.min("least").alias("least")).select(F.col("least.at").alias("at"))
     return rows.join(winners, "at", "left_semi").select("row.*")

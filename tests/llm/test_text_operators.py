@@ -290,3 +290,46 @@ def test_chat_tree(spark, block):
 def test_no_conversations(spark):
     empty = spark.createDataFrame([], "conv_id long, turn long, role string, text string")
     assert chat_format.read_back(*chat_format.tree(empty)).count() == 0
+
+
+def plain_similarity(a, b):
+    one, two = ({tuple(w[i:i + 5]) for i in range(max(1, len(w) - 4))} for w in (a.lower().split(), b.lower().split()))
+    return len(one & two) / len(one | two)
+
+
+def test_first_of_each_finds_short_near_copies(spark):
+    rnd, texts = random.Random(7), []
+    for size in (50, 100, 200, 300) * 8:
+        words = [f"w{rnd.randrange(10 ** 6)}" for _ in range(size)]
+        texts.append(" ".join(words))
+        for changes in (1, 2, size // 20):
+            copy = list(words)
+            for at in rnd.sample(range(size), changes):
+                copy[at] = f"x{rnd.randrange(10 ** 6)}"
+            texts.append(" ".join(copy))
+    texts += ["a b c", "A  b\nc", "a b d"]
+    root = list(range(len(texts)))
+    for i, a in enumerate(texts):
+        for j in range(i):
+            if root[i] != root[j] and plain_similarity(a, texts[j]) >= 0.8:
+                low, high = sorted((root[i], root[j]))
+                root = [low if r == high else r for r in root]
+    kept = simhash.first_of_each(docs(spark, list(enumerate(texts))))
+    assert sorted(r.doc_id for r in kept.collect()) == sorted(set(root))
+
+
+@pytest.mark.parametrize("tile", [3, 512])
+def test_likely_pairs_of_one_group(spark, tile):
+    rnd = random.Random(3)
+    base = [f"w{i}" for i in range(400)]
+    texts = []
+    for _ in range(6):
+        other = [f"v{rnd.randrange(10 ** 6)}" if rnd.random() < 0.5 else w for w in base]
+        texts += [" ".join(other), " ".join(other[:-5])]
+    rows = [(7, i, len(simhash.shingle_set(t)), i) for i, t in enumerate(texts)]
+    group = spark.createDataFrame(rows, "key long, id long, n long, root long")
+    sets = spark.createDataFrame(list(enumerate(texts)), "id long, text string").select("id", simhash.shingle_sets("text").alias("hashes"))
+    pairs = simhash.likely_pairs(group, sets, tile)
+    want = {(i, j) for j in range(len(texts)) for i in range(j) if plain_similarity(texts[i], texts[j]) >= 0.8}
+    assert {(r.a, r.b) for r in simhash.similar(pairs, sets).collect()} == want and len(want) == 6
+    assert pairs.count() < 20
