@@ -7,8 +7,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from metrospect.llm import (
-    byte_bpe, chat_format, cover_tree, fill_middle, hnsw, mixing, secret_scan, sharding, simhash,
-    substring_dedup, toxicity,
+    byte_bpe, chat_format, cover_tree, fill_middle, hnsw, mixing, secret_scan, sentence_pieces, sharding,
+    simhash, substring_dedup, toxicity,
 )
 
 
@@ -72,6 +72,10 @@ def op11_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fill_middle.digests(table(spark, sf_dir, "documents"))
 
 
+def op12_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentence_pieces.digests(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 OP9_SQL = r"""
 WITH d AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
@@ -109,7 +113,8 @@ FROM v
 
 REGISTRY = {f.__name__: f for f in (
     op1_toxicity, op2_cover_tree, op3_prefix_tree_chat, op4_byte_bpe, op5_virtual_slots, op6_simhash,
-    op7_suffix_automata, op8_hnsw, op9_curriculum_mix, op10_secret_formats, op11_fill_middle)}
+    op7_suffix_automata, op8_hnsw, op9_curriculum_mix, op10_secret_formats, op11_fill_middle,
+    op12_sentence_pieces)}
 OP2_SQL = """
 WITH v AS (
   SELECT vec_id, list_transform(embedding, lambda x: floor(x::DOUBLE * 1024)::BIGINT) AS e

@@ -17,7 +17,7 @@ def test_queries_match_their_sql(spark, sf_dir, name):
 
 def test_all_are_registered():
     assert {*llm.REGISTRY, "pipeline"} <= set(queries()) and set(llm.ORACLE) <= set(oracle_sql())
-    assert sorted(int(n[2:].split("_")[0]) for n in llm.REGISTRY) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in llm.REGISTRY) == list(range(1, 14))
 
 
 def test_pipeline_stages(spark, sf_dir):
