@@ -7,8 +7,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from metrospect.llm import (
-    byte_bpe, chat_format, cover_tree, fill_middle, hnsw, mixing, secret_scan, sentence_pieces, sharding,
-    simhash, substring_dedup, toxicity,
+    byte_bpe, chat_format, cover_tree, fill_middle, hard_negatives, hnsw, mixing, secret_scan,
+    sentence_pieces, sharding, simhash, substring_dedup, toxicity,
 )
 
 
@@ -76,6 +76,10 @@ def op12_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentence_pieces.digests(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hard_negatives.mine(table(spark, sf_dir, "embeddings"))
+
+
 OP9_SQL = r"""
 WITH d AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
@@ -114,7 +118,7 @@ FROM v
 REGISTRY = {f.__name__: f for f in (
     op1_toxicity, op2_cover_tree, op3_prefix_tree_chat, op4_byte_bpe, op5_virtual_slots, op6_simhash,
     op7_suffix_automata, op8_hnsw, op9_curriculum_mix, op10_secret_formats, op11_fill_middle,
-    op12_sentence_pieces)}
+    op12_sentence_pieces, op13_hard_negatives)}
 OP2_SQL = """
 WITH v AS (
   SELECT vec_id, list_transform(embedding, lambda x: floor(x::DOUBLE * 1024)::BIGINT) AS e
@@ -152,4 +156,27 @@ SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(prefix) END AS pre
 FROM p
 """
 
-ORACLE = {"op2_cover_tree": OP2_SQL, "op9_curriculum_mix": OP9_SQL, "op11_fill_middle": OP11_SQL}
+OP13_SQL = """
+WITH v AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+         list_transform(embedding, lambda x: floor(x::DOUBLE * 256)::BIGINT) AS e
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND len(embedding) > 0
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+p AS (
+  SELECT a.vec_id AS anchor_id, c.vec_id, a.label = c.label AS alike, list_inner_product(a.e::DOUBLE[], c.e::DOUBLE[])::BIGINT AS score
+  FROM v a JOIN v c ON a.vec_id % 100 = 0 AND c.vec_id <> a.vec_id),
+o AS (
+  SELECT anchor_id, vec_id AS positive_id, score AS positive_score,
+         row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) AS place
+  FROM p WHERE alike),
+n AS (
+  SELECT o.anchor_id, o.positive_id, p.vec_id AS negative_id, o.positive_score, p.score AS negative_score,
+         row_number() OVER (PARTITION BY o.anchor_id, o.positive_id ORDER BY p.score DESC, p.vec_id)::INTEGER AS rank
+  FROM o JOIN p ON o.anchor_id = p.anchor_id AND o.place <= 5 AND NOT p.alike
+    AND 30 * o.positive_score <= 100 * p.score AND 100 * p.score <= 90 * o.positive_score)
+SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 10
+"""
+
+ORACLE = {
+    "op2_cover_tree": OP2_SQL, "op9_curriculum_mix": OP9_SQL, "op11_fill_middle": OP11_SQL, "op13_hard_negatives": OP13_SQL}
