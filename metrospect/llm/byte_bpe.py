@@ -17,8 +17,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
-from collections.abc import Iterator
-from itertools import chain
+from collections.abc import Callable
 
 import ahocorasick
 import pandas as pd
@@ -26,9 +25,11 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-CACHE = 300_000
+from metrospect.llm.recent import Recent
+
+CACHE_BYTES = 64 << 20
 PAIRS = 400_000
-ENTRY_BYTES = 64
+LONGEST_REMEMBERED = 64
 
 
 def parse_ranks(raw: bytes) -> dict[bytes, int]:
@@ -36,35 +37,13 @@ def parse_ranks(raw: bytes) -> dict[bytes, int]:
     return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, raw.splitlines())}
 
 
-#: Number of ids, ids as text, ids, the bytes that they decode to.
-Entry = tuple[int, str, tuple[int, ...], bytes]
-
-
-class Recent:
-    """What was asked for lately: a full generation becomes the old one, and what is asked for again
-    moves to the new one."""
-
-    def __init__(self, most: int):
-        self.most, self.new, self.old = most, {}, {}
-
-    def get(self, key: str) -> Entry | None:
-        entry = self.new.get(key)
-        if entry is None and (entry := self.old.get(key)) is not None:
-            self.put(key, entry)
-        return entry
-
-    def put(self, key: str, entry: Entry) -> None:
-        if len(self.new) >= self.most:
-            self.old, self.new = self.new, {}
-        self.new[key] = entry
-
-
 class PrefixEncoder:
     """Encodes by prefix tables; one per task."""
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         self.ranks = ranks
         self.token = {rank: token for token, rank in ranks.items()}
+        self.by_digits = {str(rank).encode(): token for token, rank in ranks.items()}
         self.split = regex.compile(pattern).findall
         self.pieces = regex.compile(pattern).finditer
         self.longest = max(map(len, ranks))
@@ -75,8 +54,7 @@ class PrefixEncoder:
         self.apart: dict[int, bool] = {}
         self.spines: tuple[dict, dict] = ({}, {})
         self.alone: dict[int, bool] = {}
-        self.known = Recent(CACHE)
-        self.spaced = Recent(CACHE)
+        self.known = Recent(CACHE_BYTES)
 
     def merged(self, data: bytes, down_to: int = 1) -> list[bytes]:
         """Merges by rank as defined, for the short string of one token."""
@@ -122,36 +100,41 @@ class PrefixEncoder:
             found = self.alone[token] = len(self.merged(self.token[token])) == 1
         return found
 
-    def last_tokens(self, data: bytes, table: list[int]) -> Iterator[int]:
-        """Fill the entries that the table lacks, in order, and yield each prefix length when it is done.
+    def last_tokens(self, data: bytes, table: list[int], enough: Callable[[int], bool] | None = None) -> None:
+        """Fill the entries that the table lacks, in order, until `enough` says so of a prefix length.
 
         The automaton names every token that ends at a byte; `longest` bytes before the gap are enough for it.
         """
-        known, wanted, add = self.apart.get, len(table), table.append
-        base = max(0, wanted - self.longest)
-        for end, (token, size) in self.ends.iter(data[base:].decode("latin-1")):
-            end += base + 1
-            if end != wanted:
+        known, add = self.apart.get, table.append
+        base = max(0, len(table) - self.longest)
+        wanted, beyond = len(table) - base - 1, base + 1
+        for at, (token, size) in self.ends.iter(data[base:].decode("latin-1")):
+            if at != wanted:
                 continue
-            if size < end:
-                pair = table[end - size] << 32 | token
+            start = at - size + beyond
+            if start:
+                pair = table[start] << 32 | token
                 fits = known(pair)
                 if fits is None:
-                    if len(self.apart) >= PAIRS:
-                        self.apart.clear()
-                    fits = self.apart[pair] = self.stays_apart(table[end - size], token)
+                    fits = self.compared(pair, table[start], token)
             else:
                 fits = self.stands_alone(token)
             if fits:
                 add(token)
                 wanted += 1
-                yield end
+                if enough and enough(at + beyond):
+                    return
+
+    def compared(self, pair: int, left: int, right: int) -> bool:
+        if len(self.apart) >= PAIRS:
+            self.apart.clear()
+        fits = self.apart[pair] = self.stays_apart(left, right)
+        return fits
 
     def table(self, data: bytes, known: list[int] | None = None) -> list[int]:
         """Entry i is the last token of data[:i] (entry 0 is unused); `known` entries are kept."""
         table = list(known) if known else [-1]
-        for _ in self.last_tokens(data, table):
-            pass
+        self.last_tokens(data, table)
         if len(table) != len(data) + 1:
             raise ValueError("these ranks do not encode every byte")
         return table
@@ -165,12 +148,15 @@ class PrefixEncoder:
         data = old[:start] + new + old[stop:]
         shift = len(new) - (stop - start)
         fresh, same = table[:start + 1], 0
-        for end in self.last_tokens(data, fresh):
-            before = end - shift
-            same = same + 1 if before > stop and end > start + len(new) and table[before] == fresh[end] else 0
-            if same > self.longest:
-                return data, fresh + table[before + 1:]
-        return data, fresh
+
+        def met(end: int) -> bool:
+            nonlocal same
+            beyond = end - shift > stop and end > start + len(new)
+            same = same + 1 if beyond and table[end - shift] == fresh[end] else 0
+            return same > self.longest
+
+        self.last_tokens(data, fresh, met)
+        return data, fresh + table[len(fresh) - shift:]
 
     def ids_of(self, data: bytes, table: list[int]) -> list[int]:
         """The ids that a table stands for. A piece that is a token as a whole is that token."""
@@ -183,59 +169,23 @@ class PrefixEncoder:
             end -= len(self.token[table[end]])
         return ids[::-1]
 
-    def piece(self, text: str) -> Entry:
-        """The entry of one match of the pattern."""
-        entry = self.known.get(text)
-        if entry is None:
-            data = text.encode()
-            entry = self.entry_of([self.ranks[data]] if data in self.ranks else self.ids_of(data, self.table(data)))
-            if len(data) <= ENTRY_BYTES:
-                self.known.put(text, entry)
+    def piece(self, text: str) -> bytes:
+        """The ids of one match of the pattern, in decimal, each after a space; remembered unless it is long."""
+        data = text.encode()
+        whole = self.ranks.get(data)
+        ids = [whole] if whole is not None else self.ids_of(data, self.table(data))
+        entry = b" " + " ".join(map(str, ids)).encode()
+        if len(text) <= LONGEST_REMEMBERED:
+            self.known.put(text, entry)
         return entry
 
-    def entry_of(self, ids: list[int]) -> Entry:
-        return len(ids), " ".join(map(str, ids)), tuple(ids), self.decode(ids)
-
-    def stretch(self, text: str) -> Entry:
-        """The same of any text, match by match."""
-        entries = [self.piece(match) for match in self.split(text)]
-        if len(entries) == 1:
-            return entries[0]
-        numbers, texts, ids, decoded = zip(*entries) if entries else ((), (), (), ())
-        return sum(numbers), " ".join(texts), tuple(chain.from_iterable(ids)), b"".join(decoded)
-
-    def entries(self, text: str) -> list[Entry]:
-        """Entries of a text, in order. A match of the pattern always ends where white space follows other
-        characters, so the text may be cut before such spaces; the parts recur, and are remembered."""
-        head, *parts = text.split(" ")
-        held, out, known = [head], [], self.spaced.new
-        if head and not head[-1].isspace():
-            held, out = [], [self.stretch(head)]
-        for part in parts:
-            if not held:
-                entry = known.get(part)
-                if entry is None:
-                    entry = self.spaced.get(part)
-                    if entry is None:
-                        if not part or part[-1].isspace():
-                            held = ["", part]
-                            continue
-                        entry = self.stretch(" " + part)
-                        if len(part) <= ENTRY_BYTES:
-                            self.spaced.put(part, entry)
-                    known = self.spaced.new
-                out.append(entry)
-                continue
-            held.append(part)
-            if part and not part[-1].isspace():
-                out.append(self.stretch(" ".join(held)))
-                held = []
-        if held:
-            out.append(self.stretch(" ".join(held)))
-        return [entry for entry in out if entry[0]]
+    def digits(self, text: str) -> bytes:
+        """The ids of a text in decimal, joined by one space."""
+        known = self.known
+        return b"".join([known[match] or self.piece(match) for match in self.split(text)])[1:]
 
     def encode(self, text: str) -> list[int]:
-        return list(chain.from_iterable(entry[2] for entry in self.entries(text)))
+        return list(map(int, self.digits(text).split()))
 
     def decode(self, ids) -> bytes:
         return b"".join(map(self.token.__getitem__, ids))
@@ -245,8 +195,7 @@ class PrefixEncoder:
         what follows can change no piece before them."""
         keep = [match.start() for match in self.pieces(text)][-2:]
         at = keep[0] if keep else 0
-        tail_ids = sum(entry[0] for entry in self.entries(text[at:]))
-        return ids[:len(ids) - tail_ids] + self.encode(text[at:] + more)
+        return ids[:len(ids) - len(self.encode(text[at:]))] + self.encode(text[at:] + more)
 
 
 ENCODERS: dict[tuple[str, str], PrefixEncoder] = {}
@@ -299,12 +248,10 @@ def digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     def digest(texts: pd.Series) -> pd.DataFrame:
         own, rows = get(), []
         for text in texts:
-            entries = own.entries(text or "")
-            data = b"".join([entry[3] for entry in entries])
-            rows.append((
-                sum([entry[0] for entry in entries]),
-                hashlib.sha256(" ".join([entry[1] for entry in entries]).encode()).hexdigest(),
-                hashlib.sha256(data).hexdigest()))
+            digits = own.digits(text or "")
+            ids = digits.split()
+            decoded = b"".join(map(own.by_digits.__getitem__, ids))
+            rows.append((len(ids), hashlib.sha256(digits).hexdigest(), hashlib.sha256(decoded).hexdigest()))
         return pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256"])
 
     return docs.select("doc_id", digest(F.col("text").cast("string")).alias("d")).select("doc_id", "d.*")

@@ -12,7 +12,8 @@ class Recent(dict):
     The new generation is the dictionary itself, so that a hit costs one plain lookup.
     """
 
-    OVERHEAD = 120
+    #: What a dictionary takes for an entry, about.
+    OVERHEAD = 64
 
     def __init__(self, most: int):
         super().__init__()
@@ -25,8 +26,10 @@ class Recent(dict):
             self.put(key, entry)
         return entry
 
-    def put(self, key, entry: tuple) -> None:
-        self.held += getsizeof(key) + getsizeof(entry) + sum(map(getsizeof, entry)) + self.OVERHEAD
+    def put(self, key: str, entry: bytes | tuple[bytes, ...]) -> None:
+        self.held += getsizeof(key) + getsizeof(entry) + self.OVERHEAD
+        if type(entry) is tuple:
+            self.held += sum(map(getsizeof, entry))
         if 2 * self.held > self.most:
             self.old = dict(self)
             self.clear()

@@ -64,12 +64,15 @@ def test_edits_of_one_piece():
         assert table == OWN.table(changed)
 
 
-def test_caches_stay_bounded(monkeypatch):
-    small = byte_bpe.Recent(3)
-    for i in range(10):
-        small.put(str(i), (1, "", (i,)))
-    assert len(small.new) + len(small.old) <= 6
-    assert small.get("9") == (1, "", (9,)) and small.get("0") is None
+def test_memory_is_bounded_and_changes_nothing(monkeypatch):
+    monkeypatch.setattr(byte_bpe, "CACHE_BYTES", 30_000)
+    own, library = load(PATH)
+    rng = random.Random(9)
+    words = ["".join(rng.choice("abcdefgh'.9é") for _ in range(rng.randint(1, 9))) for _ in range(2_000)]
+    for _ in range(20):
+        text = " ".join(rng.choices(words, k=500))
+        assert own.encode(text) == library.encode_ordinary(text)
+        assert own.known.held <= 30_000 and len(own.known) + len(own.known.old) < 200
 
 
 def test_columns_nulls_and_round_trip(spark):
