@@ -8,7 +8,8 @@ byte pieces, of which the last covers the character and the others are empty.
 
 No piece of the usual models holds a space mark after another character (this is looked up in the
 vocabulary), so words with the space marks before them are merged by themselves and are remembered, up to
-CACHE_BYTES per Python worker. A vocabulary for which this does not hold is merged text by text.
+CACHE_BYTES per Python worker. A vocabulary for which this does not hold is merged text by text. Within a word
+the same holds for any two neighbours that no piece has side by side.
 
 The model file is a parameter of bounded size (a vocabulary) and is broadcast. Texts are encoded where they are
 scanned; nothing is shuffled. Models must be byte-pair models with byte fallback and without user-defined or
@@ -26,7 +27,7 @@ import hashlib
 import re
 import struct
 from collections.abc import Iterator
-from heapq import heapify, heappop, heappush
+from heapq import heappop, heappush
 
 import numpy as np
 import pandas as pd
@@ -35,8 +36,9 @@ from pyspark.sql import functions as F
 
 from metrospect.llm.recent import Recent
 
-CACHE_BYTES = 64 << 20
-LONGEST_REMEMBERED = 64
+CACHE_BYTES = 128 << 20
+LONGEST_REMEMBERED = LONGEST_SCANNED = 64
+NO_PIECE = 1 << 30
 SPACE_MARK = "▁"
 
 # Field numbers, kinds of pieces and defaults of the public model format.
@@ -136,10 +138,10 @@ class Pieces:
 
     def __init__(self, model: bytes):
         self.ids: dict[str, int] = {}
-        self.scores: dict[str, float] = {}
         self.bytes_of: list[int] = [0] * 256
         self.surfaces: list[bytes] = []
         named: dict[str, int] = {}
+        scores: dict[str, float] = {}
         kinds: list[int] = []
         trainer, normalizer = {}, {}
         for field, value in fields(model):
@@ -149,7 +151,7 @@ class Pieces:
                 named[text] = len(kinds)
                 if kind == NORMAL:
                     self.ids[text] = len(kinds)
-                    self.scores[text] = struct.unpack("<f", piece.get(PIECE_SCORE, bytes(4)))[0]
+                    scores[text] = struct.unpack("<f", piece.get(PIECE_SCORE, bytes(4)))[0]
                 elif kind == BYTE:
                     self.bytes_of[int(text[1:-1], 16)] = len(kinds)
                 kinds.append(kind)
@@ -176,6 +178,11 @@ class Pieces:
         own = re.escape(self.space)
         apart = not any(re.search(f"[^{own}]{own}", text) for text in self.ids)
         self.words = re.compile(f"{own}*[^{own}]+|{own}+" if apart else r"(?s:.+)").findall
+        #: Merges by falling score; pieces of equal score share a place.
+        falling = {score: i for i, score in enumerate(sorted(set(scores.values()), reverse=True))}
+        self.places = {text: falling[score] for text, score in scores.items()}
+        self.beside = {text[i:i + 2] for text in self.ids for i in range(len(text) - 1)}
+        self.singles = {text: struct.pack("<Q", 1 << 32 | own) for text, own in self.ids.items() if len(text) == 1}
         self.known = Recent(CACHE_BYTES)
 
     def normalise(self, text: str) -> tuple[str, np.ndarray]:
@@ -227,67 +234,98 @@ class Pieces:
             put(" ", done)
         return "".join(out), np.array([*starts, done], np.int64)
 
-    def merged(self, word: str) -> list[str]:
-        """The pieces of a word: the best-scored neighbours that make a piece merge first, the leftmost of equals."""
-        parts: list[str | None] = list(word)
-        count = len(parts)
+    def merged(self, chunk: str) -> list[str]:
+        """The pieces of a chunk: the best neighbours that make a piece merge first, the leftmost of equals."""
+        if len(chunk) > LONGEST_SCANNED:
+            return self.merged_by_heap(chunk)
+        parts, place = list(chunk), self.places.get
+        pairs = [place(chunk[i:i + 2], NO_PIECE) for i in range(len(chunk) - 1)]
+        while pairs and (best := min(pairs)) != NO_PIECE:
+            at = pairs.index(best)
+            parts[at] += parts.pop(at + 1)
+            del pairs[at]
+            if at:
+                pairs[at - 1] = place(parts[at - 1] + parts[at], NO_PIECE)
+            if at < len(pairs):
+                pairs[at] = place(parts[at] + parts[at + 1], NO_PIECE)
+        return parts
+
+    def merged_by_heap(self, chunk: str) -> list[str]:
+        """The same for long chunks, in time that grows little faster than their length."""
+        parts: list[str | None] = list(chunk)
+        count, place = len(parts), self.places.get
         after, before = list(range(1, count + 1)), list(range(-1, count - 1))
-        score = self.scores.get
         waiting = []
+
+        def offer(left: int, pair: str) -> None:
+            if (own := place(pair)) is not None:
+                heappush(waiting, (own, left, pair))
+
         for i in range(count - 1):
-            pair = word[i:i + 2]
-            if (s := score(pair)) is not None:
-                waiting.append((-s, i, pair))
-        heapify(waiting)
+            offer(i, chunk[i:i + 2])
         while waiting:
             _, left, pair = heappop(waiting)
             right = after[left]
-            # A part of a pair that has merged since is None, longer or has another neighbour.
+            # A part that has merged since is None or longer, or has a longer neighbour.
             if parts[left] is None or right >= count or len(parts[left]) + len(parts[right]) != len(pair):
                 continue
             parts[left], parts[right] = pair, None
-            follower = after[left] = after[right]
-            if follower < count:
-                before[follower] = left
-                wider = pair + parts[follower]
-                if (s := score(wider)) is not None:
-                    heappush(waiting, (-s, left, wider))
-            if (leader := before[left]) >= 0:
-                wider = parts[leader] + pair
-                if (s := score(wider)) is not None:
-                    heappush(waiting, (-s, leader, wider))
+            after[left] = after[right]
+            if after[left] < count:
+                before[after[left]] = left
+                offer(left, pair + parts[after[left]])
+            if before[left] >= 0:
+                offer(before[left], parts[before[left]] + pair)
         return [part for part in parts if part is not None]
 
-    def word(self, word: str) -> tuple[bytes, bytes]:
-        """Ids of a word's pieces and the normalised characters that each takes, both as 32-bit numbers."""
-        ids, sizes = [], []
-        for part in self.merged(word):
+    def chunks_of(self, word: str) -> list[str]:
+        """A word cut between neighbours that no piece holds side by side, as no merge can cross there."""
+        beside, begin, out = self.beside, 0, []
+        for i in range(1, len(word)):
+            if word[i - 1:i + 1] not in beside:
+                out.append(word[begin:i])
+                begin = i
+        out.append(word[begin:])
+        return out
+
+    def chunk(self, chunk: str) -> bytes:
+        """Per piece a 64-bit number: its id and, above 32 bits, the normalised characters that it takes."""
+        numbers = []
+        for part in self.merged(chunk):
             own = self.ids.get(part)
             if own is not None:
-                ids.append(own)
-                sizes.append(len(part))
+                numbers.append(len(part) << 32 | own)
             else:
-                data = part.encode()
-                ids += [self.bytes_of[byte] for byte in data]
-                sizes += [0] * (len(data) - 1) + [1]
-        entry = struct.pack(f"<{len(ids)}I", *ids), struct.pack(f"<{len(sizes)}I", *sizes)
+                numbers += [self.bytes_of[byte] for byte in part.encode()]
+                numbers[-1] |= 1 << 32
+        return struct.pack(f"<{len(numbers)}Q", *numbers)
+
+    def word(self, word: str) -> bytes:
+        """The numbers of a word's chunks; words and chunks are remembered unless they are long."""
+        chunks, known = self.chunks_of(word), self.known
+        if len(chunks) == 1:
+            entry = self.chunk(word)
+        else:
+            entry = b"".join([self.singles.get(chunk) or known[chunk] or self.word(chunk) for chunk in chunks])
         if len(word) <= LONGEST_REMEMBERED:
-            self.known.put(word, entry)
+            known.put(word, entry)
         return entry
 
-    def encode(self, text: str) -> tuple[bytes, np.ndarray, np.ndarray]:
+    def encode(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Ids (32-bit numbers, with begin and end) and the first and last original byte of each piece."""
         normal, starts = self.normalise(text)
         known = self.known
         entries = [known[word] or self.word(word) for word in self.words(normal)]
-        ids = [entry[0] for entry in entries]
-        sizes = np.frombuffer(b"".join([entry[1] for entry in entries]), "<u4")
+        numbers = np.frombuffer(b"".join(entries), "<u8")
+        sizes = numbers >> np.uint64(32)
         upto = np.zeros(len(sizes) + 1, np.int64)
         np.cumsum(sizes, out=upto[1:])
         bounds = starts[upto]
         first = np.concatenate([starts[:1], bounds[:-1], starts[-1:]])
         last = np.concatenate([starts[:1], bounds[1:], starts[-1:]])
-        return b"".join([struct.pack("<I", self.begin), *ids, struct.pack("<I", self.end)]), first, last
+        ids = np.empty(len(numbers) + 2, "<u4")
+        ids[0], ids[1:-1], ids[-1] = self.begin, numbers, self.end
+        return ids, first, last
 
     def decode(self, ids: list[int]) -> str:
         """The text of ids: control pieces are silent, the space mark that encoding put first goes, bytes that are
@@ -332,7 +370,7 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
         own, rows = get(), []
         for text in texts:
             ids, first, last = own.encode(text or "")
-            rows.append((np.frombuffer(ids, "<i4"), first, last))
+            rows.append((ids.astype(np.int32), first, last))
         return pd.DataFrame(rows, columns=["ids", "firsts", "lasts"])
 
     return docs.select("doc_id", pieces(F.col("text").cast("string")).alias("p")).select("doc_id", "p.*")
@@ -360,9 +398,9 @@ def digests(docs: DataFrame, path: str) -> DataFrame:
         own, rows = get(), []
         for text in texts:
             ids, first, last = own.encode(text or "")
-            decoded = own.decode(np.frombuffer(ids, "<u4").tolist())
+            decoded = own.decode(ids.tolist())
             rows.append((
-                len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest(),
+                len(ids), hashlib.sha256(ids.tobytes()).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest(),
                 hashlib.sha256(first.astype("<i8").tobytes() + last.astype("<i8").tobytes()).hexdigest()))
         return pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256", "spans_sha256"])
 
