@@ -22,7 +22,6 @@ from pyspark.sql import functions as F
 from metrospect.session import staged
 
 WORD = r"[^\x20\x09-\x0D]+"
-BLANKS = r"[\x20\x09-\x0D]+"
 MOST = 3
 BEFORE = (Window.unboundedPreceding, -1)
 
@@ -142,7 +141,7 @@ def mix(docs: DataFrame, schedules: DataFrame | None = None, most: int = MOST) -
 
     def use(epoch):
         words = F.when(epoch < F.col("whole"), F.col("size")).otherwise(last)
-        middle = (epoch * F.col("source_size") + F.col("start") + words / 2) / F.col("wanted")
+        middle = F.try_divide(epoch * F.col("source_size") + F.col("start") + words / 2, F.col("wanted"))
         return F.struct(
             epoch.cast("int").alias("epoch"), words.cast("long").alias("words"),
             inverted(F.col("pieces"), middle).alias("position"))
@@ -163,41 +162,29 @@ def training_order(mixed: DataFrame, partitions: int | None = None) -> DataFrame
 
 
 def by_first_use(mixed: DataFrame) -> DataFrame:
-    """mix()'s rows, range-sorted by the training position of their first use; those never used come last."""
-    first = F.try_element_at("uses", F.lit(1))["position"]
-    keys = (first.asc_nulls_last(), F.col("source"), F.col("doc_id"))
-    return mixed.repartitionByRange(*keys).sortWithinPartitions(*keys)
+    """mix()'s rows with first_position, the training position of their first use (null: never used), range-sorted
+    by it; those never used come last."""
+    placed = mixed.withColumn("first_position", F.try_element_at("uses", F.lit(1))["position"])
+    keys = (F.col("first_position").asc_nulls_last(), F.col("source"), F.col("doc_id"))
+    return placed.repartitionByRange(*keys).sortWithinPartitions(*keys)
 
 
 def mixed_rows(docs: DataFrame) -> DataFrame:
     """All columns of docs, one row per use, range-sorted by training position.
 
-    Of rows alike in doc_id, source and text one is read for all. A use of a part of a document keeps its
-    first words, joined by one space, and n_chars, if there is one, follows.
+    Texts stay whole: a use of a part of a document is rounded, to the whole of it from half on, else to none.
+    Of rows alike in doc_id, source and text one is read for all.
     """
     # One key column for both steps, in which null fields are equal: rows dealt by it once serve the join too.
     # coalesce gives both keys one type: a staged hash may be null for the planner, a computed one not.
     key = lambda text_hash, doc_id, source: F.struct(
         F.coalesce(text_hash, F.lit(0)).alias("text_hash"), doc_id.alias("doc_id"), source.alias("source"))
+    whole = F.filter("uses", lambda use: use["words"] * 2 >= F.col("size"))
     uses = mix(docs).select(
-        key(F.col("text_hash"), F.col("doc_id"), F.col("source")).alias("key"), F.explode("uses").alias("use"))
-    text = F.col("row.text").cast("string")
+        key(F.col("text_hash"), F.col("doc_id"), F.col("source")).alias("key"), F.explode(whole).alias("use"))
+    text = F.coalesce(F.col("row.text").cast("string"), F.lit(""))
     rows = docs.select(F.struct("*").alias("row")).select(
-        "row", key(
-            F.xxhash64(F.coalesce(text, F.lit(""))), F.col("row.doc_id"), F.col("row.source").cast("string")).alias("key"),
-        F.regexp_count(F.coalesce(text, F.lit("")), F.lit(WORD)).alias("size"),
-    ).dropDuplicates(["key"])
-    used = rows.join(uses, "key")
-    first_words = F.array_join(F.slice(F.split(F.ltrim(F.regexp_replace(text, BLANKS, " ")), " "), 1, F.col("use.words").cast("int")), " ")
-    part = F.when(F.col("use.words") < F.col("size"), first_words).otherwise(text)
-    used = used.withColumn("part", part)
-    columns = []
-    for name in docs.columns:
-        column = F.col("row").getField(name)
-        if name == "text":
-            column = F.col("part")
-        elif name == "n_chars":
-            column = F.when(F.col("use.words") < F.col("size"), F.length("part").cast("long")).otherwise(column)
-        columns.append(column.alias(name))
+        "row", key(F.xxhash64(text), F.col("row.doc_id"), F.col("row.source").cast("string")).alias("key")).dropDuplicates(["key"])
     order = (F.col("use.position"), F.col("key.source"), F.col("key.doc_id"), F.col("use.epoch"))
-    return used.repartitionByRange(*order).sortWithinPartitions(*order).select(*columns)
+    used = rows.join(uses, "key").repartitionByRange(*order).sortWithinPartitions(*order)
+    return used.select(*[F.col("row").getField(name).alias(name) for name in docs.columns])

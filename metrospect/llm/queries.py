@@ -60,7 +60,7 @@ def op8_hnsw(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_curriculum_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.by_first_use(mixing.mix(table(spark, sf_dir, "documents")))
-    return mixed.select("doc_id", "size", "source_size", "target", "taken")
+    return mixed.select("doc_id", "size", "source_size", "target", "taken", F.round("first_position", 9).alias("first_position"))
 
 
 def op10_secret_formats(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -99,20 +99,26 @@ h AS (
          coalesce(sum(weight) FILTER (WHERE is_full) OVER (), 0)::BIGINT AS weight_full
   FROM g),
 t AS (
-  SELECT source, source_size,
+  SELECT source, source_size, weight,
          CASE WHEN is_full THEN cap::DOUBLE
               ELSE weight::DOUBLE * (total - cap_full)::DOUBLE / (weights - weight_full)::DOUBLE END AS target
   FROM h),
 u AS (SELECT *, floor(target + 0.5)::BIGINT AS wanted FROM t),
 v AS (
-  SELECT d.doc_id, d.size, u.source_size, u.target, u.wanted,
+  SELECT d.doc_id, d.size, u.source_size, u.target, u.wanted, 2.0 - u.weight / 2.0 AS height, u.weight - 2.0 AS slope,
          CASE WHEN u.source_size = 0 THEN 0 ELSE u.wanted // u.source_size END AS whole,
          coalesce(sum(d.size) OVER (PARTITION BY d.source ORDER BY d.k, d.doc_id, d.size
                                     ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start
-  FROM d JOIN u ON d.source IS NOT DISTINCT FROM u.source)
+  FROM d JOIN u ON d.source IS NOT DISTINCT FROM u.source),
+y AS (
+  SELECT *, CASE WHEN whole > 0 THEN size ELSE greatest(0, least(size, wanted - start)) END AS words FROM v),
+x AS (
+  SELECT *, CASE WHEN words > 0 THEN (start + words / 2.0::DOUBLE) / wanted::DOUBLE END AS share FROM y)
 SELECT doc_id, size, source_size, target,
-       (size * whole + greatest(0, least(size, wanted - whole * source_size - start)))::BIGINT AS taken
-FROM v
+       (size * whole + greatest(0, least(size, wanted - whole * source_size - start)))::BIGINT AS taken,
+       round(2.0::DOUBLE * share / (height::DOUBLE + sqrt(height::DOUBLE * height::DOUBLE + 2.0::DOUBLE * slope::DOUBLE * share)), 9)
+         AS first_position
+FROM x
 """
 
 REGISTRY = {f.__name__: f for f in (
