@@ -1,19 +1,20 @@
-"""Approximate nearest neighbours by inner product: a navigable small-world graph per shard.
+"""Approximate nearest neighbours by inner product: navigable small-world graphs per shard.
 
-Vectors are dealt to shards by hash. Each shard builds a hierarchical graph, layer by layer from the top, in
-batches: a batch searches the graph so far, chooses diverse neighbours and is linked both ways. Inner
-product becomes nearness on a sphere by one more component that levels all norms. A shard's index is
-one row: ids, vectors and, per layer, the flat array of neighbours. Queries go through every shard, many side
-by side, and the k best of all shards are merged; scores are computed again in double precision from the
-original vectors.
+Vectors are dealt to shards by hash. A shard holds one graph per norm class (norms within a factor of two) and at most
+about GRAPH vectors, as the share of true neighbours that a search of fixed width finds falls with the size of a graph.
+Each graph is hierarchical and built layer by layer from the top, in batches: a batch searches the graph so far, chooses
+diverse neighbours and is linked both ways. Inner product becomes nearness on a sphere by one more component
+that levels all norms of the class. The index of a graph is one row: ids, vectors and, per layer, the flat array of
+neighbours. Queries go through every graph, many side by side, and the k best are merged, first in the task of a
+shard, then over all shards; scores are computed again in double precision from the original vectors.
 
 Vectors that are equal share a node, so a vector that a third of the rows share is one node with many
-ids. Shards hold about SHARD vectors each; a query block and one shard meet in a task.
+ids. Shards hold SHARD_BYTES each, whatever the width of a vector; a query block and one shard meet in a task.
 
 Defined cases: vectors that are null, empty, zero or hold null or non-finite components take no part, nor do
 rows without vec_id; rows of one vec_id count once, with the smallest vector; a query meets candidates of
-its own number of components; fewer candidates than k: all of them; an empty table gives an empty result;
-other columns are not read.
+its own number of components; of equal scores that were met, the smaller vec_id comes first; fewer candidates than k: all
+of them; an empty table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
@@ -21,17 +22,18 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from metrospect.session import staged
 
 DEGREE = 16
 BUILD_WIDTH = 64
-SEARCH_WIDTH = 96
-SHARD = 50_000
+SEARCH_WIDTH = 256
+GRAPH = 5_000
+SHARD_BYTES = 32 << 20
 LEAST_SHARDS = 8
-QUERY_BLOCK = 20_000
+QUERY_BYTES = 16 << 20
 BATCH = 512
 STEPS = 4
 
@@ -46,8 +48,16 @@ def usable_vectors(table: DataFrame) -> DataFrame:
     return usable.select(F.col("vec_id").cast("long").alias("vec_id"), v.alias("v")).groupBy("vec_id").agg(F.min("v").alias("v"))
 
 
+def norm_class() -> Column:
+    """The power of two below the norm of v; parts are scaled first, so that no square overflows."""
+    most = F.array_max(F.transform("v", F.abs))
+    squares = F.aggregate("v", F.lit(0.0), lambda total, x: total + F.pow(x / most, F.lit(2.0)))
+    return F.floor(F.log2(most) + F.log2(squares) / 2).cast("int")
+
+
 def levelled(x: np.ndarray) -> np.ndarray:
     """Rows with one more component that gives all the largest norm, scaled to 1."""
+    x = x / (np.abs(x).max(initial=0.0) or 1.0)
     squares = (x * x).sum(axis=1)
     most = float(squares.max(initial=0.0))
     more = np.sqrt(np.maximum(most - squares, 0.0))
@@ -205,8 +215,8 @@ class Index:
 INDEX = "shard int, dim int, ids binary, nodes binary, vectors binary, sizes array<int>, degrees array<int>, neighbours binary"
 
 
-def build_index(vectors: DataFrame, shards: int) -> DataFrame:
-    """One row per shard and number of components (INDEX); nodes gives the node of each id."""
+def build_index(vectors: DataFrame, shards: int, parts: int) -> DataFrame:
+    """One row per graph (INDEX); nodes gives the node of each id. A shard has `parts` graphs of each norm class."""
 
     def build(part: pd.DataFrame) -> pd.DataFrame:
         v = np.stack(part["v"].to_list())
@@ -221,12 +231,26 @@ def build_index(vectors: DataFrame, shards: int) -> DataFrame:
             "sizes": [[len(n) for n in index.near]], "degrees": [[n.shape[1] for n in index.near]],
             "neighbours": [b"".join(n.astype(np.int32).tobytes() for n in index.near)]})
 
-    dealt = vectors.withColumn("shard", F.pmod(F.xxhash64("vec_id"), F.lit(shards)).cast("int"))
-    return dealt.groupBy("shard", "dim").applyInPandas(build, INDEX)
+    hashed = F.xxhash64("vec_id")
+    dealt = vectors.withColumn("shard", F.pmod(hashed, F.lit(shards)).cast("int")).withColumn(
+        "part", F.pmod(F.xxhash64(hashed), F.lit(parts)).cast("int")).withColumn("norm_class", norm_class())
+    return dealt.groupBy("shard", "dim", "norm_class", "part").applyInPandas(build, INDEX)
+
+
+Found = tuple[np.ndarray, np.ndarray, np.ndarray]
+
 
+def best(found: list[Found], k: int) -> Found:
+    """The k best (query, id, score) of each query, by score, then smaller id."""
+    queries, ids, scores = (np.concatenate(column) for column in zip(*found))
+    order = np.lexsort((ids, -scores, queries))
+    queries, ids, scores = queries[order], ids[order], scores[order]
+    keep = np.arange(len(queries)) - np.searchsorted(queries, queries, side="left") < k
+    return queries[keep], ids[keep], scores[keep]
 
-def search_shard(row: pd.Series, asked_ids: np.ndarray, asked: np.ndarray, k: int) -> pd.DataFrame:
-    """query_id, vec_id, score of the k best candidates found in one shard's index row."""
+
+def search_graph(row: pd.Series, asked_ids: np.ndarray, asked: np.ndarray, k: int) -> Found:
+    """(query, id, score) of the k best candidates found in one graph."""
     ids = np.frombuffer(row["ids"], np.int64)
     nodes = np.frombuffer(row["nodes"], np.int32)
     vectors = np.frombuffer(row["vectors"], np.float64).reshape(-1, row["dim"])
@@ -234,37 +258,40 @@ def search_shard(row: pd.Series, asked_ids: np.ndarray, asked: np.ndarray, k: in
     for size, degree in zip(row["sizes"], row["degrees"]):
         near.append(flat[at:at + size * degree].reshape(size, degree).astype(np.int64))
         at += size * degree
-    norms = np.sqrt((asked * asked).sum(axis=1, keepdims=True))
-    levelled_queries = np.hstack([asked / norms, np.zeros((len(asked), 1))]).astype(np.float32)
-    found = Index(levelled(vectors), near).search(levelled_queries)
+    unit = asked / np.abs(asked).max(axis=1, keepdims=True)
+    unit = unit / np.sqrt((unit * unit).sum(axis=1, keepdims=True))
+    met_by = Index(levelled(vectors), near).search(np.hstack([unit, np.zeros((len(asked), 1))]).astype(np.float32))
     by_node = np.lexsort((ids, nodes))
+    sorted_ids = ids[by_node]
     starts = np.searchsorted(nodes[by_node], np.arange(len(vectors) + 1))
-    out_q, out_v, out_s = [], [], []
-    for i, query in enumerate(asked_ids):
-        met = found[i][found[i] >= 0]
-        scores = vectors[met] @ asked[i]
-        best = np.lexsort((met, -scores))
-        taken = 0
-        for j in best:
-            members = ids[by_node[starts[met[j]]:min(starts[met[j] + 1], starts[met[j]] + k + 1)]]
-            members = members[members != query]
-            out_q += [query] * len(members)
-            out_v += members.tolist()
-            out_s += [scores[j]] * len(members)
-            taken += len(members)
-            if taken >= k and scores[j] < scores[best[0]] and (j == best[-1] or scores[j] > scores[best[-1]]):
-                break
-    return pd.DataFrame({"query_id": out_q, "vec_id": out_v, "score": out_s})
-
-
-def search(table: DataFrame, every: int, k: int, shard: int = SHARD) -> DataFrame:
+    # k + 1 ids of a node are enough: one of them may be the query's own.
+    counts = np.minimum(np.diff(starts), k + 1)
+    found = []
+    for query, own, met in zip(asked_ids, asked, met_by):
+        met = met[met >= 0]
+        scores = vectors[met] @ own
+        if len(met) > k + 1:
+            # Nodes that tie with the last one stay, as any of their ids may be the smaller.
+            keep = scores >= np.partition(scores, -k - 1)[-k - 1]
+            met, scores = met[keep], scores[keep]
+        each = counts[met]
+        members = sorted_ids[np.repeat(starts[met] - np.cumsum(each) + each, each) + np.arange(each.sum())]
+        other = members != query
+        found.append((np.full(other.sum(), query), members[other], np.repeat(scores, each)[other]))
+    return best(found, k)
+
+
+def search(table: DataFrame, every: int, k: int, shard_bytes: int = SHARD_BYTES, graph: int = GRAPH) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest found of each row whose vec_id divides by `every`."""
     vectors = staged(usable_vectors(table).withColumn("dim", F.size("v")), "hnsw-vectors")
     asking = F.pmod("vec_id", F.lit(every)) == 0
-    sizes = vectors.agg(F.count("*").alias("n"), F.count(F.when(asking, 1)).alias("q")).first()
-    shards = max(LEAST_SHARDS, -(-sizes["n"] // shard))
-    query_blocks = max(1, -(-sizes["q"] // QUERY_BLOCK))
-    index = staged(build_index(vectors, shards), "hnsw-index")
+    row_bytes = 8 * F.col("dim").cast("long") + 4 * 2 * DEGREE
+    sizes = vectors.agg(
+        F.count("*").alias("n"), F.sum(row_bytes).alias("bytes"), F.sum(F.when(asking, row_bytes)).alias("asking")).first()
+    shards = max(LEAST_SHARDS, -(-(sizes["bytes"] or 0) // shard_bytes))
+    parts = max(1, -(-sizes["n"] // (shards * graph)))
+    query_blocks = max(1, -(-(sizes["asking"] or 0) // QUERY_BYTES))
+    index = staged(build_index(vectors, shards, parts), "hnsw-index")
     all_of = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     index = index.withColumn("of_queries", all_of(query_blocks))
     queries = (vectors.where(asking).withColumn("of_queries", F.pmod(F.xxhash64("vec_id"), F.lit(query_blocks)).cast("int"))
@@ -272,10 +299,13 @@ def search(table: DataFrame, every: int, k: int, shard: int = SHARD) -> DataFram
     keys = ["dim", "shard", "of_queries"]
 
     def run(asked: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
-        if asked.empty or held.empty:
-            return pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype({"query_id": "int64", "vec_id": "int64", "score": "float64"})
-        return search_shard(held.iloc[0], asked["vec_id"].to_numpy(), np.stack(asked["v"].to_list()), k)
+        found = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+        if len(asked) and len(held):
+            own = np.stack(asked["v"].to_list())
+            for _, row in held.iterrows():
+                found = best([found, search_graph(row, asked["vec_id"].to_numpy(), own, k)], k)
+        return pd.DataFrame(dict(zip(("query_id", "vec_id", "score"), found)))
 
     partial = queries.groupBy(*keys).cogroup(index.groupBy(*keys)).applyInPandas(run, "query_id long, vec_id long, score double")
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return partial.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    nearest = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    return partial.withColumn("rank", F.row_number().over(nearest)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -3,6 +3,7 @@
 import math
 
 import numpy as np
+import pandas as pd
 import pytest
 
 from metrospect.llm import cover_tree, hnsw
@@ -82,6 +83,59 @@ def test_graph_recall(spark):
     assert 5000 not in got and 6000 not in got
 
 
+def test_ties_go_to_the_smaller_id(spark):
+    rows = [(500, [2, 0])] + [(71 + t, [1, t]) for t in range(30)] + [(0, [1, 0])]
+    got = sorted((r.query_id, r.rank, r.vec_id) for r in hnsw.search(table(spark, rows), 1000, 2).collect())
+    assert got == [(0, 1, 500), (0, 2, 71)]
+
+
+def one_graph_recall(x, asked=60, k=20):
+    """The share of the true k nearest that one graph of all rows finds."""
+    v = np.asarray(x, np.float64)
+    part = pd.DataFrame({"ids": [np.arange(len(v)).tobytes()]})
+    index, order = hnsw.Index.build(hnsw.levelled(v), hnsw.layers_of(np.arange(len(v)), hnsw.DEGREE))
+    place = np.empty(len(order), np.int64)
+    place[order] = np.arange(len(order))
+    part["nodes"] = [place.astype(np.int32).tobytes()]
+    part["vectors"] = [v[order].tobytes()]
+    part["dim"] = v.shape[1]
+    part["sizes"], part["degrees"] = [[len(n) for n in index.near]], [[n.shape[1] for n in index.near]]
+    part["neighbours"] = [b"".join(n.astype(np.int32).tobytes() for n in index.near)]
+    queries, ids, scores = hnsw.search_graph(part.iloc[0], np.arange(asked), v[:asked], k)
+    hit = 0
+    for q in range(asked):
+        true = v @ v[q]
+        true[q] = -np.inf
+        hit += (scores[queries == q] >= np.sort(true)[-k] - 1e-9 * abs(true).max(where=np.isfinite(true), initial=1.0)).sum()
+    return hit / asked / k
+
+
+def test_recall_of_a_whole_graph():
+    """The hard case: all neighbours in one graph as large as they get."""
+    x = np.random.default_rng(6).normal(size=(hnsw.GRAPH, 64))
+    assert one_graph_recall(x) >= 0.9
+    assert one_graph_recall(x / np.linalg.norm(x, axis=1, keepdims=True)) >= 0.9
+
+
+def test_norms_far_apart(spark):
+    """One long vector must not drown the others' products."""
+    rng = np.random.default_rng(7)
+    x = rng.normal(size=(2_000, 32))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    x[777] *= 1e9
+    x[1_000:1_200] *= 1e-6
+    x = x.astype(np.float32).astype(np.float64)
+    got = {}
+    for r in hnsw.search(table(spark, list(enumerate(x.tolist()))), 50, 10).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    hit = 0
+    for q in range(0, 2_000, 50):
+        true = x @ x[q]
+        true[q] = -np.inf
+        hit += len(got[q] & set(np.argsort(-true)[:10].tolist()))
+    assert hit / 40 / 10 >= 0.97
+
+
 def test_small_and_empty_tables(spark):
     few = [(0, [1, 0]), (20, [0, 1]), (21, [1, 1])]
     for found in (hnsw.search(table(spark, few), 20, 20), cover_tree.top_k(table(spark, few), 20, 20)):
