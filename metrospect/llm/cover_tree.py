@@ -7,12 +7,12 @@ that its centres and covering radii allow stays below the worst k-th score of th
 queries is tested query by query. The per-block results of a query, at most k rows each, are merged by a
 window per query.
 
-The number of blocks follows the number of rows, so a task's memory is bounded by BLOCK vectors; every
-query block meets every data block once (a stated query set against all rows).
+The number of blocks follows the number of components, so a task's memory is bounded by BLOCK_BYTES of them a side,
+whatever the width; every query block meets every data block once (a stated query set against all rows).
 
 Defined cases: vectors that are null, empty or hold null or non-finite components take no part, nor do rows
 without vec_id; rows of one vec_id count once, with the smallest vector; a query meets candidates of its
-own number of components; fewer candidates than k: all of them; an empty table gives an empty result; other
+own number of components; fewer candidates than k: all of them; scores must fit 64 bits, larger ones raise OverflowError; an empty table gives an empty result; other
 columns are not read.
 """
 
@@ -28,7 +28,7 @@ from metrospect.session import staged
 EXPANSION = 1.2
 LEAF = 64
 QUERY_LEAF = 256
-BLOCK = 25_000
+BLOCK_BYTES = 16 << 20
 LEAST_BLOCKS = 6
 SCALE = 1024
 EXACT = 2.0**53
@@ -122,19 +122,26 @@ class Search:
 
     def __init__(self, q: np.ndarray, q_ids: np.ndarray, d: np.ndarray, d_ids: np.ndarray, k: int):
         self.q_ids, self.d_ids, self.k = q_ids, d_ids, k
-        self.q, self.d = q, d
-        largest = float(max(np.abs(q).max(initial=0.0), np.abs(d).max(initial=0.0)))
+        self.q, self.d = q.astype(np.float64), d.astype(np.float64)
+        largest = float(max(np.abs(self.q).max(initial=0.0), np.abs(self.d).max(initial=0.0)))
         self.fits = largest * largest * q.shape[1] < EXACT
-        self.q_norms = np.sqrt((q.astype(np.float64) ** 2).sum(axis=1))
-        self.scores = np.full((len(q), k), -np.inf)
+        self.whole = None if self.fits else (q.astype(np.int64).astype(object), d.astype(np.int64).astype(object))
+        self.q_norms = np.sqrt((self.q ** 2).sum(axis=1))
+        self.scores = np.full((len(q), k), -np.inf, np.float64 if self.fits else object)
         self.found = np.full((len(q), k), np.iinfo(np.int64).max)
         self.slack = 1e-9 * largest * largest * q.shape[1] + 1e-6
 
     def products(self, rows: np.ndarray, columns: np.ndarray) -> np.ndarray:
         """Inner products of whole numbers: exact in doubles while they fit, in Python's integers beyond."""
-        if self.fits:
+        if self.whole is None:
             return self.q[rows] @ self.d[columns].T
-        return self.q[rows].astype(object) @ self.d[columns].astype(object).T
+        return self.whole[0][rows] @ self.whole[1][columns].T
+
+    def order(self, scores: np.ndarray, ids: np.ndarray) -> np.ndarray:
+        """Positions by falling score, then rising id."""
+        if self.fits:
+            return np.lexsort((ids, -scores))
+        return np.array(sorted(range(len(ids)), key=lambda i: (-scores[i], ids[i])))
 
     def worst(self, node: Node) -> float:
         return float(self.scores[node.points, -1].min())
@@ -149,7 +156,7 @@ class Search:
                 row, new = rows[i], wanted[i]
                 all_scores = np.concatenate([self.scores[row], scores[i][new]])
                 all_ids = np.concatenate([self.found[row], ids[new]])
-                best = np.lexsort((all_ids, -all_scores))[:self.k]
+                best = self.order(all_scores, all_ids)[:self.k]
                 self.scores[row], self.found[row] = all_scores[best], all_ids[best]
 
     def run(self) -> None:
@@ -167,7 +174,7 @@ class Search:
                 bounds = Balls.of(queries).bounds(data.balls)[0]
                 waiting += [(queries, data.children[i], bounds[i]) for i in np.argsort(bounds)]
             else:
-                points, kth = queries.points, self.scores[queries.points, -1]
+                points, kth = queries.points, self.scores[queries.points, -1].astype(np.float64)
                 each = Balls(self.q[points], np.zeros(len(points)), self.q_norms[points])
                 if data.children:
                     bounds = each.bounds(data.balls)
@@ -183,13 +190,14 @@ class Search:
                     self.meet(points[useful], data.points)
 
 
-def top_k(table: DataFrame, every: int, k: int, scale: int = SCALE, block: int = BLOCK) -> DataFrame:
+def top_k(table: DataFrame, every: int, k: int, scale: int = SCALE, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """query_id, rank, vec_id, score: the k best candidates of each row whose vec_id divides by `every`."""
     vectors = staged(whole_vectors(table, scale).withColumn("dim", F.size("v")), "cover-vectors")
     asking = F.pmod("vec_id", F.lit(every)) == 0
-    sizes = vectors.agg(F.count("*").alias("n"), F.count(F.when(asking, 1)).alias("q")).first()
-    data_blocks = max(LEAST_BLOCKS, -(-sizes["n"] // block))
-    query_blocks = max(1, -(-sizes["q"] // block))
+    row_bytes = 8 * F.col("dim").cast("long")
+    sizes = vectors.agg(F.sum(row_bytes).alias("data"), F.sum(F.when(asking, row_bytes)).alias("queries")).first()
+    data_blocks = max(LEAST_BLOCKS, -(-(sizes["data"] or 0) // block_bytes))
+    query_blocks = max(1, -(-(sizes["queries"] or 0) // block_bytes))
     deal = lambda n: F.pmod(F.xxhash64("vec_id"), F.lit(n)).cast("int")
     all_of = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     data = vectors.withColumn("of_data", deal(data_blocks)).withColumn("of_queries", all_of(query_blocks))
@@ -201,10 +209,7 @@ def top_k(table: DataFrame, every: int, k: int, scale: int = SCALE, block: int =
         if asked.empty or held.empty:
             return pd.DataFrame(columns=columns).astype("int64")
         rows = lambda frame: np.stack(frame["v"].to_list())
-        q, d = rows(asked), rows(held)
-        if max(np.abs(q).max(), np.abs(d).max()) < EXACT:
-            q, d = q.astype(np.float64), d.astype(np.float64)
-        found = Search(q, asked["vec_id"].to_numpy(), d, held["vec_id"].to_numpy(), k)
+        found = Search(rows(asked), asked["vec_id"].to_numpy(), rows(held), held["vec_id"].to_numpy(), k)
         found.run()
         real = np.isfinite(found.scores.astype(np.float64))
         at, _ = np.nonzero(real)

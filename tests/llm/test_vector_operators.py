@@ -28,12 +28,12 @@ ODD = [
 ]
 
 
-@pytest.mark.parametrize("block", [25_000, 40])
-def test_cover_tree_is_exact(spark, block):
+@pytest.mark.parametrize("block_bytes", [16 << 20, 4_000])
+def test_cover_tree_is_exact(spark, block_bytes):
     x = clustered(600, 12).astype(np.float32)
     rows = list(enumerate(x.tolist())) + ODD + [(700, [1, 2, 3]), (800, [2, 2, 2]), (5, x[5].tolist())]
     got = {}
-    for r in cover_tree.top_k(table(spark, rows), 100, 10, block=block).collect():
+    for r in cover_tree.top_k(table(spark, rows), 100, 10, block_bytes=block_bytes).collect():
         got.setdefault(r.query_id, []).append((r.rank, r.vec_id, r.score))
     whole = np.floor(x.astype(np.float64) * 1024).astype(np.int64)
     assert set(got) == {0, 100, 200, 300, 400, 500, 700, 800}
@@ -55,10 +55,30 @@ def test_pairs_are_pruned(monkeypatch):
 
 
 def test_large_components_stay_exact(spark):
-    rows = [(i, [2.0**40 + i * 2.0**20, 2.0**40]) for i in range(0, 300, 100)]
-    got = cover_tree.top_k(table(spark, rows), 100, 2, scale=1).collect()
-    want = {(a, b): sum(int(x) * int(y) for x, y in zip(va, vb)) for a, va in rows for b, vb in rows}
-    assert len(got) == 6 or all(want[r.query_id, r.vec_id] < 2**63 for r in got)
+    """Scores beyond 2^53, many of them one apart, where doubles would lose order and ties."""
+    rng = np.random.default_rng(3)
+    rows = [(i, [2**28 + int(a), 2**28 + int(b), 1 + i % 3]) for i, (a, b) in enumerate(rng.integers(0, 3, (400, 2)))]
+    got = {}
+    for r in cover_tree.top_k(table(spark, rows), 100, 10, scale=1).collect():
+        got.setdefault(r.query_id, []).append((r.rank, r.vec_id, r.score))
+    # Floats hold these components only roughly, so the whole numbers are those that the table holds.
+    whole = {i: [int(np.float32(x)) for x in v] for i, v in rows}
+    for q in range(0, 400, 100):
+        scored = sorted((-sum(x * y for x, y in zip(whole[q], v)), i) for i, v in whole.items() if i != q)[:10]
+        assert sorted(got[q]) == [(k + 1, i, -s) for k, (s, i) in enumerate(scored)]
+        assert -scored[0][0] > 2**53
+
+
+def test_exact_search_of_large_whole_numbers():
+    rng = np.random.default_rng(5)
+    d = 2**30 + rng.integers(0, 2, (500, 2))
+    q, ids = d[:5] + 1, np.arange(500)
+    search = cover_tree.Search(q, ids[:5], d, ids, 7)
+    search.run()
+    for i in range(5):
+        scored = sorted((-sum(int(x) * int(y) for x, y in zip(q[i], d[j])), j) for j in range(500) if j != i)[:7]
+        assert list(zip(search.scores[i].tolist(), search.found[i].tolist())) == [(-s, j) for s, j in scored]
+    assert len({int(s) for s in search.scores.ravel()}) > 1 and min(search.scores.ravel()) > 2**53
 
 
 def test_graph_recall(spark):
