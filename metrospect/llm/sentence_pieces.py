@@ -8,8 +8,8 @@ byte pieces, of which the last covers the character and the others are empty.
 
 No piece of the usual models holds a space mark after another character (this is looked up in the
 vocabulary), so words with the space marks before them are merged by themselves and are remembered, up to
-CACHE_BYTES per Python worker. A vocabulary for which this does not hold is merged text by text. Within a word
-the same holds for any two neighbours that no piece has side by side.
+CACHE_BYTES per Python worker. A vocabulary for which this does not hold is merged text by text. In the same way
+words end after Latin letters, and are cut between any two neighbours that no piece has side by side.
 
 The model file is a parameter of bounded size (a vocabulary) and is broadcast. Texts are encoded where they are
 scanned; nothing is shuffled. Models must be byte-pair models with byte fallback and without user-defined or
@@ -40,6 +40,7 @@ CACHE_BYTES = 128 << 20
 LONGEST_REMEMBERED = LONGEST_SCANNED = 64
 NO_PIECE = 1 << 30
 SPACE_MARK = "▁"
+LATIN = "A-Za-zÀ-ÖØ-öø-ɏḀ-ỿ"
 
 # Field numbers, kinds of pieces and defaults of the public model format.
 PIECES, TRAINER, NORMALIZER = 1, 2, 3
@@ -175,9 +176,7 @@ class Pieces:
                 b"" if kind == CONTROL else unknown if kind == UNKNOWN else bytes([int(text[1:-1], 16)]) if kind == BYTE
                 else text.replace(SPACE_MARK, " ").encode())
         self.texts = list(named)
-        own = re.escape(self.space)
-        apart = not any(re.search(f"[^{own}]{own}", text) for text in self.ids)
-        self.words = re.compile(f"{own}*[^{own}]+|{own}+" if apart else r"(?s:.+)").findall
+        self.words = re.compile(self.word_pattern()).findall
         #: Merges by falling score; pieces of equal score share a place.
         falling = {score: i for i, score in enumerate(sorted(set(scores.values()), reverse=True))}
         self.places = {text: falling[score] for text, score in scores.items()}
@@ -185,6 +184,16 @@ class Pieces:
         self.singles = {text: struct.pack("<Q", 1 << 32 | own) for text, own in self.ids.items() if len(text) == 1}
         self.known = Recent(CACHE_BYTES)
 
+    def word_pattern(self) -> str:
+        """Stretches between which no piece reaches across: before a space mark and, if the vocabulary allows, after
+        a run of Latin letters."""
+        space = re.escape(self.space)
+        if any(re.search(f"[^{space}]{space}", text) for text in self.ids):
+            return r"(?s:.+)"
+        if any(re.search(f"[{LATIN}][^{LATIN}]", text) for text in self.ids):
+            return f"{space}*[^{space}]+|{space}+"
+        return f"{space}*[^{space}{LATIN}]*[{LATIN}]+|{space}*[^{space}{LATIN}]+|{space}+"
+
     def normalise(self, text: str) -> tuple[str, np.ndarray]:
         """The normalised text, and the source byte of each of its characters, with that of the end."""
         if self.tidy or self.map.units or self.space_at_end:
