@@ -11,7 +11,8 @@ from metrospect import constants as K
 from metrospect.functions import text as tx
 from metrospect.functions.lexical import lexically_valid, with_lexical_metrics
 from metrospect.functions.pyast import with_python_metrics
-from metrospect.operators.dedup import early_reason, first_seen
+from metrospect.operators.dedup import early_reason, first_seen, later_copies, totals, without
+from metrospect.session import staged
 
 RAW_SCHEMA = T.StructType(
     [T.StructField(name, T.StringType()) for name in ("content", "source", "hexsha", "id")]
@@ -76,12 +77,58 @@ def prepare(
     )
 
 
-def to_curated(df: DataFrame, *ids: Column | str) -> DataFrame:
-    """Project kept rows to the 11 columns of the shard schema."""
+def judged(
+    df: DataFrame, source: Column, seq: str, *, profile: str = "lexical",
+    min_chars: int = K.MIN_CHARS, max_chars: int = K.MAX_CHARS,
+) -> tuple[DataFrame, DataFrame]:
+    """The cascade's verdicts by text: (seq, sha256) of every row, staged, and for each distinct sha256 its
+    early_reason, metrics_error and metrics.
+
+    A text is parsed and measured once, at its first row, however often it occurs; syntax comes before length and
+    both before dedup, as in a cascade that looks at every row. Texts stay where they are. A missing text is a text
+    with the sha256 "".
+    """
+    base = df.withColumn("source", source).select("source", seq)
+    hashed = base.withColumn("sha256", F.coalesce(tx.sha256_hex("source"), F.lit("")))
+    keyed = staged(hashed.select(seq, "sha256"), "keys")
+    firsts = without(hashed, later_copies(keyed, "sha256", seq), seq)
+    if profile == "lexical":
+        measured = with_lexical_metrics(firsts).withColumn("valid", lexically_valid("source"))
+    elif profile == "python_ast":
+        measured = with_python_metrics(firsts)
+    else:
+        raise ValueError(f"unknown profile {profile!r}")
+    reason = early_reason(F.col("valid"), tx.length_ok("source", min_chars, max_chars))
+    verdicts = measured.select("sha256", reason.alias("early_reason"), "metrics_error", *K.METRICS)
+    return keyed, staged(verdicts, "verdicts")
+
+
+def judged_counts(keyed: DataFrame, verdicts: DataFrame) -> DataFrame:
+    """Drop counts of judged() texts. Copies are counted before they meet their verdict, one row a text."""
+    copies = keyed.groupBy("sha256").agg(F.count(F.lit(1)).alias("n"))
+    failed = F.when(F.col("early_reason").isNull(), F.col("metrics_error").isNotNull())
+    return totals(copies.join(verdicts, "sha256").select(
+        F.col("early_reason").alias("reason"), failed.alias("failed"), "n"))
+
+
+def judged_rows(keyed: DataFrame, verdicts: DataFrame, seq: str) -> DataFrame:
+    """seq and drop_reason (NULL: kept) of every row of judged() texts."""
+    first = keyed.groupBy("sha256").agg(F.min(seq).alias("_first"))
+    per_text = verdicts.select("sha256", "early_reason", "metrics_error").join(first, "sha256")
+    reason = (
+        F.when(F.col("early_reason").isNotNull(), F.col("early_reason"))
+        .when(F.col(seq) != F.col("_first"), "dedup")
+        .when(F.col("metrics_error").isNotNull(), "metrics")
+    )
+    return keyed.join(per_text, "sha256").select(seq, reason.alias("drop_reason"))
+
+
+def to_curated(df: DataFrame, *ids: Column | str, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Project kept rows to the 11 columns of the shard schema, and those of keep."""
     shaped = df.withColumn("split", tx.hash_split("sha256")).withColumn(
         "id", tx.record_id("sha256", *ids)
     )
-    return shaped.select(*[F.col(c).cast(t).alias(c) for c, t in CURATED_TYPES.items()])
+    return shaped.select(*[F.col(c).cast(t).alias(c) for c, t in CURATED_TYPES.items()], *keep)
 
 
 def curate(

@@ -152,3 +152,10 @@ def programs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return documents(spark, sf_dir).select(
         F.col("doc_id").alias("id"), "lang", program.alias("source")
     )
+
+
+def scripts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """programs as raw rows (seq, source), of which the French ones that parse hold nothing but comments."""
+    comments = F.regexp_replace("source", "(?m)^(?!#).*$\n?", "")
+    idle = (F.col("lang") == "fr") & ~F.col("source").endswith("(\n")
+    return programs(spark, sf_dir).select(F.col("id").alias("seq"), F.when(idle, comments).otherwise(F.col("source")).alias("source"))

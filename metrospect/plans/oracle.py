@@ -332,6 +332,29 @@ BROKEN = "contains(text, '|')"
 BLOCKS = "len(string_split(text, chr(10)))"
 
 
+SCRIPTS = f"""
+lines AS (
+  SELECT doc_id, lang, {BROKEN} AS broken, string_split(text, chr(10)) AS l FROM documents),
+written AS (
+  SELECT doc_id AS seq, broken, lang = 'fr' AND NOT broken AS idle,
+    CASE WHEN lang = 'en' THEN concat('def task_func(x):', chr(10),
+        array_to_string(list_transform(l, lambda x: '    # ' || x), chr(10)), chr(10),
+        repeat(concat('    if x > 0:', chr(10), '        x = x - 1', chr(10)), len(l)),
+        '    return ', CASE WHEN broken THEN '(' ELSE 'x' END, chr(10))
+      WHEN lang = 'fr' AND NOT broken THEN array_to_string(list_transform(l, lambda x: '# ' || x), chr(10)) || chr(10)
+      ELSE concat('x = 5', chr(10), array_to_string(list_transform(l, lambda x: '# ' || x), chr(10)), chr(10),
+        repeat(concat('if x > 0:', chr(10), '    x = x - 1', chr(10)), len(l)),
+        'y = ', CASE WHEN broken THEN '(' ELSE 'x' END, chr(10)) END AS program
+  FROM lines),
+copies AS (
+  SELECT seq, row_number() OVER (PARTITION BY sha256(program) ORDER BY seq) AS copy
+  FROM written WHERE NOT broken AND length(program) BETWEEN 50 AND 6500),
+reasons AS (
+  SELECT seq, CASE WHEN broken THEN 'syntax' WHEN copy IS NULL THEN 'char_length' WHEN copy > 1 THEN 'dedup'
+    WHEN idle THEN 'metrics' ELSE 'kept' END AS drop_reason
+  FROM written LEFT JOIN copies USING (seq))"""
+
+
 def _program_metrics() -> str:
     """Metrics of the derived programs in closed form: b comments, b branches, one header line.
 
@@ -420,6 +443,11 @@ def statements() -> dict[str, str]:
         WHEN fit.doc_id IS NULL THEN 'char_length' WHEN copy > 1 THEN 'dedup'
         WHEN NOT met.ok THEN 'metrics' ELSE 'kept' END AS drop_reason
       FROM met LEFT JOIN fit ON met.doc_id = fit.doc_id"""
+    sql["python_drop_counts"] = f"""WITH {SCRIPTS}
+      SELECT count(*) FILTER (drop_reason = 'syntax') AS syntax, count(*) FILTER (drop_reason = 'char_length') AS char_length,
+        count(*) FILTER (drop_reason = 'dedup') AS dedup, count(*) FILTER (drop_reason = 'metrics') AS metrics,
+        count(*) FILTER (drop_reason = 'kept') AS kept, count(*) AS pulled FROM reasons"""
+    sql["python_drop_rows"] = f"WITH {SCRIPTS} SELECT seq, drop_reason FROM reasons"
     sql["exact_dedup"] = """SELECT doc_id AS seq, sha256(text) AS sha256, n_chars, text
       FROM documents QUALIFY row_number() OVER (PARTITION BY sha256(text) ORDER BY doc_id) = 1"""
     sql["hash_split_share"] = f"""SELECT {HASH_SPLIT} AS split, count(*) AS n_rows,
@@ -663,7 +691,7 @@ def statements() -> dict[str, str]:
     sql["task_scan"] = """SELECT 'task/' || item_id AS task_id, text AS prompt FROM benchmark
       ORDER BY task_id LIMIT 25"""
     sql["stream_curation"] = f"""WITH {LEX}, {SURVIVORS}
-      SELECT substr(sha, 1, 16) AS id, sha AS sha256, {SPLIT} AS split, cc::int AS cc,
+      SELECT doc_id::varchar AS id, sha AS sha256, {SPLIT} AS split, cc::int AS cc,
         sloc::int AS sloc FROM kept"""
     sql["stream_drop_counts"] = sql["drop_reason_counts"]
     return sql

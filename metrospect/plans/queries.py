@@ -7,7 +7,6 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
 
 from metrospect import constants as K
 from metrospect.functions import names, vectors as vx
@@ -96,6 +95,19 @@ def drop_reason_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def python_drop_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Drop counts of Python scripts, each distinct one parsed once."""
+    return curation.judged_counts(*curation.judged(I.scripts(spark, sf_dir), F.col("source"), "seq", profile="python_ast"))
+
+
+@query
+def python_drop_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The drop reason of every script."""
+    judged = curation.judged(I.scripts(spark, sf_dir), F.col("source"), "seq", profile="python_ast")
+    return curation.judged_rows(*judged, "seq").withColumn("drop_reason", F.coalesce("drop_reason", F.lit("kept")))
+
+
 @query
 def exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     hashed = I.corpus(spark, sf_dir).withColumn("sha256", tx.sha256_hex("text"))
@@ -828,18 +840,13 @@ def task_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- streaming --------------------------------------------------------------------------------
 
 
-def _arriving_files(spark: SparkSession, sf_dir: str) -> tuple[str, StructType]:
-    path = scratch_path(spark, "arrivals")
-    docs = I.table(spark, sf_dir, "documents")
-    docs.repartition(4, "doc_id").write.parquet(path)
-    return path, docs.schema
-
-
 def _streamed(spark: SparkSession, sf_dir: str) -> tuple[str, DataFrame]:
-    path, schema = _arriving_files(spark, sf_dir)
-    out = scratch_path(spark, "stream-out")
+    """documents arriving in four files, dealt so that copies with smaller ids also come later, in two batches."""
+    arrivals, out = scratch_path(spark, "arrivals"), scratch_path(spark, "stream-out")
+    docs = I.table(spark, sf_dir, "documents").withColumnRenamed("doc_id", "seq")
+    docs.repartition(4, "seq").write.parquet(arrivals)
     counts = stream.run_curation(
-        spark, path, schema, tx.first_text("text"), [], out,
+        spark, arrivals, docs.schema, tx.first_text("text"), "seq", ["seq"], out,
         scratch_path(spark, "stream-state"), files_per_batch=2,
     )
     return out, counts
@@ -847,14 +854,13 @@ def _streamed(spark: SparkSession, sf_dir: str) -> tuple[str, DataFrame]:
 
 @query
 def stream_curation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The cascade over arriving files; equals the batch result."""
+    """The cascade over arriving files; equals the batch result, ids included."""
     out, _ = _streamed(spark, sf_dir)
-    return corpus_io.read_shards(spark, out, ["id", "sha256", "split", "cc", "sloc"])
+    return stream.read_kept(spark, out).select("id", "sha256", "split", "cc", "sloc")
 
 
 @query
 def stream_drop_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Drop counters of the stream, summed over its micro-batches."""
+    """Stored drop counters of the stream, summed over its micro-batches."""
     _, counts = _streamed(spark, sf_dir)
-    names_ = ["pulled", "syntax", "char_length", "dedup", "metrics", "kept"]
-    return counts.agg(*[F.sum(c).alias(c) for c in names_])
+    return counts.agg(*[F.sum(c).alias(c) for c in stream.COUNTERS])

@@ -62,3 +62,39 @@ def test_pull_takes_the_first_n_of_the_seeded_order(spark, n):
     if n == 500:
         other = [r["doc"] for r in curation.pull(df, "doc", n, seed=7).collect()]
         assert sorted(other) != sorted(got)
+
+
+@pytest.mark.parametrize("profile", ["lexical", "python_ast"])
+def test_judging_each_text_once(raw, profile):
+    judged = curation.judged(raw, F.col("content"), "seq", profile=profile)
+    texts = raw.select(F.coalesce("content", F.lit("?"))).distinct().count()
+    assert judged[1].count() == texts and judged[0].count() == 76
+    counts = curation.judged_counts(*judged).first().asDict()
+    ready = curation.prepare(raw, F.col("content"), "seq", profile=profile)
+    assert counts == dedup.drop_counts(ready).first().asDict()
+    assert min(counts.values()) > 0
+    rows = {r["seq"]: r["drop_reason"] for r in curation.judged_rows(*judged, "seq").collect()}
+    assert rows == {r["seq"]: r["drop_reason"] for r in dedup.with_drop_reason(ready).collect()}
+
+
+@pytest.mark.parametrize("limit", [1 << 20, 20_000, 10])
+def test_without_in_all_three_forms(spark, limit):
+    """As a list, as bitmaps, and by shuffle."""
+    seqs = [-70_000, -32_768, -1, 0, 1, 32_768, 32_769, 65_536, 2**40, *range(2, 3_000)]
+    df = spark.createDataFrame([(s, f"text {s}") for s in seqs], "seq long, text string").repartition(3)
+    gone = [s for s in seqs if s % 3 == 0 or s < 0] + [77_777]
+    left = dedup.without(df, spark.createDataFrame([(s,) for s in gone], "seq long"), "seq", limit)
+    assert sorted(r.seq for r in left.collect()) == sorted(set(seqs) - set(gone)) and left.columns == df.columns
+
+
+def test_dedup_moves_no_texts(spark, tmp_path):
+    """One scan for the hashes, one for the rows, and no exchange between the second scan and the result, with a
+    list of copies as with bitmaps."""
+    spark.range(60_000).selectExpr("id AS seq", "concat('text ', id % 9000) AS text").write.parquet(str(tmp_path / "t"))
+    df = spark.read.parquet(str(tmp_path / "t")).withColumn("sha256", F.sha2("text", 256))
+    for limit in (128 << 20, 100_000):
+        unique = dedup.first_seen(df, "sha256", "seq", limit)
+        plan = unique._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("FileScan") == 2 and "hashpartitioning" not in plan.split("BroadcastExchange")[0]
+        assert ("bitmap" in plan.lower() or "_bits" in plan) == (limit == 100_000)
+        assert unique.count() == 9_000 and unique.agg(F.max("seq")).first()[0] == 8_999
