@@ -14,8 +14,8 @@ def _plain(text: Column) -> Column:
     return F.when(text.contains("."), F.regexp_replace(text, r"\.?0+$", "")).otherwise(text)
 
 
-def compact_number(value: Column | str) -> Column:
-    """Six significant digits without trailing zeros, as the C format %g prints a number.
+def compact_number(value: Column | str, digits: int = 6) -> Column:
+    """So many significant digits without trailing zeros, as the C format %.<digits>g prints a number.
 
     Rounding looks at the shortest decimal form of the number, halves go to the even digit.
     """
@@ -23,15 +23,15 @@ def compact_number(value: Column | str) -> Column:
     size = F.abs(x)
     exact = x.cast("decimal(38,18)")
     fixed = F.lit(None).cast("string")
-    for exponent in range(5, -6, -1):
-        digits = 5 - exponent
-        text = F.bround(exact, digits).cast("string")
+    most = digits - 1
+    for exponent in range(most, -6, -1):
+        text = F.bround(exact, most - exponent).cast("string")
         fixed = F.coalesce(fixed, F.when(size >= 10.0**exponent, _plain(text)))
     below = F.floor(F.log10(size)).cast("int")
-    rounded = F.bround((x / F.pow(F.lit(10.0), below)).cast("decimal(38,18)"), 5)
+    rounded = F.bround((x / F.pow(F.lit(10.0), below)).cast("decimal(38,18)"), most)
     carried = F.abs(rounded) >= 10
     exponent = F.when(carried, below + 1).otherwise(below)
-    mantissa = F.when(carried, F.bround(rounded / 10, 5)).otherwise(rounded)
+    mantissa = F.when(carried, F.bround(rounded / 10, most)).otherwise(rounded)
     sign = F.when(exponent < 0, "-").otherwise("+")
     scientific = F.concat(
         _plain(mantissa.cast("string")), F.lit("e"), sign,
@@ -39,7 +39,7 @@ def compact_number(value: Column | str) -> Column:
     )
     return (
         F.when(x == 0, F.when(x.cast("string").startswith("-"), "-0").otherwise("0"))
-        .when(exponent.between(-4, 5), fixed)
+        .when(exponent.between(-4, most), fixed)
         .otherwise(scientific)
     )
 

@@ -8,10 +8,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from metrospect import constants as K
+from metrospect.functions.lexical import with_lexical_metrics
 from metrospect.functions.text import status_invalid, status_passed
 from metrospect.operators.ranking import quantiles, row_number_within
 from metrospect.operators.selection import long_metrics
 from metrospect.operators.stats import moments_long
+from metrospect.session import staged
 
 STATUS_CHUNK = 1000
 
@@ -63,6 +65,28 @@ def quality_summary_all(samples: DataFrame) -> DataFrame:
     return _quality(samples, [])
 
 
+def summarize_quality(samples: DataFrame) -> DataFrame:
+    """The summary per verdict if any row has one, else over all rows; `verdict` is true, false, none or all.
+
+    The data choose the branch inside the one plan: whether there is a verdict is a scalar of it.
+    """
+    any_verdict = samples.agg(F.count("passed") > 0).scalar()
+    own = F.coalesce(F.col("passed").cast("string"), F.lit("none"))
+    return _quality(samples.withColumn("verdict", F.when(any_verdict, own).otherwise("all")), ["verdict"])
+
+
+def samples_quality(samples: DataFrame, verdicts: DataFrame | None = None, seq: str = "seq") -> DataFrame:
+    """Sample records to the quality table: (task_id, generation_id, passed, metrics, metrics_error).
+
+    Missing generation ids are rebuilt in seq order, solutions are measured in the scan before narrow rows meet
+    their verdicts; without verdicts passed is NULL.
+    """
+    lean = with_lexical_metrics(samples.select("task_id", "generation_id", seq, F.coalesce("solution", F.lit("")).alias("solution")), "solution")
+    rows = rebuild_generation_ids(staged(lean.drop("solution"), "quality"), seq=seq)
+    judged = rows.withColumn("passed", F.lit(None).cast("boolean")) if verdicts is None else with_verdicts(rows, verdicts)
+    return judged.select("task_id", "generation_id", "passed", *K.METRICS, "metrics_error")
+
+
 def status_counts(statuses: DataFrame) -> DataFrame:
     return statuses.groupBy("status").agg(F.count(F.lit(1)).alias("n_rows"))
 

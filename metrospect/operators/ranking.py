@@ -9,13 +9,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from metrospect.session import staged_counted
+from metrospect.session import staged
 
 BLOCK_ROWS = 1 << 16
-SKETCH_ACCURACY = 10_000
-RANGE_ROWS = 200_000
-MIN_RANGES = 8
 
 
 def join_null_safe(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
@@ -55,57 +53,31 @@ def row_number_within(
     )
 
 
-def _range_count(rows: int) -> int:
-    """Value ranges per key: a range holds about RANGE_ROWS counted rows."""
-    return max(MIN_RANGES, -(-rows // RANGE_ROWS))
-
-
 def cumulative_counts(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     """One row per (keys, value): n rows have it, `before` rows are smaller, `total` rows in the key.
 
-    NULL and NaN values and NULL keys are left out. Equal values collapse to counts on the map side;
-    the counts are staged, so their number is known, and cut into value ranges that are ordered side by
-    side. The limits of the ranges only steer balance; the result is exact.
+    The value may be of any type that can be ordered. NULL and NaN values and NULL keys are left out. Equal values
+    collapse to counts on the map side; the counts are dealt by ranges of (keys, value) and staged with the
+    number of their range, so that ranges are ordered side by side and range totals give each its exact offset.
+    Small tables end up in one range.
     """
-    present = F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double"))
+    present = F.col(value).isNotNull()
+    if isinstance(df.schema[value].dataType, (T.FloatType, T.DoubleType)):
+        present &= ~F.isnan(value)
     for key in keys:
         present &= F.col(key).isNotNull()
     collapsed = df.where(present).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("n"))
-    counts, rows = staged_counted(collapsed, "counts")
-    return _ranged_counts(counts, keys, value, _range_count(rows))
-
-
-def _ranged_counts(counts: DataFrame, keys: list[str], value: str, ranges: int) -> DataFrame:
-    """The cumulative counts by value ranges. Range limits come from a quantile sketch of the distinct
-    values, so they only steer balance; range totals give each range its exact offset."""
-    shares = [i / ranges for i in range(1, ranges)]
-    shape = F.struct(
-        F.percentile_approx(value, shares, SKETCH_ACCURACY).alias("limits"),
-        F.sum("n").alias("total"),
-    ).alias("_shape")
-    if keys:
-        placed = counts.join(counts.groupBy(*keys).agg(shape), keys)
-    else:
-        placed = counts.withColumn("_shape", counts.agg(shape).scalar())
-    own = F.col(value)
-    placed = placed.select(
-        *keys,
-        value,
-        "n",
-        F.col("_shape.total").alias("total"),
-        F.size(F.filter(F.col("_shape.limits"), lambda limit: limit < own)).alias("_range"),
-    )
-    totals = placed.groupBy(*keys, "_range").agg(F.sum("n").alias("_rows"))
-    # At most `ranges` rows per key reach this window.
+    ranged = collapsed.repartitionByRange(*keys, value).withColumn("_range", F.spark_partition_id())
+    counts = staged(ranged, "counts")
+    # One row per key and range reaches these windows.
     lower = W.partitionBy(*keys).orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
-    offsets = totals.select(
-        *keys, "_range", F.coalesce(F.sum("_rows").over(lower), F.lit(0)).alias("_offset")
-    )
-    running = (
-        W.partitionBy(*keys, "_range").orderBy(value).rowsBetween(W.unboundedPreceding, -1)
+    offsets = counts.groupBy(*keys, "_range").agg(F.sum("n").alias("_rows")).select(
+        *keys, "_range", F.coalesce(F.sum("_rows").over(lower), F.lit(0)).alias("_offset"),
+        F.sum("_rows").over(W.partitionBy(*keys)).alias("total"),
     )
+    running = W.partitionBy(*keys, "_range").orderBy(value).rowsBetween(W.unboundedPreceding, -1)
     return (
-        placed.withColumn("_inside", F.coalesce(F.sum("n").over(running), F.lit(0)))
+        counts.withColumn("_inside", F.coalesce(F.sum("n").over(running), F.lit(0)))
         .join(offsets, [*keys, "_range"])
         .select(*keys, value, "n", (F.col("_offset") + F.col("_inside")).alias("before"), "total")
     )

@@ -77,11 +77,19 @@ def alpha_agreement(points: DataFrame, metrics: list[str] = K.REPORT_METRICS) ->
     )
 
 
+def agreeing(points: DataFrame, metrics: list[str] = K.REPORT_METRICS) -> DataFrame:
+    """The points; reading them raises where a model's metrics do not have the same alphas."""
+    unequal = alpha_agreement(points, metrics).where(~F.col("agrees"))
+    bad = unequal.agg(F.min(F.concat_ws(" pass@", "model", "pass_k"))).scalar()
+    stop = F.raise_error(F.concat(F.lit("the metrics have different alphas in "), bad)).cast("boolean")
+    return points.where(F.when(bad.isNotNull(), stop).otherwise(F.lit(True)))
+
+
 def final_report(
     points: DataFrame, models: list[str], metrics: list[str] = K.REPORT_METRICS
 ) -> DataFrame:
-    """Wide report: one row per pass_k and alpha ordinal, one cell per model and metric."""
-    numbered = points.join(alpha_ordinals(points), ["pass_k", "model", "alpha"])
+    """Wide report: one row per pass_k and alpha ordinal, one cell per model and metric; unequal alphas raise."""
+    numbered = agreeing(points, metrics).join(alpha_ordinals(points), ["pass_k", "model", "alpha"])
     cells = numbered.withColumn("column", F.concat_ws("_", "model", "metric")).withColumn(
         "cell", report_cell("mean_delta", "std_delta", "pass")
     )
@@ -91,6 +99,6 @@ def final_report(
 
 
 def alpha_legend(points: DataFrame, models: list[str]) -> DataFrame:
-    """Alpha behind each ordinal, one column per model."""
-    named = alpha_ordinals(points).withColumn("alpha", compact_number("alpha"))
+    """Alpha behind each ordinal, to four digits, one column per model."""
+    named = alpha_ordinals(points).withColumn("alpha", compact_number("alpha", 4))
     return named.groupBy("pass_k", "ordinal").pivot("model", models).agg(F.max("alpha"))

@@ -92,6 +92,7 @@ def _interior(cumulative: DataFrame) -> DataFrame:
         .select(
             "metric", "value", "n", (before - F.col("_low_n")).alias("before"),
             (total - F.col("_low_n") - F.col("_high_n")).alias("total"),
+            (F.col("_low_n") + F.col("_high_n")).alias("dropped"),
         )
     )
 
@@ -104,10 +105,11 @@ def _value_cuts(long: DataFrame, p: float, only_inside: bool) -> DataFrame:
     low_end = (before < k) & (before + n >= k)
     high_end = (above < k) & (above + n >= k)
     cumulative = cumulative_counts(long, ["metric"], "value")
-    rows = _interior(cumulative) if only_inside else cumulative
+    rows = _interior(cumulative) if only_inside else cumulative.withColumn("dropped", F.lit(0).cast("long"))
     return rows.groupBy("metric").agg(
         F.max(total).alias("total"),
         F.max(k).alias("k"),
+        F.max("dropped").alias("n_dropped"),
         F.min("value").alias("least"),
         F.max("value").alias("most"),
         F.max(F.when(low_end, F.col("value"))).alias("low_value"),
@@ -120,8 +122,8 @@ def _value_cuts(long: DataFrame, p: float, only_inside: bool) -> DataFrame:
 def top_bottom(long: DataFrame, record: str, p: float, only_inside: bool = False) -> DataFrame:
     """Flag the top and bottom k = max(1, int(n * p / 100)) rows of each metric.
 
-    Order is (value, record), record a unique number; only_inside leaves out the rows at the minimum
-    and maximum of their metric. The ends are found from value counts, then from record counts among
+    Order is (value, record), record a unique value of any type that can be ordered; only_inside leaves out the
+    rows at the minimum and maximum of their metric, n_dropped of them. The ends are found from value counts, then from record counts among
     the rows tied at an end; the selection itself is a filter, so neither a hot value nor the seven
     metric keys limit the parallelism. Both flags may hold for one row.
     """
@@ -159,12 +161,12 @@ def top_bottom(long: DataFrame, record: str, p: float, only_inside: bool = False
         .where(value.between(F.col("least"), F.col("most")))
         .withColumns({"is_top": top, "is_bottom": bottom})
         .where(F.col("is_top") | F.col("is_bottom"))
-        .select(*long.columns, "k", "total", "is_top", "is_bottom")
+        .select(*long.columns, "k", "total", "n_dropped", "is_top", "is_bottom")
     )
 
 
 def selection_report(selected: DataFrame) -> DataFrame:
-    """Rows and value range of each side of each metric."""
+    """Rows and value range of each side of each metric, and the rows at the metric's edges that took no part."""
     sides = F.array(
         F.when(F.col("is_top"), F.lit("top")), F.when(F.col("is_bottom"), F.lit("bottom"))
     )
@@ -175,5 +177,6 @@ def selection_report(selected: DataFrame) -> DataFrame:
             F.count(F.lit(1)).alias("n_rows"),
             F.min("value").alias("low"),
             F.max("value").alias("high"),
+            F.max("n_dropped").alias("n_dropped"),
         )
     )

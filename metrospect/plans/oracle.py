@@ -127,6 +127,18 @@ chosen AS (SELECT id, metric, value, k, down <= k AS is_top, up <= k AS is_botto
   FROM placed WHERE down <= k OR up <= k)"""
 
 
+CURATED_CONTRAST = LEX + "," + SURVIVORS + "," + VECTORS + f""",
+named AS (SELECT 'doc-' || id AS id, layer, pool, vec::float[]::double[] AS vec FROM nz),
+present AS (
+  SELECT 'doc-' || doc_id AS id, {SPLIT} AS split, {', '.join(f"{m}::{'int' if m in ('cc', 'sloc') else 'float'}::double AS {m}" for m in METRICS)}
+  FROM kept WHERE 'doc-' || doc_id IN (SELECT id FROM named WHERE layer = 1 AND pool = 'mean')),""" + selected("present") + """,
+elements AS (SELECT id, layer, pool, unnest(generate_series(0, len(vec) - 1))::int AS dim,
+  unnest(vec) AS v FROM named),
+contrast AS (
+  SELECT metric, layer, pool, dim,
+    avg(CASE WHEN is_top THEN v END) - avg(CASE WHEN is_bottom THEN v END) AS v
+  FROM elements e JOIN chosen c ON e.id = c.id GROUP BY metric, layer, pool, dim)"""
+
 CONTRAST = TABLE + "," + VECTORS + """,
 present AS (SELECT * FROM tab WHERE id IN (SELECT id FROM nz WHERE layer = 1 AND pool = 'mean')),""" + (
     selected("present")
@@ -520,11 +532,15 @@ def statements() -> dict[str, str]:
       sides AS (SELECT metric, value, 'top' AS side FROM chosen WHERE is_top
         UNION ALL SELECT metric, value, 'bottom' FROM chosen WHERE is_bottom)
       SELECT metric, side, count(*) AS n_rows, {by_metric('min(value)', 'low')},
-        {by_metric('max(value)', 'high')} FROM sides GROUP BY metric, side"""
+        {by_metric('max(value)', 'high')}, any_value(n_dropped) AS n_dropped
+      FROM sides JOIN (SELECT l.metric, count(*) FILTER (value <= lo OR value >= hi) AS n_dropped
+        FROM long_all l JOIN edge e ON l.metric = e.metric GROUP BY l.metric) USING (metric) GROUP BY metric, side"""
     sql["contrast_vectors"] = f"""WITH {CONTRAST}
       SELECT metric, layer, pool, dim, round(v, 9) AS value FROM contrast"""
     norms = """norms AS (SELECT metric, layer, pool, sqrt(sum(v * v)) AS norm
       FROM contrast GROUP BY metric, layer, pool)"""
+    sql["curated_contrast"] = f"""WITH {CURATED_CONTRAST}
+      SELECT metric, layer, pool, dim, round(v, 9) AS value FROM contrast"""
     sql["contrast_norm_range"] = f"""WITH {CONTRAST}, {norms}
       SELECT metric, count(*) AS n_layers, round(min(norm), 9) AS min_norm,
         round(max(norm), 9) AS max_norm FROM norms GROUP BY metric"""
@@ -549,7 +565,7 @@ def statements() -> dict[str, str]:
         {by_metric('intercept', 'intercept')} FROM scores"""
     sql["probe_sweep_pair"] = f"WITH {pair_probe()}"
     sql["pca_scores_pair"] = f"WITH {pair_axes()}"
-    sql["probe_pivot"] = pivot_scores("layer")
+    sql["probe_pivot"] = pivot_scores("model, layer")
     sql["model_pivot"] = pivot_scores("model")
     sql["best_layer"] = f"""WITH {scalar_probe()}
       SELECT model, pool, metric, layer, round(r2_test, 6) AS r2_test FROM scores
@@ -574,6 +590,10 @@ def statements() -> dict[str, str]:
       {_quality('passed', 'long_rows')}"""
     sql["quality_summary_all"] = f"""WITH {TABLE}, {unpivoted('tab', 'id', 'long_rows')}
       {_quality('', 'long_rows')}"""
+    sql["samples_quality"] = f"""WITH {LEX},
+      smp AS (SELECT met.*, CASE WHEN l.doc_id IS NULL THEN 'none' WHEN quality = 1 THEN 'true' ELSE 'false' END AS verdict
+        FROM met LEFT JOIN labels l ON met.doc_id = l.doc_id),
+      {unpivoted('smp', 'doc_id, verdict', 'long_rows')} {_quality('verdict', 'long_rows')}"""
     sql["status_counts"] = (
         f"WITH {STATUSES} SELECT status, count(*) AS n_rows FROM judged GROUP BY status"
     )
@@ -652,7 +672,7 @@ def statements() -> dict[str, str]:
       JOIN ordinals o ON p.pass_k = o.pass_k AND p.model = o.model AND p.alpha = o.alpha
       GROUP BY p.pass_k, ordinal"""
     legend = ", ".join(
-        f"max(CASE WHEN model = '{m}' THEN printf('%g', alpha) END) AS {m}" for m in MODELS
+        f"max(CASE WHEN model = '{m}' THEN printf('%.4g', alpha) END) AS {m}" for m in MODELS
     )
     sql["alpha_legend"] = (
         f"WITH {POINTS} SELECT pass_k, ordinal, {legend} FROM ordinals GROUP BY pass_k, ordinal"
@@ -667,9 +687,12 @@ def statements() -> dict[str, str]:
       UNION ALL SELECT 'doc-' || doc_id, 1, CASE WHEN toxic = 1 THEN 'Syntax Error' ELSE 'pass' END,
         toxic = 0 FROM labels
       UNION ALL SELECT 'doc-' || doc_id, 2, NULL, false FROM labels"""
-    sql["manifest_counts"] = f"""WITH {LEX}, {SURVIVORS}
-      SELECT ceil(sum(strlen(text)) / 262144::double)::bigint AS n_shards, count(*) AS total_rows,
-        1 AS schema_version, count(*) AS listed_rows FROM kept"""
+    sql["verdict_documents"] = sql["verdict_scan"]
+    sql["manifest_counts"] = f"""WITH {LEX}, {SURVIVORS},
+      line AS (SELECT coalesce(sum(strlen(text)) OVER (ORDER BY sha ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::bigint
+        AS begins FROM kept)
+      SELECT max(begins // 262144) + 1 AS n_shards, count(*) AS total_rows,
+        1 AS schema_version, count(*) AS listed_rows FROM line"""
     sql["shard_union"] = f"""WITH {LEX}, {SURVIVORS} SELECT doc_id::varchar AS id, {SPLIT} AS split,
       cc::int AS cc, sloc::int AS sloc FROM kept"""
     sql["partitioned_vectors"] = f"""WITH {VECTORS},

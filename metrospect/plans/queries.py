@@ -301,6 +301,20 @@ def contrast_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _long_vectors(_contrast(spark, sf_dir), "metric", "layer", "pool")
 
 
+@query
+def curated_contrast(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """From raw documents to contrast vectors by curated ids, which are strings: curate, write and read shards and
+    vectors, select, subtract."""
+    named = I.corpus(spark, sf_dir).withColumn("hexsha", F.concat(F.lit("doc-"), "seq"))
+    shards, vectors = scratch_path(spark, "shards"), scratch_path(spark, "vectors")
+    corpus_io.write_shards(curation.curate(named, tx.first_text("text"), "seq", "hexsha"), shards, SHARD_MB)
+    tables_io.write_vectors(I.vectors(spark, sf_dir).withColumn("id", F.concat(F.lit("doc-"), "id")), vectors)
+    rows = pooling.drop_zero_vectors(tables_io.read_vectors(spark, vectors))
+    present = rows.where((F.col("layer") == 1) & (F.col("pool") == "mean")).select("id")
+    metrics = corpus_io.read_shards(spark, shards, ["id", "split", *K.METRICS]).join(present, "id", "left_semi")
+    return _long_vectors(contrast.contrast_vectors(_selected(metrics), rows), "metric", "layer", "pool")
+
+
 @query
 def contrast_norm_range(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(contrast.norm_range(_contrast(spark, sf_dir)), min_norm=9, max_norm=9)
@@ -416,13 +430,13 @@ def pca_scores_pair(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def probe_pivot(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pivot = probes.score_pivot(_scalar_scores(spark, sf_dir), "layer")
+    pivot = probes.score_pivot(_scalar_scores(spark, sf_dir), ["model", "layer"])
     return rounded(pivot, **{m: 6 for m in K.METRICS})
 
 
 @query
 def model_pivot(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pivot = probes.score_pivot(_scalar_scores(spark, sf_dir), "model")
+    pivot = probes.score_pivot(_scalar_scores(spark, sf_dir), ["model"])
     return rounded(pivot, **{m: 6 for m in K.METRICS})
 
 
@@ -496,6 +510,19 @@ def quality_summary_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded_by_metric(summary, "mean", "median", "std")
 
 
+@query
+def samples_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sample records and evaluation documents from files to the quality summary; every document is a sample of its
+    own task without generation id, and labels are verdicts."""
+    task = F.concat(F.lit("doc-"), F.col("doc_id"))
+    samples, verdicts = scratch_path(spark, "samples"), scratch_path(spark, "verdicts")
+    records_io.write_jsonl(I.documents(spark, sf_dir).select(task.alias("task_id"), F.col("text").alias("raw_solution")), samples)
+    result = F.to_json(F.create_map(task, F.array(F.struct(F.when(F.col("quality") == 1, "pass").otherwise("fail").alias("status")))))
+    I.table(spark, sf_dir, "labels").select(result.alias("value")).write.text(verdicts)
+    table = evaluation.samples_quality(records_io.read_samples(spark, samples), records_io.read_verdicts(spark, verdicts))
+    return rounded_by_metric(evaluation.summarize_quality(table), "mean", "median", "std")
+
+
 @query
 def status_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluation.status_counts(I.statuses(spark, sf_dir))
@@ -732,9 +759,8 @@ def jsonl_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(records_io.read_metric_rows(spark, path), **DIGITS)
 
 
-@query
-def verdict_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Evaluation documents as JSON lines, one per label: with and without wrapper, lists and not."""
+def _written_verdicts(spark: SparkSession, sf_dir: str, indented: bool) -> str:
+    """Evaluation documents, one per label: with and without wrapper, lists and not."""
     item = F.concat(F.lit('"doc-'), F.col("doc_id"), F.lit('"'))
     first = F.when(F.col("quality") == 1, "PASS").otherwise("fail")
     second = F.when(F.col("toxic") == 1, "Syntax Error").otherwise("pass")
@@ -744,22 +770,35 @@ def verdict_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     tasks = F.concat(F.lit("{"), item, F.lit(":"), results, F.lit(',"note":"none"}'))
     document = F.when(F.col("toxic") == 0, F.concat(F.lit('{"eval":'), tasks, F.lit("}")))
     path = scratch_path(spark, "verdicts")
-    lines = I.table(spark, sf_dir, "labels").select(F.coalesce(document, tasks).alias("value"))
-    lines.write.text(path)
-    return records_io.read_verdicts(spark, path, per_line=True)
+    value = F.coalesce(document, tasks)
+    if indented:
+        value = F.regexp_replace(value, r"([\[{,])", "$1\n  ")
+    I.table(spark, sf_dir, "labels").select(value.alias("value")).write.text(path)
+    return path
+
+
+@query
+def verdict_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Evaluation documents as JSON lines."""
+    return records_io.read_verdicts(spark, _written_verdicts(spark, sf_dir, False), per_line=True)
+
+
+@query
+def verdict_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files of many indented evaluation documents."""
+    return records_io.read_verdicts(spark, _written_verdicts(spark, sf_dir, True))
 
 
 @query
 def manifest_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Curated shards, their manifest, and the rows that the listed shards hold."""
     kept = curation.curate(I.corpus(spark, sf_dir), tx.first_text("text"), "seq", "seq")
-    curated = staged(kept, "curated")
     path, listing = scratch_path(spark, "shards"), scratch_path(spark, "manifest")
-    corpus_io.write_shards(curated, path, SHARD_MB)
+    corpus_io.write_shards(kept, path, SHARD_MB)
     corpus_io.write_manifest(corpus_io.manifest(spark, path), listing)
     listed = corpus_io.read_manifest(spark, listing)
     totals = corpus_io.manifest_totals(listed)
-    rows = corpus_io.read_listed_shards(spark, listed, ["id"])
+    rows = corpus_io.read_listed_shards(spark, path, listed, ["id"])
     found = rows.agg(F.count(F.lit(1))).scalar()
     return totals.withColumn("listed_rows", found)
 
@@ -769,7 +808,7 @@ def shard_union(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Curated shards read back with a column projection."""
     kept = curation.curate(I.corpus(spark, sf_dir), tx.first_text("text"), "seq", "seq")
     path = scratch_path(spark, "shards")
-    corpus_io.write_shards(staged(kept, "curated"), path, SHARD_MB)
+    corpus_io.write_shards(kept, path, SHARD_MB)
     return corpus_io.read_shards(spark, path, ["id", "split", "cc", "sloc"])
 
 

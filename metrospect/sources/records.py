@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import itertools
+import json
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -20,6 +25,8 @@ SAMPLE_SCHEMA = (
     "steerings array<struct<metric:string,layer:int,alpha:double>>, code string, "
     f"metrics {METRIC_STRUCT}"
 )
+ROWS_AT_ONCE = 10_000
+VERDICT_ARROW = pa.schema([("task_id", pa.string()), ("generation_id", pa.int64()), ("status", pa.string())])
 SUMMARY_SCHEMA = (
     "samples string, baseline string, pass_at_k map<string,double>, "
     "metric_deltas map<string,struct<mean_pct_delta:double,median_pct_delta:double,"
@@ -77,35 +84,54 @@ def read_metric_rows(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def verdicts_from_json(text: Column) -> Column:
-    """Map entries (task, JSON list of results) of one evaluation document.
+BLANKS = " \t\r\n"
+
+
+def documents_of(text: str) -> Iterator[object]:
+    """The JSON values of a text, one after another, however they are laid out; anything else raises."""
+    decoder, at = json.JSONDecoder(), 0
+    while len(rest := text[at:at + 1]):
+        if rest in BLANKS:
+            at += 1
+            continue
+        value, at = decoder.raw_decode(text, at)
+        yield value
+
+
+def verdict_rows(text: str) -> Iterator[tuple[str, int, str | None]]:
+    """(task_id, generation_id, status) of the results in a text of evaluation documents.
 
     The task map may be wrapped in "eval" or be the document; entries that are no list are skipped.
     """
-    top = F.from_json(text, "map<string,string>")
-    tasks = F.coalesce(F.from_json(top["eval"], "map<string,string>"), top)
-    lists = F.filter(F.map_entries(tasks), lambda e: F.ltrim(e["value"]).startswith("["))
-    return lists
+    for document in documents_of(text):
+        if not isinstance(document, dict):
+            raise ValueError("an evaluation document must be a map of tasks")
+        tasks = document["eval"] if isinstance(document.get("eval"), dict) else document
+        for task, results in tasks.items():
+            if isinstance(results, list):
+                for place, result in enumerate(results):
+                    status = result.get("status") if isinstance(result, dict) else None
+                    yield task, place, status if status is None or isinstance(status, str) else json.dumps(status)
 
 
 def read_verdicts(spark: SparkSession, path: str, per_line: bool = False) -> DataFrame:
-    """(task_id, generation_id, status, passed) rows of evaluation documents: one per file, indented or not,
-    or one per line.
+    """(task_id, generation_id, status, passed) rows of evaluation documents; the position in a task's result list
+    is the generation id.
 
-    The position in a task's result list is the generation id.
+    A file is read whole and may hold any number of documents, indented or not; a broken one raises, and a
+    blank file has no rows. With per_line every line holds whole documents, so that a large file is split. Results leave
+    a task in batches of ROWS_AT_ONCE.
     """
+
+    def results(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = (row for text in batch.column(0).to_pylist() for row in verdict_rows(text))
+            while rows := list(itertools.islice(found, ROWS_AT_ONCE)):
+                yield pa.RecordBatch.from_arrays([pa.array(column, field.type) for column, field in zip(zip(*rows), VERDICT_ARROW)], schema=VERDICT_ARROW)
+
     documents = spark.read.text(path, wholetext=not per_line).where(F.trim("value") != "")
-    tasks = documents.select(F.explode(verdicts_from_json(F.col("value"))).alias("task"))
-    results = tasks.select(
-        F.col("task.key").alias("task_id"),
-        F.posexplode(F.from_json("task.value", "array<struct<status:string>>")),
-    )
-    return results.select(
-        "task_id",
-        F.col("pos").cast("long").alias("generation_id"),
-        F.col("col.status").alias("status"),
-        status_passed("col.status").alias("passed"),
-    )
+    rows = documents.mapInArrow(results, "task_id string, generation_id long, status string")
+    return rows.withColumn("passed", status_passed("status"))
 
 
 def task_scan(

@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+
 def write_vectors(vectors: DataFrame, path: str) -> None:
-    """Vector cells by layer and pool; the folder of a cell holds only its rows. Ids keep their type."""
+    """Vector cells by layer and pool; cells that are written anew are replaced, others stay. Ids keep their type."""
     rows = vectors.select("id", F.col("vec").cast("array<float>").alias("vec"), "layer", "pool")
-    rows.write.mode("overwrite").partitionBy("layer", "pool").parquet(path)
+    _replace(rows, path, "layer", "pool")
 
 
 def read_vectors(

@@ -9,11 +9,17 @@ from metrospect.operators.batching import length_batches, overflow_flags, paddin
 
 
 @pytest.fixture(params=["few_ranges", "many_ranges"])
-def path(request, monkeypatch):
-    """Counted values in the least number of ranges and in many."""
-    if request.param == "many_ranges":
-        monkeypatch.setattr(ranking, "RANGE_ROWS", 7)
-    return request.param
+def path(request, spark):
+    """Counted values in one range, as small tables are, and in many."""
+    if request.param == "few_ranges":
+        yield request.param
+        return
+    kept = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", "13")
+    yield request.param
+    spark.conf.set("spark.sql.shuffle.partitions", kept)
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
 
 
 def skewed(n=600, seed=1):
@@ -163,3 +169,36 @@ def test_null_keys_are_numbered_and_null_lengths_come_last(spark):
     lengths = spark.createDataFrame([(1, 5), (2, None), (3, 4), (4, None)], "id long, n int")
     placed = {r.id: r.position for r in length_batches(lengths, "n", "id", 2).collect()}
     assert placed == {3: 0, 1: 1, 2: 2, 4: 3}
+
+
+@pytest.mark.parametrize("kind", ["string", "date", "decimal(20,3)", "boolean", "binary"])
+def test_counts_of_any_orderable_type(spark, path, kind):
+    df = spark.range(300).selectExpr(
+        f"CAST(CASE '{kind}' WHEN 'date' THEN CAST(date_add(DATE'2020-01-01', CAST(id % 50 AS INT)) AS STRING)"
+        f" WHEN 'boolean' THEN CAST(id % 3 = 0 AS STRING) ELSE CAST(id % 50 AS STRING) END AS {kind}) AS v", "id % 2 AS k")
+    df = df.unionByName(spark.createDataFrame([(None, 0), (None, 1)], f"v {kind}, k long"))
+    have = {}
+    for r in df.where("v IS NOT NULL").collect():
+        have.setdefault(r.k, []).append(bytes(r.v) if kind == "binary" else r.v)
+    rows = ranking.cumulative_counts(df, ["k"], "v").collect()
+    assert len(rows) == sum(len(set(h)) for h in have.values())
+    for r in rows:
+        v = bytes(r.v) if kind == "binary" else r.v
+        assert (r.n, r.before, r.total) == (have[r.k].count(v), sum(x < v for x in have[r.k]), len(have[r.k]))
+
+
+def test_selection_by_names(spark, path):
+    """Records may be strings; ties at a cut are broken by them, and the report counts the dropped edges."""
+    rng = random.Random(4)
+    rows = [(f"file-{i}", "m", float(rng.choice([0, 1, 2, 2, 2, 3, 4, 9]))) for i in range(400)]
+    long = spark.createDataFrame(rows, "id string, metric string, value double")
+    got = {r.id: (r.is_top, r.is_bottom, r.k, r.n_dropped) for r in selection.top_bottom(long, "id", 30, only_inside=True).collect()}
+    inner = sorted((v, i) for i, _, v in rows if 0 < v < 9)
+    k = len(inner) * 30 // 100
+    dropped = len(rows) - len(inner)
+    bottom, top = {i for _, i in inner[:k]}, {i for _, i in inner[-k:]}
+    assert got == {i: (i in top, i in bottom, k, dropped) for i in top | bottom}
+    report = selection.selection_report(selection.top_bottom(long, "id", 30, only_inside=True)).collect()
+    assert {(r.side, r.n_rows, r.n_dropped) for r in report} == {("top", k, dropped), ("bottom", k, dropped)}
+    whole = selection.top_bottom(long, "id", 30)
+    assert {r.n_dropped for r in whole.collect()} == {0}

@@ -1,3 +1,4 @@
+import hashlib
 import json
 
 import pytest
@@ -38,6 +39,38 @@ def test_verdict_documents(spark, tmp_path):
     assert got == {("a", 0): True, ("a", 1): False, ("b", 0): False, ("b", 1): True}
 
 
+def test_verdict_documents_of_any_layout(spark, tmp_path):
+    one = {"eval": {"t1": [{"status": "pass"}, {"status": "fail"}], "n": {"status": "pass"}}, "date": "d"}
+    two = {"t2": [{"status": "PASS"}, {"time": 1}, 7, {"status": None}, {"status": 5}], "eval": [1]}
+    want = {("t1", 0, "pass", True), ("t1", 1, "fail", False), ("t2", 0, "PASS", True), ("t2", 1, None, False), ("t2", 2, None, False),
+            ("t2", 3, None, False), ("t2", 4, "5", False), ("eval", 0, None, False)}
+    layouts = {
+        "lines": json.dumps(one) + "\n\n" + json.dumps(two), "indented": json.dumps(one, indent=2) + "\n" + json.dumps(two, indent=4),
+        "glued": json.dumps(one) + json.dumps(two)}
+    for name, text in layouts.items():
+        (tmp_path / f"{name}.json").write_text(text)
+        got = [tuple(r) for r in records.read_verdicts(spark, str(tmp_path / f"{name}.json")).collect()]
+        assert set(got) == want and len(got) == len(want), name
+    assert {tuple(r) for r in records.read_verdicts(spark, str(tmp_path / "lines.json"), per_line=True).collect()} == want
+    (tmp_path / "blank.json").write_text(" \n")
+    assert records.read_verdicts(spark, str(tmp_path / "blank.json")).count() == 0
+    for name, text in {"cut": '{"a": [{"status": "pa', "junk": "pass", "list": "[]", "tail": json.dumps(one) + "}"}.items():
+        (tmp_path / f"{name}.json").write_text(text)
+        with pytest.raises(Exception, match="JSONDecodeError|ValueError"):
+            records.read_verdicts(spark, str(tmp_path / f"{name}.json")).collect()
+
+
+def test_a_verdict_document_of_a_hundred_megabytes(spark, tmp_path):
+    tasks, each = 2_500, 500
+    results = json.dumps([{"status": "pass" if i % 3 else "fail", "time": "x" * 60} for i in range(each)], indent=1)
+    with open(tmp_path / "big.json", "w") as out:
+        out.write('{"eval": {' + ",".join(f'"task/{t}": {results}' for t in range(tasks)) + "}}")
+    assert (tmp_path / "big.json").stat().st_size > 100 << 20
+    row = records.read_verdicts(spark, str(tmp_path / "big.json")).groupBy().agg(
+        F.count("*").alias("n"), F.countDistinct("task_id").alias("tasks"), F.count_if("passed").alias("passed")).first()
+    assert tuple(row) == (tasks * each, tasks, tasks * sum(i % 3 > 0 for i in range(each)))
+
+
 def test_summaries_take_keys_from_their_names(spark, tmp_path):
     body = {"pass_at_k": {"pass@1": 0.4}, "metric_deltas": {"mi": {"mean_pct_delta": 1.5,
                                                                     "std_pct_delta": 2.0}}}
@@ -50,16 +83,42 @@ def test_summaries_take_keys_from_their_names(spark, tmp_path):
 
 
 def test_shards_and_manifest(spark, tmp_path):
-    rows = [(str(i), "s" * 1000, f"{i:064x}", 1, 1.0, 0.0, 1.0, 1.0, 1.0, 1, "train") for i in range(500)]
-    curated = spark.createDataFrame(rows, corpus.CURATED_SCHEMA)
-    path, listing = str(tmp_path / "shards"), str(tmp_path / "manifest")
-    corpus.write_shards(curated, path, shard_size_mb=0.1)
+    """Shards are full to within one row, the input is computed once, and listed shards are read alone."""
+    sizes = [(i * 37) % 1900 + 1 for i in range(500)]
+    rows = [(str(i), "é" * (n // 2) + "x" * (n % 2), hashlib.sha256(str(i).encode()).hexdigest(), 1, 1.0, 0.0, 1.0, 1.0, 1.0, 1, "train")
+            for i, n in enumerate(sizes)]
+    computed = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            computed.add(batch.num_rows)
+            yield batch
+
+    frame = spark.createDataFrame(rows, corpus.CURATED_SCHEMA).repartition(4)
+    path, listing, limit = str(tmp_path / "shards"), str(tmp_path / "manifest"), 10_000
+    corpus.write_shards(frame.mapInArrow(counted, frame.schema), path, shard_size_mb=limit / 2**20)
+    assert computed.value == 500
     shards = corpus.manifest(spark, path)
     row = corpus.manifest_totals(shards).first()
-    assert (row["n_shards"], row["total_rows"], row["schema_version"]) == (5, 500, 1)
+    assert (row["n_shards"], row["total_rows"], row["schema_version"]) == (-(-sum(sizes) // limit), 500, 1)
+    loads = spark.read.parquet(path).groupBy("shard").agg(F.sum(F.octet_length("source")).alias("b")).orderBy("shard").collect()
+    assert [r.shard for r in loads] == list(range(len(loads)))
+    assert all(limit - max(sizes) < r.b < limit + max(sizes) for r in loads[:-1]) and sum(r.b for r in loads) == sum(sizes)
     corpus.write_manifest(shards, listing)
-    back = corpus.read_listed_shards(spark, corpus.read_manifest(spark, listing), ["id"])
+    back = corpus.read_listed_shards(spark, path, corpus.read_manifest(spark, listing), ["id"])
     assert back.count() == 500 and back.columns == ["id"]
+    some = corpus.read_listed_shards(spark, path, shards.where("shard IN (1, 3)"), ["id", "source"])
+    assert some.agg(F.sum(F.octet_length("source"))).first()[0] == loads[1].b + loads[3].b
+    assert "dynamicpruning" in some._jdf.queryExecution().optimizedPlan().toString().lower()
+    assert {r[0] for r in corpus.read_shards(spark, path, ["id"]).collect()} == {str(i) for i in range(500)}
+
+
+def test_one_shard_and_none(spark, tmp_path):
+    row = ("a", "x" * 5000, "ab" * 32, 1, 1.0, 0.0, 1.0, 1.0, 1.0, 1, "train")
+    for rows in ([row], []):
+        path = str(tmp_path / f"n{len(rows)}")
+        corpus.write_shards(spark.createDataFrame(rows, corpus.CURATED_SCHEMA), path, shard_size_mb=0.001)
+        assert corpus.read_shards(spark, path).count() == len(rows) and corpus.manifest(spark, path).count() == len(rows)
 
 
 def test_vector_cells_are_pruned(spark, tmp_path):
@@ -134,3 +193,18 @@ def test_stores_hold_several_models_and_shares(spark, tmp_path):
     ids = spark.createDataFrame([("a", 1, "mean", [1.0]), ("b", 1, "last", [2.0])], "id string, layer int, pool string, vec array<double>")
     tables.write_vectors(ids, str(tmp_path / "v"))
     assert {r.id for r in tables.read_vectors(spark, str(tmp_path / "v")).collect()} == {"a", "b"}
+    for layer, value in ((2, 3.0), (1, 5.0)):
+        tables.write_vectors(spark.createDataFrame([("c", layer, "mean", [value])], ids.schema), str(tmp_path / "v"))
+    assert {(r.id, r.layer, r.pool) for r in tables.read_vectors(spark, str(tmp_path / "v")).collect()} == {
+        ("c", 1, "mean"), ("b", 1, "last"), ("c", 2, "mean")}
+
+
+def test_unequal_alphas_stop_the_report(spark):
+    from metrospect.operators import runs
+    rows = [(1, "a", m, x, 0.5, 1.0, 2.0) for m in ("mi", "comment_ratio") for x in (-1.0, 0.0, 12345.678)]
+    schema = "pass_k int, model string, metric string, alpha double, pass double, mean_delta double, std_delta double"
+    points = spark.createDataFrame(rows, schema)
+    assert runs.final_report(points, ["a"]).count() == 3
+    assert [r.a for r in runs.alpha_legend(points, ["a"]).orderBy("ordinal").collect()] == ["-1", "0", "1.235e+04"]
+    with pytest.raises(Exception, match="different alphas in a pass@1"):
+        runs.final_report(spark.createDataFrame(rows[:-1], schema), ["a"]).collect()
