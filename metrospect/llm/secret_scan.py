@@ -2,17 +2,19 @@
 
 The patterns give labelled credentials per kind. Character classes of a bounded sample of them form a
 prefix tree with counts; states whose outgoing frequencies agree by Hoeffding's bound, recursively, are
-merged (state merging of probabilistic automata, red-blue order). Another automaton of the same make is
-learned from a bounded sample of other long tokens. Every further long token of every text is then scored
-by the better log-likelihood ratio of a credential automaton against that background, and becomes a span of
-kind `format` above THRESHOLD.
-
-Samples: SAMPLE distinct values per kind, those of the smallest hash, whatever the size of the table. They
-fit on the driver; automata have at most SAMPLE * LONGEST states and travel with the task.
-
-Defined cases: null text counts as empty and has no spans; no labelled credentials: no format spans;
-tokens above LONGEST characters are scored over all their characters; repeated rows and null ids pass
-through row by row; an empty table gives an empty result; other columns are not read (redact keeps them).
+merged (state merging of probabilistic automata, red-blue order). The background is a chain of character
+classes, whose counts are summed by Spark over all candidates of all texts. Every candidate is then scored by the
+better log-likelihood ratio of a credential automaton against that background, and becomes a span of kind
+`format` above THRESHOLD.
+
+Candidates are all runs of token characters, SHORTEST or longer, that a base span does not cover whole.
+Samples: SAMPLE distinct values per kind of at most LONGEST characters, those of the smallest hash, whatever the
+size of the table; longer credentials are not learned from, but scored over all their characters. The sample and the
+class counts (at most 64) fit on the driver; automata have at most SAMPLE * LONGEST states and travel with the task.
+
+Defined cases: null text counts as empty and has no spans; no labelled credentials: no format spans; repeated
+rows and null ids pass through row by row; an empty table gives an empty result; other columns are not read
+(redact keeps them).
 """
 
 from __future__ import annotations
@@ -20,7 +22,7 @@ from __future__ import annotations
 import hashlib
 import math
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import pandas as pd
@@ -34,15 +36,20 @@ ASSIGN = re.compile(
     r"""(?ia:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")
-TOKEN = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
+SHORTEST = 8
+TOKEN = re.compile(rf"[A-Za-z0-9+/_=-]{{{SHORTEST},}}")
 SAMPLE = 400
-LONGEST = 64
+LONGEST = 256
 ALPHA = 0.05
 THRESHOLD = 12.0
 SMOOTH = 0.5
+PRIOR = 100
 CLASSES = (("digit", "0123456789"), ("af", "abcdef"), ("gz", "ghijklmnopqrstuvwxyz"),
            ("AF", "ABCDEF"), ("GZ", "GHIJKLMNOPQRSTUVWXYZ"), ("mark", "+/_=-."))
 CLASS_OF = {char: (name, len(chars)) for name, chars in CLASSES for char in chars}
+#: A letter for each class, and the space for the ends of a token.
+NAMES = {str(i): name for i, (name, _) in enumerate(CLASSES)} | {" ": None}
+SHAPES = str.maketrans({char: str(i) for i, (_, chars) in enumerate(CLASSES) for char in chars})
 Span = tuple[int, int, str]
 
 
@@ -57,17 +64,21 @@ def base_spans(text: str) -> list[tuple[str, int, int, str]]:
     return found
 
 
-def other_tokens(text: str, base: list) -> list[tuple[int, int, str]]:
-    """Long tokens that no base span touches."""
+def candidates(text: str, base: list) -> Iterator[tuple[int, int, str]]:
+    """Tokens of which a character lies outside all base spans."""
     taken = sorted((start, end) for _, start, end, _ in base)
-    out, at, reach = [], 0, -1
+    at, reach = 0, 0
     for match in TOKEN.finditer(text):
-        while at < len(taken) and taken[at][0] < match.end():
+        start, end = match.span()
+        free = False
+        reach = max(reach, start)
+        while at < len(taken) and taken[at][0] < end:
+            # A gap before the next span is free, if it lies in the token.
+            free |= taken[at][0] > reach
             reach = max(reach, taken[at][1])
             at += 1
-        if reach <= match.start():
-            out.append((match.start(), match.end(), match[0]))
-    return out
+        if free or reach < end:
+            yield start, end, match[0]
 
 
 def letters(value: str) -> list[tuple[str, int]]:
@@ -176,12 +187,39 @@ class Automaton:
         return total + math.log((self.ends[state] + SMOOTH) / (self.total(state) + SMOOTH * options))
 
 
+class Background:
+    """A chain of character classes with the counts of all candidates; None stands before and after a token.
+
+    What follows a class is drawn PRIOR counts strong towards what follows any class, so that a few unlabelled
+    credentials among the candidates do not make their own transitions look common.
+    """
+
+    def __init__(self, pairs: dict[tuple[str | None, str | None], int]):
+        after, total, options = Counter(), Counter(), len(CLASSES) + 2
+        for (before, name), n in pairs.items():
+            after[name] += n
+            total[before] += n
+        everything = sum(after.values()) + SMOOTH * options
+        names = [name for name, _ in CLASSES] + ["rest", None]
+        self.step = {
+            (before, name): math.log((pairs.get((before, name), 0) + PRIOR * (after[name] + SMOOTH) / everything) / (total[before] + PRIOR))
+            for before in names for name in names}
+
+    def score(self, value: str) -> float:
+        """Log likelihood of a string."""
+        total, before = 0.0, None
+        for name, size in letters(value):
+            total += self.step[before, name] - math.log(size)
+            before = name
+        return total + self.step[before, None]
+
+
 class Formats:
-    """Automata of credentials by kind, and of other tokens."""
+    """Automata of credentials by kind, and the chain of all candidates."""
 
-    def __init__(self, samples: dict[str, list[str]]):
-        self.background = Automaton(sorted(samples.get("other", [])))
-        self.kinds = {kind: Automaton(sorted(values)) for kind, values in sorted(samples.items()) if kind != "other" and values}
+    def __init__(self, samples: dict[str, list[str]], pairs: dict[tuple[str | None, str | None], int] | None = None):
+        self.background = Background(pairs or {})
+        self.kinds = {kind: Automaton(sorted(values)) for kind, values in sorted(samples.items()) if values}
 
     def ratio(self, value: str) -> float:
         """Best log-likelihood ratio of a credential format that accepts the string against the background."""
@@ -190,10 +228,11 @@ class Formats:
 
 
 def fit(docs: DataFrame, sample: int = SAMPLE) -> Formats:
-    """Infer the formats from the table's own labelled credentials."""
+    """Infer the formats from the table's own labelled credentials, and the background from all candidates."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         least: dict[str, dict[str, str]] = defaultdict(dict)
+        pairs: Counter = Counter()
 
         def keep(kind: str, value: str) -> None:
             kept = least[kind]
@@ -203,21 +242,30 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> Formats:
                     del kept[order]
 
         for batch in batches:
+            tokens: Counter = Counter()
             for text in batch["text"]:
                 base = base_spans(text or "")
                 for kind, _, _, value in base:
-                    keep(kind, value[:LONGEST])
-                for _, _, value in other_tokens(text or "", base):
-                    keep("other", value[:LONGEST])
-        rows = [(kind, order, kept[order]) for kind, kept in least.items() for order in sorted(kept)[:sample]]
-        yield pd.DataFrame(rows, columns=["kind", "order_key", "value"])
-
-    seen = staged(docs.select(F.col("text").cast("string").alias("text")).mapInPandas(run, "kind string, order_key string, value string"), "secret-samples")
+                    if len(value) <= LONGEST:
+                        keep(kind, value)
+                tokens.update(value for _, _, value in candidates(text or "", base))
+            for value, n in tokens.items():
+                # Classes by one letter each; a space stands before and after.
+                shape = f" {value.translate(SHAPES)} "
+                for pair in map("".join, zip(shape, shape[1:])):
+                    pairs[pair] += n
+        rows = [(kind, order, kept[order], 0) for kind, kept in least.items() for order in sorted(kept)[:sample]]
+        rows += [("pair", pair, "", n) for pair, n in pairs.items()]
+        yield pd.DataFrame(rows, columns=["kind", "order_key", "value", "n"])
+
+    seen = staged(docs.select(F.col("text").cast("string").alias("text")).mapInPandas(
+        run, "kind string, order_key string, value string, n long"), "secret-samples")
     samples: dict[str, list[str]] = {}
-    for kind in ("assign", "access", "hex", "other"):
+    for kind in ("assign", "access", "hex"):
         rows = seen.where(F.col("kind") == kind).select("order_key", "value").distinct().orderBy("order_key").limit(sample).collect()
         samples[kind] = [row["value"] for row in rows]
-    return Formats(samples)
+    counts = seen.where(F.col("kind") == "pair").groupBy("order_key").agg(F.sum("n").alias("n")).collect()
+    return Formats(samples, {(NAMES[row["order_key"][0]], NAMES[row["order_key"][1]]): row["n"] for row in counts})
 
 
 def spans(text: str, formats: Formats, threshold: float = THRESHOLD, memo: dict[str, bool] | None = None) -> list[Span]:
@@ -225,7 +273,7 @@ def spans(text: str, formats: Formats, threshold: float = THRESHOLD, memo: dict[
     base = base_spans(text)
     found = [(start, end, kind) for kind, start, end, _ in base]
     memo = {} if memo is None else memo
-    for start, end, value in other_tokens(text, base):
+    for start, end, value in candidates(text, base):
         flagged = memo.get(value)
         if flagged is None:
             if len(memo) > 100_000:

@@ -206,8 +206,9 @@ def cut_texts(docs: DataFrame, marks: DataFrame, hot: int) -> DataFrame:
         return pd.DataFrame(rows, columns=["sure", "cuts"])
 
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    texts = docs.select(F.unhex(F.md5(text.cast("binary"))).alias("key"), text.alias("text"))
-    wanted = texts.join(marks, "key").dropDuplicates(["key"])
+    # Copies collapse within their tasks, before one of each travels to its marks.
+    texts = docs.select(F.unhex(F.md5(text.cast("binary"))).alias("key"), text.alias("text")).dropDuplicates(["key"])
+    wanted = texts.join(marks, "key")
     return staged(wanted.select("key", "text", cut("text", "marks").alias("r")).select("key", "text", "r.*"), "substring-cuts")
 
 

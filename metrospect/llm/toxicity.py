@@ -3,11 +3,11 @@
 Folding lower-cases, maps homoglyphs to Latin letters and, in words that hold a letter, digits and signs
 that stand for letters. Lexicon terms are words or beginnings of words, learned from labelled rows: each
 gets the smoothed log odds of toxic against clean documents that hold it. A beginning is kept only if no
-longer one does the same work. Phrases of two words that hold a term but mostly occur in clean documents
+longer one does the same work; beginnings have SHORTEST to LONGEST letters, whole words any number. Phrases of two words that hold a term but mostly occur in clean documents
 are exceptions and cancel the hit. The weights of a text's hits are summed and divided by its length in
 words to the power LENGTH_POWER; a logistic curve, fitted on the labelled rows, maps that to 0..1.
 
-Labels may be many; the model is fitted on about FIT_ROWS of them, chosen by the hash of the text, and has
+Labels may be many; the model is fitted on the distinct texts of about FIT_ROWS of them, chosen by the hash of the text, and has
 at most TERMS terms and EXCEPTIONS phrases. Only these travel to tasks. Every text is scored
 whole, in the scan.
 
@@ -21,8 +21,10 @@ from __future__ import annotations
 
 import math
 import re
+import unicodedata
 from collections import Counter
 from collections.abc import Iterator
+from itertools import islice
 
 import ahocorasick
 import numpy as np
@@ -40,20 +42,22 @@ LEAST_DOCS = 2
 LEAST_WEIGHT = 2.0
 LENGTH_POWER = 0.5
 BINS = 400
-# Letters of other alphabets that look like Latin ones, and digits and signs used for letters.
-HOMOGLYPHS = str.maketrans("аеорсухівкмнтѕјαβεικνορτυχ", "aeopcyxibkmhtsjabeiknoptux")
+# Letters that look like Latin ones (Cyrillic, Greek, Armenian, Latin variants), characters without
+# width, and digits and signs used for letters. Full-width and mathematical letters fold by compatibility.
+HOMOGLYPHS = str.maketrans(
+    "аеорсухівкмнтѕјӏԁԛԝѵһ" "αβεικνορτυχγϲϳω" "օսոհ" "ıɑɡɩʋ",
+    "aeopcyxibkmhtsjldqwvh" "abeikvoptuxycjw" "ounh" "iagiv")
+WIDTHLESS = dict.fromkeys([0xAD, 0x200B, 0x200C, 0x200D, 0x2060, 0xFEFF])
 STANDINS = str.maketrans("013457@$", "oieastas")
-LOOKALIKE = re.compile("[аеорсухівкмнтѕјαβεικνορτυχ]")
 MIXED = re.compile(r"(?<![\w@$])[\w@$]*[013457@$][\w@$]*")
 WORD = re.compile(r"[^\W_]+")
 
 
 def folded(text: str) -> str:
     """Lower case, homoglyphs as Latin letters, stand-ins as letters in words that hold a letter."""
-    text = text.lower()
-    if LOOKALIKE.search(text):
-        text = text.translate(HOMOGLYPHS)
-    return MIXED.sub(with_letters, text)
+    if not text.isascii():
+        text = unicodedata.normalize("NFKC", text.translate(WIDTHLESS)).lower().translate(HOMOGLYPHS)
+    return MIXED.sub(with_letters, text.lower())
 
 
 def with_letters(word: re.Match) -> str:
@@ -120,9 +124,14 @@ class Lexicon:
 
 def phrase_words(text: str, start: int) -> list[str]:
     """The word before, at and after a place."""
-    before = WORD.findall(text[max(0, start - 80):start])[-1:]
-    after = WORD.findall(text[start:start + 160])[:2]
-    return before + after
+    end = start
+    while end and not WORD.match(text[end - 1]):
+        end -= 1
+    begin = end
+    while begin and WORD.match(text[begin - 1]):
+        begin -= 1
+    after = [match[0] for match in islice(WORD.finditer(text, start), 2)]
+    return [text[begin:end], *after] if end else after
 
 
 def pick_terms(counted: list[tuple[str, int, float]]) -> dict[str, float]:
@@ -150,7 +159,8 @@ def labelled(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Da
     rows = docs.where(~held_out(F.col("doc_id"))).select("doc_id", text.alias("text"))
     rows = rows.where(F.pmod(F.xxhash64("text"), F.lit(1 << 30)) < int(share * (1 << 30)))
     rows = rows.join(known, "doc_id").select("text", (F.col("toxic") >= 1).cast("int").alias("toxic"))
-    return staged(rows.repartition(24), "toxicity-labels")
+    # Copies are one text to learn from; they collapse within their tasks.
+    return staged(rows.distinct().repartition(24), "toxicity-labels")
 
 
 def held_out(doc_id):

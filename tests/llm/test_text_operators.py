@@ -1,6 +1,7 @@
 """SimHash, substring dedup, toxicity, secrets and chat formatting against brute force."""
 
 import hashlib
+import math
 import random
 import re
 from collections import Counter, defaultdict
@@ -196,6 +197,14 @@ def test_toxicity_without_labels_or_rows(spark):
 
 def test_folding():
     assert toxicity.folded("1D10T Mоron p@th3t1c 2024 5") == "idiot moron pathetic 2024 5"
+    assert toxicity.folded("ｉｄｉｏｔ 𝐦𝐨𝐫𝐨𝐧 id\u200biot \u0443gӏу νile ԛԝ") == "idiot moron idiot ygly vile qw"
+
+
+def test_phrase_words_are_whole():
+    text = "x" * 500 + " " * 300 + "bad" + "y" * 400 + " end more"
+    at = text.index("bad")
+    assert toxicity.phrase_words(text, at) == ["x" * 500, "bad" + "y" * 400, "end"][:3]
+    assert toxicity.phrase_words("bad", 0) == ["bad"] and toxicity.phrase_words(" bad_dog", 1) == ["bad", "dog"]
 
 
 def test_base_spans():
@@ -211,6 +220,95 @@ def test_base_spans():
     assert kinds("") == []
 
 
+def plain_spans(text):
+    """The contract's patterns, read character by character."""
+    word = lambda c, more: c.isascii() and (c.isalnum() or c in more)
+
+    def assign(at):
+        low = "".join(c.lower() if c.isascii() else c for c in text)
+        name = next((n for n in ("password", "passwd", "secret", "token", "apikey", "api_key") if low.startswith(n, at)), None)
+        if name is None:
+            return None
+        at += len(name)
+        at += text[at:at + 1] in ('"', "'")
+        while text[at:at + 1] == " ":
+            at += 1
+        if text[at:at + 1] not in (":", "="):
+            return None
+        at += 1
+        while text[at:at + 1] == " ":
+            at += 1
+        at += text[at:at + 1] in ('"', "'")
+        begin = at
+        while at < len(text) and word(text[at], "+/_.=-"):
+            at += 1
+        return (at, at - begin >= 6) if at > begin else None
+
+    def access(at):
+        if not text.startswith("AKIA", at):
+            return None
+        end = at + 4
+        while end < len(text) and text[end].isascii() and (text[end].isdigit() or text[end].isupper()):
+            end += 1
+        return (end, end - at >= 20) if end > at + 4 else None
+
+    def hexes(at):
+        end = at
+        while end < len(text) and text[end] in "0123456789abcdef":
+            end += 1
+        return (end, end - at >= 24) if end > at else None
+
+    found = []
+    for kind, match in (("assign", assign), ("access", access), ("hex", hexes)):
+        at = 0
+        while at < len(text):
+            hit = match(at)
+            if hit and hit[1]:
+                found.append((kind, at, hit[0]))
+            at = hit[0] if hit else at + 1
+    return found
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.lists(st.sampled_from([
+    "password", "PassWd", "secret", "tokEn", "api_key", "apikey", "=", ":", " ", '"', "'", "abc", "12345", "AKIA", "ABCD1234EFGH5678",
+    "0a1b2c3d", "é", "ſ", ".", "-", "\n", "0123456789abcdef0123456789"]), max_size=14).map("".join))
+def test_base_spans_by_a_plain_reading(text):
+    assert sorted((k, s, e) for k, s, e, _ in secret_scan.base_spans(text)) == sorted(plain_spans(text))
+
+
+def test_candidates_are_all_but_covered_tokens():
+    text = "short longenough password=abcdefgh xx" + "0" * 24 + "Z tail_part"
+    base = secret_scan.base_spans(text)
+    assert [v for _, _, v in secret_scan.candidates(text, base)] == ["longenough", "xx" + "0" * 24 + "Z", "tail_part"]
+    for start, end, value in secret_scan.candidates(text, base):
+        assert text[start:end] == value
+
+
+def test_ratio_is_a_quotient_of_path_products():
+    """Scores against products over the automaton's and the chain's steps, taken one by one."""
+    rng = random.Random(3)
+    values = ["".join(rng.choice("0123456789") for _ in range(3)) + "".join(rng.choice("GHXYZ") for _ in range(rng.randint(4, 9))) for _ in range(80)]
+    pairs = {(None, "gz"): 50, ("gz", "gz"): 400, ("gz", None): 45, ("gz", "digit"): 5, ("digit", "digit"): 9, ("digit", None): 5}
+    formats = secret_scan.Formats({"assign": values}, pairs)
+    automaton, options = formats.kinds["assign"], len(secret_scan.CLASSES) + 2
+    for value in (values[0], values[7], "123GGGGG"):
+        state, product = 0, 1.0
+        for name, size in secret_scan.letters(value):
+            seen = automaton.count[state].get(name, 0)
+            product *= (seen + 0.5) / (automaton.ends[state] + sum(automaton.count[state].values()) + 0.5 * options) / size
+            state = automaton.next[state][name]
+        product *= (automaton.ends[state] + 0.5) / (automaton.ends[state] + sum(automaton.count[state].values()) + 0.5 * options)
+        chain, before = 1.0, None
+        for name, size in [*secret_scan.letters(value), (None, 1)]:
+            total = sum(n for (b, _), n in pairs.items() if b == before)
+            any_place = (sum(n for (_, a), n in pairs.items() if a == name) + 0.5) / (sum(pairs.values()) + 0.5 * options)
+            chain *= (pairs.get((before, name), 0) + 100 * any_place) / (total + 100) / size
+            before = name
+        assert formats.ratio(value) == pytest.approx(math.log(product) - math.log(chain))
+    assert formats.ratio("nothinglikeit") == -math.inf
+
+
 def test_formats_are_inferred(spark):
     rng = random.Random(4)
     key = lambda: "".join(rng.choice("0123456789") for _ in range(4)) + "".join(rng.choice("ABCDEFXYZ") for _ in range(16))
