@@ -357,8 +357,8 @@ def similar_roots(distinct: DataFrame, rows: DataFrame) -> DataFrame:
     """node, root of the shingle sets (id, n, bands, least) joined by a similarity of 0.8 or more.
 
     Sets that share a band key form a group. In each of ROUNDS rounds, the least set of every group meets the
-    group's others and leaves; groups that are one component by then are done. What is left meets pair by
-    pair in likely_pairs.
+    group's others and leaves; groups whose sets are linked to one set by then are done. What is left meets pair by
+    pair in likely_pairs. Components are found once, from all links.
     """
     group = distinct.select("id", "n", F.explode("bands").alias("key"))
     shared = group.groupBy("key").count().where("count > 1").select("key")
@@ -367,7 +367,7 @@ def similar_roots(distinct: DataFrame, rows: DataFrame) -> DataFrame:
     texts = rows.select("at", F.col("row.text").cast("string").alias("text"))
     sets = staged(texts.join(reps, "at").select("id", shingle_sets("text").alias("hashes")), "simhash-sets")
     group = group.withColumn("root", F.col("id"))
-    edges = roots = None
+    edges = None
     for step in range(ROUNDS + 1):
         if step < ROUNDS:
             first = staged(group.groupBy("key").agg(F.min(F.struct("id", "n", "root")).alias("first")), "simhash-first")
@@ -380,18 +380,17 @@ def similar_roots(distinct: DataFrame, rows: DataFrame) -> DataFrame:
         pairs = staged(pairs, "simhash-pairs")
         found = staged(similar(pairs, sets), "simhash-similar")
         edges = found if edges is None else edges.unionByName(found)
-        if roots is None or not found.isEmpty():
-            roots = components(edges)
         if step == ROUNDS:
             break
         group = group.join(ones.select("key", "a"), "key").where("id <> a").drop("a", "root")
-        known = roots.withColumnRenamed("node", "id")
+        # The least set that one is linked to: equal roots are one component, which is all that rounds need.
+        known = edges.groupBy(F.col("b").alias("id")).agg(F.min("a").alias("root"))
         group = group.join(known, "id", "left").withColumn("root", F.coalesce("root", "id"))
         mixed = group.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high")
         group = staged(group.join(mixed.select("key"), "key", "left_semi").select("id", "n", "key", "root"), "simhash-left")
         if group.isEmpty():
             break
-    return roots
+    return components(edges)
 
 
 def first_of_each(docs: DataFrame) -> DataFrame:
