@@ -14,6 +14,7 @@ from metrospect.operators.ranking import quantiles, row_number_within
 from metrospect.operators.selection import long_metrics
 from metrospect.operators.stats import moments_long
 from metrospect.session import staged
+from metrospect.sources.records import DELTA_STRUCT
 
 STATUS_CHUNK = 1000
 
@@ -249,6 +250,39 @@ def run_summary(statuses: DataFrame, ks: list[int], deltas: DataFrame | None = N
     return reduce(DataFrame.unionByName, parts)
 
 
+def run_record(
+    statuses: DataFrame, ks: list[int], samples: str, baseline: str | None = None,
+    truth: DataFrame | None = None, deltas: DataFrame | None = None,
+) -> DataFrame:
+    """The record of a run as one row; truth has (task_id, passed) of each task's reference solution.
+
+    Every part is a small aggregate of its own, read as a scalar: maps have an entry per k, status and metric, and
+    failed_tasks names the tasks of the benchmark whose reference fails. task_records has the rest.
+    """
+    pairs = lambda df, key, value: df.agg(F.map_from_entries(F.collect_list(F.struct(key, value))).alias("m")).scalar()
+    totals = run_totals(statuses).agg(F.first(F.struct("num_total", "num_correct", "num_invalid")).alias("t")).scalar()
+    scores = pass_at_k(task_totals(statuses), ks).where(F.col("pass_at_k").isNotNull())
+    none = F.lit(None)
+    failed = none.cast("array<string>") if truth is None else truth.agg(
+        F.sort_array(F.collect_set(F.when(~F.col("passed"), F.col("task_id")))).alias("f")).scalar()
+    rate = none.cast("double") if truth is None else truth.agg(F.avg(F.col("passed").cast("int")).alias("r")).scalar()
+    change = none if deltas is None else pairs(deltas, F.col("metric"), F.struct(*[F.col(f) for f in DELTA_FIELDS]))
+    return statuses.sparkSession.range(1).select(
+        F.lit(samples).alias("samples"), F.lit(baseline).cast("string").alias("baseline"),
+        pairs(scores, F.concat(F.lit("pass@"), F.col("k")), F.col("pass_at_k")).alias("pass_at_k"),
+        rate.alias("gt_pass_rate"), failed.alias("failed_tasks"),
+        *[totals[name].alias(name) for name in ("num_total", "num_correct", "num_invalid")],
+        pairs(status_counts(statuses), F.col("status"), F.col("n_rows")).alias("status_counts"),
+        change.cast(f"map<string,{DELTA_STRUCT}>").alias("metric_deltas"),
+    )
+
+
+def task_records(statuses: DataFrame, chunk: int = STATUS_CHUNK) -> DataFrame:
+    """passed and total of each task with its statuses in generation order, in chunks (part)."""
+    return task_statuses(statuses, chunk).join(task_totals(statuses), "task_id").select(
+        "task_id", "passed", "total", "part", "statuses")
+
+
 def upsert_summary(old: DataFrame, new: DataFrame) -> DataFrame:
     """Old summary rows with every row of the new one put in its place or added."""
     keys = ["section", "key", "field"]

@@ -620,6 +620,23 @@ def statements() -> dict[str, str]:
     old = TOTALS.replace("judged", "all_judged", 1).replace(
         "totals AS", "judged AS (SELECT * FROM all_judged WHERE status <> 'SyntaxError'),\ntotals AS"
     )
+    sql["run_record"] = f"""WITH
+      fresh AS (WITH {SAMPLES}, {totals_only}, {judged_deltas} {_summary_sections([5], per_task=False, with_deltas=True)}),
+      stale AS (WITH {old} {_summary_sections([1], per_task=False)}),
+      merged AS (SELECT * FROM fresh UNION ALL SELECT s.* FROM stale s ANTI JOIN fresh f
+        ON s.section = f.section AND s.key = f.key AND s.field = f.field),
+      {STATUSES.strip()},
+      truth AS (SELECT task_id, arg_min(status, id) = 'pass' AS passed FROM judged GROUP BY task_id),
+      totals AS (SELECT task_id, count(*) FILTER (status = 'pass') AS passed FROM judged GROUP BY task_id)
+      SELECT section, key, field, round(value, 6) AS value, NULL AS text FROM merged WHERE section <> 'pass_at_k' OR value IS NOT NULL
+      UNION ALL SELECT 'run', 'run', 'gt_pass_rate', round(avg(passed::int), 6), NULL FROM truth
+      UNION ALL SELECT 'run', 'run', 'version', 2, NULL
+      UNION ALL SELECT 'run', 'run', 'samples', NULL, 'all.jsonl'
+      UNION ALL SELECT 'run', 'run', 'baseline', NULL, 'base.jsonl'
+      UNION ALL SELECT 'failed_tasks', task_id, 'task_id', NULL, task_id FROM truth WHERE NOT passed
+      UNION ALL SELECT 'per_task', j.task_id, 'statuses_' || (generation_id // 1000), t.passed,
+        string_agg(status, ',' ORDER BY generation_id) FROM judged j JOIN totals t ON j.task_id = t.task_id
+        GROUP BY j.task_id, generation_id // 1000, t.passed"""
     sql["summary_upsert"] = f"""WITH
       fresh AS (WITH {TOTALS} {_summary_sections([5], per_task=False)}),
       stale AS (WITH {old} {_summary_sections([1])})

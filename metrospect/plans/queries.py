@@ -578,6 +578,38 @@ def summary_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(evaluation.upsert_summary(old, new), value=6)
 
 
+@query
+def run_record(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The record of a run without the toxic completions, updated by one of the whole run with baseline, reference
+    solutions and deltas; written, read, merged, written again and read as (section, key, field, value, text)."""
+    judged = staged(I.statuses(spark, sf_dir), "statuses")
+    folder, name = scratch_path(spark, "records"), "pass1_full_all_base_p10"
+    first = judged.where(F.col("status") != "SyntaxError")
+    records_io.upsert_record(spark, folder, name, evaluation.run_record(first, [1], "all.jsonl"))
+    truth = judged.groupBy("task_id").agg((F.min_by("status", "id") == "pass").alias("passed"))
+    whole = evaluation.run_record(judged, [5], "all.jsonl", "base.jsonl", truth, staged(_deltas(spark, sf_dir), "deltas"))
+    version = records_io.upsert_record(spark, folder, name, whole)
+    records_io.write_task_records(evaluation.task_records(judged), folder, name, version)
+    found = records_io.read_records(spark, folder)
+    none = lambda kind: F.lit(None).cast(kind)
+    cell = lambda section, key, field, value=none("double"), text=none("string"): F.struct(
+        F.lit(section).alias("section"), key.alias("key"), F.lit(field).alias("field"), value.cast("double").alias("value"), text.alias("text"))
+    entries = lambda column, section, field: F.transform(
+        F.map_entries(column), lambda e: cell(section, e["key"], field, e["value"]))
+    run = F.lit("run")
+    cells = F.concat(
+        F.array(*[cell("run", run, f, F.col(f)) for f in ("num_total", "num_correct", "num_invalid", "gt_pass_rate", "version")]),
+        F.array(*[cell("run", run, f, text=F.col(f)) for f in ("samples", "baseline")]),
+        entries("pass_at_k", "pass_at_k", "pass_at_k"), entries("status_counts", "status_counts", "n_rows"),
+        F.transform("failed_tasks", lambda task: cell("failed_tasks", task, "task_id", text=task)),
+        F.flatten(F.transform(F.map_entries("metric_deltas"), lambda e: F.array(
+            *[cell("metric_deltas", e["key"], f, e["value"][f]) for f in evaluation.DELTA_FIELDS]))))
+    tasks = records_io.read_task_records(spark, folder, name, version).select(
+        F.lit("per_task").alias("section"), F.col("task_id").alias("key"), F.concat(F.lit("statuses_"), "part").alias("field"),
+        F.col("passed").cast("double").alias("value"), F.array_join("statuses", ",").alias("text"))
+    return rounded(found.select(F.explode(cells).alias("c")).select("c.*").unionByName(tasks), value=6)
+
+
 # --- runs and reports -------------------------------------------------------------------------
 
 

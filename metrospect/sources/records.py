@@ -7,6 +7,7 @@ import json
 from collections.abc import Iterator
 
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -27,12 +28,17 @@ SAMPLE_SCHEMA = (
 )
 ROWS_AT_ONCE = 10_000
 VERDICT_ARROW = pa.schema([("task_id", pa.string()), ("generation_id", pa.int64()), ("status", pa.string())])
+DELTA_STRUCT = (
+    "struct<mean_pct_delta:double,median_pct_delta:double,std_pct_delta:double,"
+    "mean_delta_over_base_mean_pct:double,median_delta_over_base_mean_pct:double,n:long>"
+)
+#: The record of a run. Its maps have an entry per k, status and metric; what a run has per task is a table of its own.
 SUMMARY_SCHEMA = (
-    "samples string, baseline string, pass_at_k map<string,double>, "
-    "metric_deltas map<string,struct<mean_pct_delta:double,median_pct_delta:double,"
-    "std_pct_delta:double,mean_delta_over_base_mean_pct:double,"
-    "median_delta_over_base_mean_pct:double,n:long>>"
+    "samples string, baseline string, pass_at_k map<string,double>, gt_pass_rate double, failed_tasks array<string>, "
+    "num_total long, num_correct long, num_invalid long, status_counts map<string,long>, "
+    f"metric_deltas map<string,{DELTA_STRUCT}>"
 )
+TASKS_SCHEMA = "task_id string, passed long, total long, part long, statuses array<string>"
 
 
 def sample_records(df: DataFrame, raw_output: str = "raw_output") -> DataFrame:
@@ -164,7 +170,74 @@ def summary_name(path: Column) -> Column:
     Spark writes folders, so the name may be a folder, also one of the form column=name.
     """
     parts = F.filter(F.split(path, "/"), lambda p: p.endswith("_summary.json"))
-    return F.regexp_replace(F.element_at(parts, -1), r"^\w+=", "")
+    return F.regexp_replace(F.try_element_at(parts, F.lit(-1)), r"^\w+=", "")
+
+
+def version_of(path: Column) -> Column:
+    """The number of the folder version=<number> in a path, 0 without one."""
+    return F.coalesce(F.try_to_number(F.nullif(F.regexp_extract(path, r"/version=(\d+)/", 1), F.lit("")), F.lit("999999999999999999")).cast("long"), F.lit(0))
+
+
+def record_path(folder: str, name: str, version: int) -> str:
+    return f"{folder}/{name}_summary.json/version={version}"
+
+
+def tasks_path(folder: str, name: str, version: int) -> str:
+    """Beside the folder of records, whose readers look at all its files."""
+    return f"{folder.rstrip('/')}_tasks/{name}/version={version}"
+
+
+def write_record(record: DataFrame, folder: str, name: str, version: int) -> None:
+    """One run's record as a version of its own; earlier versions stay, and readers take the latest."""
+    record.select(*[f.name for f in _fields(SUMMARY_SCHEMA)]).coalesce(1).write.mode("overwrite").json(
+        record_path(folder, name, version))
+
+
+def write_task_records(tasks: DataFrame, folder: str, name: str, version: int) -> None:
+    """What a run has per task, as JSON lines beside its record."""
+    tasks.select(*[f.name for f in _fields(TASKS_SCHEMA)]).write.mode("overwrite").json(tasks_path(folder, name, version))
+
+
+def read_task_records(spark: SparkSession, folder: str, name: str, version: int) -> DataFrame:
+    return spark.read.schema(TASKS_SCHEMA).json(tasks_path(folder, name, version))
+
+
+def read_records(spark: SparkSession, folder: str) -> DataFrame:
+    """The latest version of every record of a folder: name (of the file or folder), version and its fields."""
+    path = F.col("_metadata.file_path")
+    reader = spark.read.schema(SUMMARY_SCHEMA).option("recursiveFileLookup", "true").option("multiLine", "true")
+    named = reader.json(folder).select("*", summary_name(path).alias("name"), version_of(path).alias("version")).where("name IS NOT NULL")
+    fields = F.struct(*[f.name for f in _fields(SUMMARY_SCHEMA)])
+    latest = named.groupBy("name").agg(F.max("version").alias("last"), F.max_by(fields, "version").alias("record"))
+    return latest.select("name", F.col("last").alias("version"), "record.*")
+
+
+def merged_record(old: DataFrame, new: DataFrame) -> DataFrame:
+    """One record over another: fields that the new one lacks stay, entries of its maps replace or join the old ones."""
+    before = old.agg(F.first(F.struct(*[f.name for f in _fields(SUMMARY_SCHEMA)])).alias("record")).scalar()
+    both = new.withColumn("_old", before)
+    columns = []
+    for field in _fields(SUMMARY_SCHEMA):
+        was, now = F.col("_old")[field.name], F.col(field.name)
+        value = F.coalesce(now, was)
+        if isinstance(field.dataType, T.MapType):
+            value = F.coalesce(F.map_zip_with(was, now, lambda key, before, after: F.coalesce(after, before)), value)
+        columns.append(value.alias(field.name))
+    return both.select(*columns)
+
+
+def upsert_record(spark: SparkSession, folder: str, name: str, new: DataFrame) -> int:
+    """Write a record merged over the latest one of its name, as the next version, and return that."""
+    try:
+        old = read_records(spark, folder).where(F.col("name") == f"{name}_summary.json")
+    except AnalysisException as failure:
+        if failure.getCondition() != "PATH_NOT_FOUND":
+            raise
+        old = None
+    found = old and old.select("version").first()
+    version = found["version"] + 1 if found else 1
+    write_record(merged_record(old, new) if found else new, folder, name, version)
+    return version
 
 
 def read_summaries(
@@ -172,12 +245,9 @@ def read_summaries(
 ) -> DataFrame:
     """Run summaries of a folder, one document per file, with (pass_k, model, metric, alpha) from their names.
 
-    Summaries whose name has no known form are left out.
+    Of a summary with versions the latest counts; those whose name has no known form are left out.
     """
-    reader = spark.read.schema(SUMMARY_SCHEMA).option("recursiveFileLookup", "true").option("multiLine", "true")
-    named = reader.json(path).withColumn(
-        "run", parse_run_name(summary_name(F.col("_metadata.file_path")), models, metrics)
-    )
+    named = read_records(spark, path).withColumn("run", parse_run_name(F.col("name"), models, metrics))
     runs = named.where(F.col("run").isNotNull()).select("run.*", "pass_at_k", "metric_deltas")
     delta = F.col("metric_deltas")[F.col("metric")]
     rate = F.col("pass_at_k")[F.concat(F.lit("pass@"), F.col("pass_k").cast("string"))]

@@ -208,3 +208,21 @@ def test_unequal_alphas_stop_the_report(spark):
     assert [r.a for r in runs.alpha_legend(points, ["a"]).orderBy("ordinal").collect()] == ["-1", "0", "1.235e+04"]
     with pytest.raises(Exception, match="different alphas in a pass@1"):
         runs.final_report(spark.createDataFrame(rows[:-1], schema), ["a"]).collect()
+
+
+def test_records_are_versioned_and_merged(spark, tmp_path):
+    folder, name = str(tmp_path / "r"), "pass1_full_aa_mi_a0.5_p10"
+    schema = records.SUMMARY_SCHEMA
+    delta = dict(mean_pct_delta=1.0, median_pct_delta=1.0, std_pct_delta=1.0, mean_delta_over_base_mean_pct=1.0,
+                 median_delta_over_base_mean_pct=1.0, n=3)
+    one = spark.createDataFrame([("s.jsonl", None, {"pass@1": 0.25}, None, ["t9"], 4, 2, 0, {"pass": 2, "fail": 2}, None)], schema)
+    two = spark.createDataFrame([(None, "b.jsonl", {"pass@5": 0.5}, 0.9, None, None, 3, None, {"pass": 3}, {"mi": delta})], schema)
+    assert [records.upsert_record(spark, folder, name, r) for r in (one, two)] == [1, 2]
+    row = records.read_records(spark, folder).first()
+    assert (row.name, row.version, row.samples, row.baseline) == (f"{name}_summary.json", 2, "s.jsonl", "b.jsonl")
+    assert row.pass_at_k == {"pass@1": 0.25, "pass@5": 0.5} and row.status_counts == {"pass": 3, "fail": 2}
+    assert (row.gt_pass_rate, row.failed_tasks, row.num_total, row.num_correct, row.num_invalid) == (0.9, ["t9"], 4, 3, 0)
+    assert row.metric_deltas["mi"]["n"] == 3
+    report = records.read_summaries(spark, folder, ["aa"], ["mi"]).first()
+    assert (report["pass_k"], report["alpha"], report["pass"], report["mean_delta"]) == (1, 0.5, 0.25, 1.0)
+    assert records.read_records(spark, folder).count() == 1
