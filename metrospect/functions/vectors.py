@@ -46,9 +46,10 @@ def subtract(a: Column | str, b: Column | str) -> Column:
     return F.zip_with(col(a), col(b), lambda x, y: x - y)
 
 
-def mean_vector(vec: Column | str) -> Column:
-    """Element-wise mean as an aggregate with partial sums on the map side."""
-    return vector_to_array(Summarizer.mean(array_to_vector(col(vec).cast("array<double>"))))
+def mean_vector(vec: Column | str, weight: Column | str | None = None) -> Column:
+    """Element-wise (weighted) mean as an aggregate with partial sums on the map side."""
+    weights = None if weight is None else col(weight).cast("double")
+    return vector_to_array(Summarizer.mean(array_to_vector(col(vec).cast("array<double>")), weights))
 
 
 def population_std_vector(vec: Column | str) -> Column:

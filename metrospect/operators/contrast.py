@@ -3,21 +3,76 @@
 from __future__ import annotations
 
 import itertools
+from collections import Counter, defaultdict
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from metrospect import constants as K
 from metrospect.functions.vectors import cosine, mean_vector, norm, principal_angle, subtract
 from metrospect.session import broadcast_if_small
 
+#: Sums that a task holds before it passes them on.
+SUM_BYTES = 256 << 20
+
+
+def side_means(joined: DataFrame, max_bytes: int = SUM_BYTES) -> DataFrame:
+    """Partial means of the vectors of each (metric, side), layer and pool: rows (metric, side, layer, pool, n, vec).
+
+    A batch's memberships are a matrix of zeros and ones, and its product with the batch's vectors adds them to all
+    sides at once. A task passes its sums on when they take max_bytes.
+    """
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[tuple, np.ndarray] = {}
+        counts: Counter = Counter()
+
+        def passed_on() -> pa.RecordBatch:
+            rows = [(*key[:4], counts[key], total / counts[key]) for key, total in sums.items()]
+            sums.clear()
+            counts.clear()
+            columns = list(zip(*rows)) or [()] * 6
+            return pa.RecordBatch.from_arrays([pa.array(column, field.type) for column, field in zip(columns, out)], schema=out)
+
+        for batch in batches:
+            layers, pools, sides = (batch.column(name).to_pylist() for name in ("layer", "pool", "sides"))
+            lengths = pc.list_value_length(batch.column("vec")).to_numpy(zero_copy_only=False)
+            cells: dict[tuple, list[int]] = defaultdict(list)
+            for i, cell in enumerate(zip(layers, pools, lengths.tolist())):
+                cells[cell].append(i)
+            for (layer, pool, width), rows in cells.items():
+                x = batch.column("vec").take(pa.array(rows)).flatten().to_numpy(zero_copy_only=False).reshape(len(rows), width)
+                place: dict[tuple, int] = {}
+                marks = [(at, place.setdefault((s["metric"], s["side"]), len(place))) for at, i in enumerate(rows) for s in sides[i]]
+                member = np.zeros((len(place), len(rows)))
+                for at, side in marks:
+                    member[side, at] = 1.0
+                for (metric, side), total, n in zip(place, member @ x, member.sum(axis=1)):
+                    key = metric, side, layer, pool, width
+                    sums[key] = sums[key] + total if key in sums else total
+                    counts[key] += int(n)
+            if sum(total.nbytes for total in sums.values()) > max_bytes:
+                yield passed_on()
+        yield passed_on()
+
+    kinds = dict(joined.select("layer", "pool").dtypes)
+    schema = f"metric string, side string, layer {kinds['layer']}, pool {kinds['pool']}, n long, vec array<double>"
+    out = to_arrow_schema(T._parse_datatype_string(schema))
+    present = joined.where(F.col("vec").isNotNull())
+    return present.select("layer", "pool", F.col("vec").cast("array<double>").alias("vec"), "sides").mapInArrow(add, schema)
+
 
 def contrast_vectors(selected: DataFrame, vectors: DataFrame, record: str = "id") -> DataFrame:
     """mean(top) - mean(bottom) per metric, layer and pool.
 
-    Each record carries its few (metric, side) memberships as one array, so a vector is joined once
-    and fanned out only inside the task that adds it to its partial sums. A small membership table is
-    broadcast, so the vectors are summed where they lie.
+    Each record carries its few (metric, side) memberships as one array, so a vector is joined once. A small
+    membership table is broadcast, so the vectors are summed where they lie.
     """
     side = F.array_compact(
         F.array(
@@ -27,13 +82,9 @@ def contrast_vectors(selected: DataFrame, vectors: DataFrame, record: str = "id"
     )
     # Bounded array: at most two sides for each metric of the fixed list.
     member = selected.groupBy(record).agg(F.flatten(F.collect_list(side)).alias("sides"))
-    sums = (
-        vectors.join(broadcast_if_small(member, "members"), record)
-        .withColumn("s", F.explode("sides"))
-        .groupBy(F.col("s.metric").alias("metric"), "layer", "pool", F.col("s.side").alias("side"))
-        .agg(mean_vector("vec").alias("vec"))
-    )
-    sides = sums.groupBy("metric", "layer", "pool").agg(
+    partial = side_means(vectors.join(broadcast_if_small(member, "members"), record))
+    means = partial.groupBy("metric", "layer", "pool", "side").agg(mean_vector("vec", "n").alias("vec"))
+    sides = means.groupBy("metric", "layer", "pool").agg(
         F.max(F.when(F.col("side") == "top", F.col("vec"))).alias("top"),
         F.max(F.when(F.col("side") == "bottom", F.col("vec"))).alias("bottom"),
     )

@@ -151,9 +151,10 @@ def winner_models(scores: DataFrame) -> DataFrame:
     return best.select("pool", "metric", "model", "layer", "r2_test")
 
 
-def score_pivot(scores: DataFrame, rows: list[str], metrics: list[str] = K.METRICS) -> DataFrame:
+def score_pivot(scores: DataFrame, rows: str | list[str], metrics: list[str] = K.METRICS) -> DataFrame:
     """Test R² per rows and pool with one column per metric in fixed order; the best of those that share a row."""
-    return scores.groupBy(*rows, "pool").pivot("metric", metrics).agg(F.max("r2_test"))
+    keys = [rows] if isinstance(rows, str) else rows
+    return scores.groupBy(*keys, "pool").pivot("metric", metrics).agg(F.max("r2_test"))
 
 
 def score_curve(scores: DataFrame) -> DataFrame:

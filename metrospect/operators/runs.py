@@ -86,10 +86,11 @@ def agreeing(points: DataFrame, metrics: list[str] = K.REPORT_METRICS) -> DataFr
 
 
 def final_report(
-    points: DataFrame, models: list[str], metrics: list[str] = K.REPORT_METRICS
+    points: DataFrame, models: list[str], metrics: list[str] = K.REPORT_METRICS, strict: bool = False
 ) -> DataFrame:
-    """Wide report: one row per pass_k and alpha ordinal, one cell per model and metric; unequal alphas raise."""
-    numbered = agreeing(points, metrics).join(alpha_ordinals(points), ["pass_k", "model", "alpha"])
+    """Wide report: one row per pass_k and alpha ordinal, one cell per model and metric; if strict, unequal alphas
+    raise."""
+    numbered = (agreeing(points, metrics) if strict else points).join(alpha_ordinals(points), ["pass_k", "model", "alpha"])
     cells = numbered.withColumn("column", F.concat_ws("_", "model", "metric")).withColumn(
         "cell", report_cell("mean_delta", "std_delta", "pass")
     )

@@ -760,7 +760,7 @@ def alpha_check(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def final_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return runs.final_report(_points(spark, sf_dir), I.MODELS)
+    return runs.final_report(_points(spark, sf_dir), I.MODELS, strict=True)
 
 
 @query

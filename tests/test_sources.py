@@ -204,10 +204,10 @@ def test_unequal_alphas_stop_the_report(spark):
     rows = [(1, "a", m, x, 0.5, 1.0, 2.0) for m in ("mi", "comment_ratio") for x in (-1.0, 0.0, 12345.678)]
     schema = "pass_k int, model string, metric string, alpha double, pass double, mean_delta double, std_delta double"
     points = spark.createDataFrame(rows, schema)
-    assert runs.final_report(points, ["a"]).count() == 3
+    assert runs.final_report(points, ["a"], strict=True).count() == 3
     assert [r.a for r in runs.alpha_legend(points, ["a"]).orderBy("ordinal").collect()] == ["-1", "0", "1.235e+04"]
     with pytest.raises(Exception, match="different alphas in a pass@1"):
-        runs.final_report(spark.createDataFrame(rows[:-1], schema), ["a"]).collect()
+        runs.final_report(spark.createDataFrame(rows[:-1], schema), ["a"], strict=True).collect()
 
 
 def test_records_are_versioned_and_merged(spark, tmp_path):

@@ -181,3 +181,21 @@ def test_moments_survive_flushes_and_refuse_unequal_widths(spark):
     with pytest.raises(Exception, match="width"):
         moments.second_moments(mixed, ["a"]).collect()
     assert moments.second_moments(df.where("layer > 1"), ["a"]).count() == 0
+
+
+def test_contrast_in_few_and_many_parts(spark):
+    """Sums by membership matrices against plain means, also when a task passes its sums on after every batch."""
+    rng = np.random.default_rng(12)
+    rows = [(i, layer, pool, rng.normal(size=3).tolist()) for i in range(60) for layer in (1, 2) for pool in ("last", "mean")]
+    vectors = spark.createDataFrame([*rows, (1, 1, "mean", None)], "id long, layer int, pool string, vec array<double>").repartition(5)
+    chosen = [(i, m, i % k == 0, i % k == 1) for m, k in (("a", 3), ("b", 7)) for i in range(60) if i % k < 2]
+    selected = spark.createDataFrame([*chosen, (99, "a", True, True)], "id long, metric string, is_top boolean, is_bottom boolean")
+    joined = vectors.join(selected.groupBy("id").agg(F.collect_list(F.struct("metric", F.lit("top").alias("side"))).alias("sides")), "id")
+    parts = contrast.side_means(joined, max_bytes=0).groupBy("metric", "layer", "pool").agg(F.sum("n").alias("n")).collect()
+    assert {(r.metric, r.n) for r in parts} == {("a", 40), ("b", 18)}
+    got = {(r.metric, r.layer, r.pool): r.vec for r in contrast.contrast_vectors(selected, vectors).collect()}
+    assert len(got) == 8
+    for (metric, layer, pool), vec in got.items():
+        side = lambda place: {i for i, m, *on in chosen if m == metric and on[place]}
+        mean = lambda ids: np.mean([v for i, l, p, v in rows if i in ids and (l, p) == (layer, pool)], axis=0)
+        assert vec == pytest.approx(mean(side(0)) - mean(side(1)))
