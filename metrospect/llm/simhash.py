@@ -39,11 +39,10 @@ LEAF = 64
 # together but for 7 of 100,000.
 STAGE_SHINGLE = 5
 BANDS, BAND = 24, 5
-MARKS, AGREE = 512, 364
-FACTORS = np.random.default_rng(SEED).integers(1 << 63, size=MARKS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+FACTORS = np.random.default_rng(SEED).integers(1 << 63, size=BANDS * BAND, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 ROUNDS = 3
 STAR = 1000
-TILE = 512
+TILE, TILE_BYTES, COLUMNS = 512, 8 << 20, 4096
 
 
 def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
@@ -286,17 +285,35 @@ def shingle_sets(texts: pd.Series) -> pd.Series:
     return pd.Series([shingle_set(text).view(np.int64) for text in texts])
 
 
-@F.pandas_udf(T.BinaryType())
-def low_bytes(sets: pd.Series) -> pd.Series:
-    """The low byte of each of MARKS MinHash values of a set."""
-    return pd.Series([min_hashes(np.asarray(some, np.int64).view(np.uint64), MARKS).astype(np.uint8).tobytes() for some in sets])
+def shared_counts(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """How many elements the sets at each two different positions of left and right share, exactly.
 
-
-def likely_pairs(group: DataFrame, sets: DataFrame, tile: int = TILE) -> DataFrame:
-    """Pairs (a, b) within the groups of the rows (key, id, n, root) of different roots that agree in AGREE of
-    the MinHash bytes, which a similarity of 0.8 misses in fewer than one in a million pairs.
-
-    A group above `tile` rows is cut into tiles, and each two tiles meet in their own place.
+    Elements of one set only are dropped; the others are columns of a matrix of zeros and ones, whose product with
+    itself is summed COLUMNS at a time.
+    """
+    owner = np.repeat(np.arange(len(sets)), [len(some) for some in sets])
+    _, column, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    common = np.flatnonzero(times > 1)
+    number = np.full(len(times), -1)
+    number[common] = np.arange(len(common))
+    column = number[column.ravel()]
+    order = np.argsort(column, kind="stable")
+    owner, column = owner[order], column[order]
+    out = np.zeros((len(left), len(right)))
+    for start in range(0, len(common), COLUMNS):
+        some = slice(*np.searchsorted(column, [start, start + COLUMNS]))
+        member = np.zeros((len(sets), min(COLUMNS, len(common) - start)), np.float32)
+        member[owner[some], column[some] - start] = 1.0
+        out += member[left] @ member[right].T
+    return out
+
+
+def similar_within(group: DataFrame, sets: DataFrame, tile: int = TILE, tile_bytes: int = TILE_BYTES) -> DataFrame:
+    """Links (a, b) of similarity 0.8 or more within the groups of the rows (key, id, n, root) of different roots,
+    counted exactly.
+
+    A group above `tile` rows or tile_bytes of sets is cut into tiles, and each two tiles meet in their own place.
+    Of the links of a place only a spanning forest leaves it, so their number follows the number of sets.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -319,21 +336,31 @@ def likely_pairs(group: DataFrame, sets: DataFrame, tile: int = TILE) -> DataFra
 
     def solve(some: pd.DataFrame) -> pd.DataFrame:
         ids, sizes, roots, tiles = (some[name].to_numpy() for name in ("id", "n", "root", "tile"))
-        marks = np.frombuffer(b"".join(some["marks"]), np.uint8).reshape(len(some), -1)
-        within = some["low"].iloc[0] == some["high"].iloc[0]
-        found = [np.empty((0, 2), np.int64)]
-        for i in range(len(some)) if within else np.flatnonzero(tiles == some["low"].iloc[0]):
-            others = np.arange(i + 1, len(some)) if within else np.flatnonzero(tiles == some["high"].iloc[0])
-            others = others[(roots[others] != roots[i]) & (5 * np.minimum(sizes[others], sizes[i]) >= 4 * np.maximum(sizes[others], sizes[i]))]
-            near = others[(marks[others] == marks[i]).sum(axis=1) >= AGREE]
-            found.append(np.column_stack([np.minimum(ids[near], ids[i]), np.maximum(ids[near], ids[i])]))
-        return pd.DataFrame(np.concatenate(found), columns=["a", "b"])
-
-    marks = sets.join(group.select("id").distinct(), "id", "left_semi").select("id", low_bytes("hashes").alias("marks"))
-    parts = group.groupBy("key").agg(F.ceil(F.count("*") / tile).alias("parts"))
-    dealt = group.join(parts, "key").join(marks, "id").withColumn("tile", F.pmod(F.xxhash64("id"), "parts"))
+        left, right = np.flatnonzero(tiles == some["low"].iloc[0]), np.flatnonzero(tiles == some["high"].iloc[0])
+        found = []
+        if len(left) and len(right):
+            both = shared_counts([np.asarray(h) for h in some["hashes"]], left, right)
+            alike = 5 * both >= 4 * (sizes[left][:, None] + sizes[right][None, :] - both)
+            alike &= roots[left][:, None] != roots[right][None, :]
+            above = list(range(len(ids)))
+
+            def top(i: int) -> int:
+                while above[i] != i:
+                    above[i] = i = above[above[i]]
+                return i
+
+            for i, j in zip(*(side[at] for side, at in zip((left, right), np.nonzero(alike)))):
+                a, b = top(i), top(j)
+                if a != b:
+                    above[a] = b
+                    found.append(sorted((int(ids[i]), int(ids[j]))))
+        return pd.DataFrame(np.array(found, np.int64).reshape(-1, 2), columns=["a", "b"])
+
+    parts = group.groupBy("key").agg(
+        F.greatest(F.ceil(F.count("*") / tile), F.ceil(F.sum("n") * 8 / tile_bytes)).alias("parts"))
+    dealt = group.join(parts, "key").join(sets, "id").withColumn("tile", F.pmod(F.xxhash64("id"), "parts"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
-    dealt = dealt.select("key", F.least("tile", "other").alias("low"), F.greatest("tile", "other").alias("high"), "tile", "id", "n", "root", "marks")
+    dealt = dealt.select("key", F.least("tile", "other").alias("low"), F.greatest("tile", "other").alias("high"), "tile", "id", "n", "root", "hashes")
     spots = ("key", "low", "high")
     return dealt.repartition(*spots).sortWithinPartitions(*spots).mapInPandas(run, "a long, b long").distinct()
 
@@ -358,7 +385,7 @@ def similar_roots(distinct: DataFrame, rows: DataFrame) -> DataFrame:
 
     Sets that share a band key form a group. In each of ROUNDS rounds, the least set of every group meets the
     group's others and leaves; groups whose sets are linked to one set by then are done. What is left meets pair by
-    pair in likely_pairs. Components are found once, from all links.
+    pair in similar_within. Components are found once, from all links.
     """
     group = distinct.select("id", "n", F.explode("bands").alias("key"))
     shared = group.groupBy("key").count().where("count > 1").select("key")
@@ -375,10 +402,10 @@ def similar_roots(distinct: DataFrame, rows: DataFrame) -> DataFrame:
             met = group.join(ones, "key").where((F.col("a") < F.col("id")) & (F.col("root") != F.col("root_a")))
             met = met.where(5 * F.least("n", "n_a") >= 4 * F.greatest("n", "n_a"))
             pairs = met.select("a", F.col("id").alias("b")).distinct()
+            found = similar(staged(pairs, "simhash-pairs"), sets)
         else:
-            pairs = likely_pairs(group, sets)
-        pairs = staged(pairs, "simhash-pairs")
-        found = staged(similar(pairs, sets), "simhash-similar")
+            found = similar_within(group, sets)
+        found = staged(found, "simhash-similar")
         edges = found if edges is None else edges.unionByName(found)
         if step == ROUNDS:
             break

@@ -8,6 +8,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -416,8 +417,18 @@ def test_first_of_each_finds_short_near_copies(spark):
     assert sorted(r.doc_id for r in kept.collect()) == sorted(set(root))
 
 
+@pytest.mark.parametrize("columns", [4096, 50])
+def test_shared_counts(monkeypatch, columns):
+    monkeypatch.setattr(simhash, "COLUMNS", columns)
+    rng = np.random.default_rng(1)
+    sets = [np.unique(rng.integers(-400, 400, rng.integers(1, 300))) for _ in range(30)]
+    left, right = np.arange(0, 30, 2), np.arange(5, 25)
+    got = simhash.shared_counts(sets, left, right)
+    assert all(got[a, b] == len(set(sets[i].tolist()) & set(sets[j].tolist())) for a, i in enumerate(left) for b, j in enumerate(right) if i != j)
+
+
 @pytest.mark.parametrize("tile", [3, 512])
-def test_likely_pairs_of_one_group(spark, tile):
+def test_links_within_one_group(spark, tile):
     rnd = random.Random(3)
     base = [f"w{i}" for i in range(400)]
     texts = []
@@ -427,7 +438,11 @@ def test_likely_pairs_of_one_group(spark, tile):
     rows = [(7, i, len(simhash.shingle_set(t)), i) for i, t in enumerate(texts)]
     group = spark.createDataFrame(rows, "key long, id long, n long, root long")
     sets = spark.createDataFrame(list(enumerate(texts)), "id long, text string").select("id", simhash.shingle_sets("text").alias("hashes"))
-    pairs = simhash.likely_pairs(group, sets, tile)
+    links = {(r.a, r.b) for r in simhash.similar_within(group, sets, tile).collect()}
     want = {(i, j) for j in range(len(texts)) for i in range(j) if plain_similarity(texts[i], texts[j]) >= 0.8}
-    assert {(r.a, r.b) for r in simhash.similar(pairs, sets).collect()} == want and len(want) == 6
-    assert pairs.count() < 20
+    assert links == want and len(want) == 6
+    alike = spark.createDataFrame([(7, i, 400, i) for i in range(40)], group.schema)
+    same = spark.createDataFrame([(i, list(range(400))) for i in range(40)], "id long, hashes array<long>")
+    assert simhash.similar_within(alike, same, 512).count() == 39
+    known = alike.withColumn("root", F.lit(0).cast("long"))
+    assert simhash.similar_within(known, same, tile).count() == 0
