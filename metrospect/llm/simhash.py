@@ -9,8 +9,11 @@ below it. A group reports a spanning forest, not all pairs: a pair of nodes that
 whole is skipped. A group above GROUP fingerprints is divided again by blocks of its other bits, which
 loses no pair by the same argument. The forests are joined to components by star contraction.
 
-The pipeline's stage (first_of_each) asks for a Jaccard similarity of 0.8 on five-word shingles instead, which
-so few bits cannot tell: MinHash bands bring candidates together, and shared shingles are counted exactly.
+The pipeline's stage (first_of_each) asks for a Jaccard similarity of 0.8 on sets of five-word shingles. Its
+fingerprints are joined in the same way, by blocks and trie, and the links checked by shared shingles, exactly. Texts of
+that similarity differ in about ten bits, which blocks cannot route; so a second join, of WIDE bits, takes
+groups of a common MinHash band instead of blocks, again with the exact check behind it. Both joins' links
+go through star contraction.
 
 Defined cases: null and empty texts have fingerprint zero, linked like any other; null ids never are a
 component's id unless all its ids are null; repeated rows all come out; an empty table gives an empty
@@ -19,7 +22,7 @@ result; other columns are not read.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -38,6 +41,9 @@ LEAF = 64
 # The pipeline's stage: shingles of five words; 24 bands of 5 MinHash values bring a pair of similarity 0.8
 # together but for 7 of 100,000.
 STAGE_SHINGLE = 5
+# Of 64 bits, sets of similarity 0.8 differ in 9.7 on average (large sets) and in 12 at most (four of five shingles):
+# in more than WIDE in fewer than 2 of 100,000 cases. Sets that share nothing differ in 32; 8 of 100 pairs pass.
+WIDE = 26
 BANDS, BAND = 24, 5
 FACTORS = np.random.default_rng(SEED).integers(1 << 63, size=BANDS * BAND, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 ROUNDS = 3
@@ -56,7 +62,11 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
         return hashed(joined, SEED)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     starts = [0, *(ends[:-1] + 1).tolist()]
-    hashes = np.array([hashed(joined[a:b], SEED) for a, b in zip(starts, ends[shingle - 1:].tolist())], np.uint64)
+    return majority(np.array([hashed(joined[a:b], SEED) for a, b in zip(starts, ends[shingle - 1:].tolist())], np.uint64))
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits that are set in over half of the hashes, as an unsigned number; zero for none."""
     counts = np.zeros(64, np.int64)
     for part in range(0, len(hashes), 1 << 14):
         some = hashes[part:part + (1 << 14)].view(np.uint8).reshape(-1, 8)
@@ -130,33 +140,22 @@ class Forest:
         self.parent[max(a, b)] = min(a, b)
 
 
-def trie_forest(values: np.ndarray, budget: int = BUDGET) -> tuple[np.ndarray, np.ndarray]:
-    """Links (value, root) that join all values within the budget of each other; values are distinct.
+def near_nodes(values: np.ndarray, budget: int, joined: Callable[[int, int, int, int], bool]) -> Iterator[tuple[int, int, int, int]]:
+    """Pairs of small nodes (lo, hi, lo2, hi2) whose values may be within the budget, walking the trie against itself.
 
-    The trie is the sorted array: a node is a range whose values share the bits above `bit`.
+    The trie is the sorted array: a node is a range whose values share the bits above `bit`. A pair of large nodes
+    for which joined() holds is skipped with all below it.
     """
-    values = np.sort(values.view(np.uint64))
-    forest = Forest(len(values))
     pairs = [(0, len(values), 0, len(values), 63, 0)]
     while pairs:
         lo, hi, lo2, hi2, bit, differing = pairs.pop()
         if lo == hi or lo2 == hi2:
             continue
-        small = hi - lo <= LEAF and hi2 - lo2 <= LEAF
-        if small or bit < 0:
-            left, right = np.arange(lo, hi), np.arange(lo2, hi2)
-            a, b = forest.roots(left), forest.roots(right)
-            if a[0] == b[0] and (a == a[0]).all() and (b == b[0]).all():
-                continue
-            near = np.bitwise_count(values[left][:, None] ^ values[right][None, :]) <= budget
-            i, j = np.nonzero(near & (a[:, None] != b[None, :]))
-            for x, y in set(zip(a[i].tolist(), b[j].tolist())):
-                forest.join(x, y)
+        if hi - lo <= LEAF and hi2 - lo2 <= LEAF or bit < 0:
+            yield lo, hi, lo2, hi2
+            continue
+        if hi - lo > LEAF and hi2 - lo2 > LEAF and differing == 0 and lo != lo2 and joined(lo, hi, lo2, hi2):
             continue
-        if hi - lo > LEAF and hi2 - lo2 > LEAF and differing == 0 and lo != lo2:
-            a, b = forest.roots(np.arange(lo, hi)), forest.roots(np.arange(lo2, hi2))
-            if a[0] == b[0] and (a == a[0]).all() and (b == b[0]).all():
-                continue
         one = np.uint64(1 << bit)
         cut = lo + int(np.searchsorted((values[lo:hi] & one) != 0, True))
         cut2 = cut if lo2 == lo else lo2 + int(np.searchsorted((values[lo2:hi2] & one) != 0, True))
@@ -166,9 +165,42 @@ def trie_forest(values: np.ndarray, budget: int = BUDGET) -> tuple[np.ndarray, n
                 pairs.append((cut, hi, lo2, cut2, bit - 1, differing + 1))
         pairs.append((cut, hi, cut2, hi2, bit - 1, differing))
         pairs.append((lo, cut, lo2, cut2, bit - 1, differing))
-    roots = forest.roots(np.arange(len(values)))
-    tied = roots != np.arange(len(values))
-    return values[tied].view(np.int64), values[roots[tied]].view(np.int64)
+
+
+def trie_forest(values: np.ndarray, budget: int = BUDGET) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs within the budget, a spanning forest of all such pairs; values are distinct."""
+    values = np.sort(values.view(np.uint64))
+    forest = Forest(len(values))
+    found = [np.empty((0, 2), np.int64)]
+
+    def joined(lo: int, hi: int, lo2: int, hi2: int) -> bool:
+        a, b = forest.roots(np.arange(lo, hi)), forest.roots(np.arange(lo2, hi2))
+        return a[0] == b[0] and (a == a[0]).all() and (b == b[0]).all()
+
+    for lo, hi, lo2, hi2 in near_nodes(values, budget, joined):
+        a, b = forest.roots(np.arange(lo, hi)), forest.roots(np.arange(lo2, hi2))
+        if a[0] == b[0] and (a == a[0]).all() and (b == b[0]).all():
+            continue
+        near = np.bitwise_count(values[lo:hi, None] ^ values[None, lo2:hi2]) <= budget
+        i, j = np.nonzero(near & (a[:, None] != b[None, :]))
+        for (x, y), pair in {(x, y): pair for x, y, *pair in zip(a[i].tolist(), b[j].tolist(), i + lo, j + lo2)}.items():
+            if forest.root(x) != forest.root(y):
+                forest.join(x, y)
+                found.append(np.array([pair], np.int64))
+    one, two = np.concatenate(found).T
+    return values[one].view(np.int64), values[two].view(np.int64)
+
+
+def near_pairs(values: np.ndarray, budget: int) -> np.ndarray:
+    """Whether each two of some values are within the budget, by the same walk."""
+    order = np.argsort(values)
+    values = values[order]
+    near = np.zeros((len(values), len(values)), bool)
+    for lo, hi, lo2, hi2 in near_nodes(values, budget, lambda *_: False):
+        near[lo:hi, lo2:hi2] = np.bitwise_count(values[lo:hi, None] ^ values[None, lo2:hi2]) <= budget
+    out = np.zeros_like(near)
+    out[np.ix_(order, order)] = near | near.T
+    return out
 
 
 def links(distinct: DataFrame, budget: int = BUDGET, group: int = GROUP) -> DataFrame:
@@ -270,14 +302,15 @@ def band_keys(hashes: np.ndarray) -> list[int]:
     return [signed(xxhash.xxh64_intdigest(band.tobytes(), at)) for at, band in enumerate(bands)]
 
 
-@F.pandas_udf(T.StructType().add("id", T.LongType()).add("n", T.LongType()).add("bands", T.ArrayType(T.LongType())))
+@F.pandas_udf(T.StructType([T.StructField(c, T.LongType()) for c in ("id", "n", "fp")]).add("bands", T.ArrayType(T.LongType())))
 def sketches(texts: pd.Series) -> pd.DataFrame:
-    """The identity of each text's shingle set, its size and its band keys."""
+    """The identity of each text's shingle set, its size, its fingerprint and its band keys."""
     out = []
     for text in texts:
         hashes = shingle_set(text)
-        out.append((signed(xxhash.xxh64_intdigest(hashes.tobytes(), SEED)), len(hashes), band_keys(hashes) if len(hashes) else []))
-    return pd.DataFrame(out, columns=["id", "n", "bands"])
+        bands = band_keys(hashes) if len(hashes) else []
+        out.append((signed(xxhash.xxh64_intdigest(hashes.tobytes(), SEED)), len(hashes), signed(majority(hashes)), bands))
+    return pd.DataFrame(out, columns=["id", "n", "fp", "bands"])
 
 
 @F.pandas_udf(T.ArrayType(T.LongType()))
@@ -309,8 +342,8 @@ def shared_counts(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -
 
 
 def similar_within(group: DataFrame, sets: DataFrame, tile: int = TILE, tile_bytes: int = TILE_BYTES) -> DataFrame:
-    """Links (a, b) of similarity 0.8 or more within the groups of the rows (key, id, n, root) of different roots,
-    counted exactly.
+    """Links (a, b) of similarity 0.8 or more within the groups of the rows (key, id, n, root) of different roots: of
+    the pairs that the trie finds within WIDE bits, those whose shared shingles, counted exactly, are enough.
 
     A group above `tile` rows or tile_bytes of sets is cut into tiles, and each two tiles meet in their own place.
     Of the links of a place only a spanning forest leaves it, so their number follows the number of sets.
@@ -338,10 +371,13 @@ def similar_within(group: DataFrame, sets: DataFrame, tile: int = TILE, tile_byt
         ids, sizes, roots, tiles = (some[name].to_numpy() for name in ("id", "n", "root", "tile"))
         left, right = np.flatnonzero(tiles == some["low"].iloc[0]), np.flatnonzero(tiles == some["high"].iloc[0])
         found = []
+        sets = [np.asarray(h) for h in some["hashes"]]
+        near = near_pairs(np.array([majority(h.view(np.uint64)) for h in sets], np.uint64), WIDE)[np.ix_(left, right)]
+        near &= roots[left][:, None] != roots[right][None, :]
+        left, right, near = left[near.any(axis=1)], right[near.any(axis=0)], near[near.any(axis=1)][:, near.any(axis=0)]
         if len(left) and len(right):
-            both = shared_counts([np.asarray(h) for h in some["hashes"]], left, right)
-            alike = 5 * both >= 4 * (sizes[left][:, None] + sizes[right][None, :] - both)
-            alike &= roots[left][:, None] != roots[right][None, :]
+            both = shared_counts(sets, left, right)
+            alike = near & (5 * both >= 4 * (sizes[left][:, None] + sizes[right][None, :] - both))
             above = list(range(len(ids)))
 
             def top(i: int) -> int:
@@ -380,43 +416,52 @@ def similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return met.where(5 * both >= 4 * (F.size("hashes") + F.size("others") - both)).select("a", "b")
 
 
+def fingerprint_pairs(distinct: DataFrame) -> DataFrame:
+    """Pairs (a, b), a < b, of the shingle sets (id, n, fp): a spanning forest of those with fingerprints within BUDGET bits."""
+    worded = distinct.where("n > 0").select("id", "fp")
+    prints = staged(worded.groupBy("fp").agg(F.min("id").alias("rep")), "simhash-prints")
+    copies = worded.join(prints, "fp").where("id <> rep").select(F.col("rep").alias("a"), F.col("id").alias("b"))
+    one, two = (prints.select(F.col("fp").alias(at), F.col("rep").alias(f"rep_{at}")) for at in "ab")
+    near = links(prints.select("fp")).join(one, "a").join(two, "b")
+    return near.select(F.least("rep_a", "rep_b").alias("a"), F.greatest("rep_a", "rep_b").alias("b")).unionByName(copies).distinct()
+
+
 def similar_roots(distinct: DataFrame, rows: DataFrame) -> DataFrame:
-    """node, root of the shingle sets (id, n, bands, least) joined by a similarity of 0.8 or more.
+    """node, root of the shingle sets (id, n, fp, bands, least) joined by a similarity of 0.8 or more.
 
-    Sets that share a band key form a group. In each of ROUNDS rounds, the least set of every group meets the
-    group's others and leaves; groups whose sets are linked to one set by then are done. What is left meets pair by
-    pair in similar_within. Components are found once, from all links.
+    The pairs that blocks and trie find within BUDGET bits are checked first. Then sets that share a band key form a
+    group. In each of ROUNDS rounds, the least set of every group meets those of the group's others that are within WIDE
+    bits of it, and leaves; groups whose sets are linked to one set by then are done. What is left meets by trie in
+    similar_within. Components are found once, from all links.
     """
-    group = distinct.select("id", "n", F.explode("bands").alias("key"))
+    group = distinct.select("id", "n", "fp", F.explode("bands").alias("key"))
     shared = group.groupBy("key").count().where("count > 1").select("key")
     group = staged(group.join(shared, "key"), "simhash-groups")
-    reps = distinct.join(group.select("id").distinct(), "id", "left_semi").select("id", F.col("least.at").alias("at"))
+    pairs = staged(fingerprint_pairs(distinct), "simhash-near")
+    met = group.select("id").union(pairs.select("a")).union(pairs.select("b")).distinct()
+    reps = distinct.join(met, "id", "left_semi").select("id", F.col("least.at").alias("at"))
     texts = rows.select("at", F.col("row.text").cast("string").alias("text"))
     sets = staged(texts.join(reps, "at").select("id", shingle_sets("text").alias("hashes")), "simhash-sets")
-    group = group.withColumn("root", F.col("id"))
-    edges = None
+    edges = staged(similar(pairs, sets), "simhash-similar")
     for step in range(ROUNDS + 1):
-        if step < ROUNDS:
-            first = staged(group.groupBy("key").agg(F.min(F.struct("id", "n", "root")).alias("first")), "simhash-first")
-            ones = first.select("key", F.col("first.id").alias("a"), F.col("first.n").alias("n_a"), F.col("first.root").alias("root_a"))
-            met = group.join(ones, "key").where((F.col("a") < F.col("id")) & (F.col("root") != F.col("root_a")))
-            met = met.where(5 * F.least("n", "n_a") >= 4 * F.greatest("n", "n_a"))
-            pairs = met.select("a", F.col("id").alias("b")).distinct()
-            found = similar(staged(pairs, "simhash-pairs"), sets)
-        else:
-            found = similar_within(group, sets)
-        found = staged(found, "simhash-similar")
-        edges = found if edges is None else edges.unionByName(found)
-        if step == ROUNDS:
-            break
-        group = group.join(ones.select("key", "a"), "key").where("id <> a").drop("a", "root")
         # The least set that one is linked to: equal roots are one component, which is all that rounds need.
         known = edges.groupBy(F.col("b").alias("id")).agg(F.min("a").alias("root"))
         group = group.join(known, "id", "left").withColumn("root", F.coalesce("root", "id"))
         mixed = group.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high")
-        group = staged(group.join(mixed.select("key"), "key", "left_semi").select("id", "n", "key", "root"), "simhash-left")
+        group = staged(group.join(mixed.select("key"), "key", "left_semi").select("id", "n", "fp", "key", "root"), "simhash-left")
         if group.isEmpty():
             break
+        if step < ROUNDS:
+            first = staged(group.groupBy("key").agg(F.min(F.struct("id", "n", "fp", "root")).alias("first")), "simhash-first")
+            ones = first.select("key", F.col("first.id").alias("a"), *(F.col(f"first.{c}").alias(f"{c}_a") for c in ("n", "fp", "root")))
+            met = group.join(ones, "key").where((F.col("a") < F.col("id")) & (F.col("root") != F.col("root_a")))
+            met = met.where(5 * F.least("n", "n_a") >= 4 * F.greatest("n", "n_a"))
+            met = met.where(F.bit_count(F.col("fp").bitwiseXOR(F.col("fp_a"))) <= WIDE)
+            found = similar(staged(met.select("a", F.col("id").alias("b")).distinct(), "simhash-pairs"), sets)
+            group = group.join(ones.select("key", "a"), "key").where("id <> a").drop("a", "root")
+        else:
+            found = similar_within(group, sets)
+        edges = edges.unionByName(staged(found, "simhash-similar"))
     return components(edges)
 
 
@@ -425,10 +470,9 @@ def first_of_each(docs: DataFrame) -> DataFrame:
     first read.
 
     Two texts are linked if the Jaccard similarity of their sets of five-word shingles is 0.8 or more; all
-    texts without words are linked. Candidates share a MinHash band: of 64 SimHash bits, texts of that
-    similarity differ in about ten, far beyond what blocks of bits can route. Rows get a number in a staged
-    copy; numbers, ids, band keys and the sets of candidates are joined, and the winners' numbers, one per
-    component, are joined back.
+    texts without words are linked. Candidates come from the trie joins of SimHash fingerprints (see
+    similar_roots). Rows get a number in a staged copy; numbers, ids, fingerprints, band keys and the sets of
+    candidates are joined, and the winners' numbers, one per component, are joined back.
     """
     row = docs.select(F.struct("*").alias("row"))
     rows = staged(row.select(
@@ -437,7 +481,7 @@ def first_of_each(docs: DataFrame) -> DataFrame:
     prints = rows.select("at", F.col("row.doc_id").alias("doc_id"), "sketch.*")
     least = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "at"))
     distinct = staged(prints.groupBy("id").agg(
-        least.alias("least"), F.any_value("n").alias("n"), F.any_value("bands").alias("bands")), "simhash-distinct")
+        least.alias("least"), *(F.any_value(c).alias(c) for c in ("n", "fp", "bands"))), "simhash-distinct")
     roots = similar_roots(distinct, rows)
     owned = distinct.join(roots, distinct["id"] == roots["node"], "left").select(F.coalesce("root", "id").alias("root"), "least")
     winners = owned.groupBy("root").agg(F.min("least").alias("least")).select(F.col("least.at").alias("at"))

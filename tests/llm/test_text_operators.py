@@ -417,6 +417,29 @@ def test_first_of_each_finds_short_near_copies(spark):
     assert sorted(r.doc_id for r in kept.collect()) == sorted(set(root))
 
 
+@pytest.mark.parametrize("budget", [4, simhash.WIDE])
+def test_near_pairs(budget):
+    values = np.array(noisy(random.Random(2), 300, 5) + [7, 7], np.uint64)
+    want = [[(a ^ b).bit_count() <= budget for b in values.tolist()] for a in values.tolist()]
+    assert simhash.near_pairs(values, budget).tolist() == want
+
+
+def test_stage_joins_fingerprints_by_trie(spark):
+    """Sets that share no MinHash band are joined by their fingerprints, after the exact check."""
+    base, other = [f"w{i}" for i in range(600)], [f"v{i}" for i in range(200)]
+    texts = [" ".join(base), " ".join(base[:-1]), " ".join(other), " ".join([*other[:100], "x", *other[101:]]), "a b c"]
+    prints = [simhash.majority(simhash.shingle_set(t)) for t in texts]
+    near = {(a, b) for b in range(5) for a in range(b) if (prints[a] ^ prints[b]).bit_count() <= simhash.BUDGET}
+    sets = [(i, len(simhash.shingle_set(t)), simhash.signed(p), (i,), []) for i, (t, p) in enumerate(zip(texts, prints))]
+    # Equal bits, but nothing in common with any: the exact check must part them.
+    sets.append((9, 500, sets[4][2], (9,), []))
+    distinct = spark.createDataFrame(sets, "id long, n long, fp long, least struct<at: long>, bands array<long>")
+    assert {(r.a, r.b) for r in simhash.fingerprint_pairs(distinct).collect()} == near | {(4, 9)} and (0, 1) in near
+    rows = [(i, (t,)) for i, t in [*enumerate(texts), (9, " ".join(f"u{i}" for i in range(504)))]]
+    roots = simhash.similar_roots(distinct, spark.createDataFrame(rows, "at long, row struct<text: string>"))
+    assert {(r.node, r.root) for r in roots.collect() if r.node != r.root} == {(b, a) for a, b in near}
+
+
 @pytest.mark.parametrize("columns", [4096, 50])
 def test_shared_counts(monkeypatch, columns):
     monkeypatch.setattr(simhash, "COLUMNS", columns)
