@@ -3,6 +3,7 @@ import math
 
 import pytest
 
+from metrospect.functions import pyast
 from metrospect.functions.pyast import enclosed, parses_cleanly, python_metrics, with_python_metrics
 
 SIMPLE = "def area(width, height):\n    whole = width * height\n    return whole / 2\n"
@@ -64,3 +65,13 @@ def test_spark_stage_captures_failures(spark):
     assert rows[3]["metrics_error"] == "IndentationError" and rows[3]["valid"] is True
     assert rows[4]["metrics_error"] == "IndentationError" and rows[4]["mi"] is None
     assert rows[5]["valid"] is False and rows[5]["sloc"] is None
+
+
+def test_one_walk_meets_every_node_once(monkeypatch):
+    source = "class A:\n    def f(self, a=1 if x else y):\n        if a and b:\n            return [i for i in a if i > -1]\n\nx = 5\n" * 20
+    tree = ast.parse(source)
+    met, visit = [], pyast.Survey.visit
+    monkeypatch.setattr(pyast.Survey, "visit", lambda self, node, *around: (met.append(node), visit(self, node, *around)))
+    found = pyast.Survey(tree)
+    assert len(met) == len(set(met)) == sum(type(node) not in pyast.IDLE for node in ast.walk(tree))
+    assert (found.statements, found.functions, found.total_branches()) == (20 * 5, 20, 20 * 6)
