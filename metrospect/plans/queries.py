@@ -911,14 +911,20 @@ def task_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- streaming --------------------------------------------------------------------------------
 
 
+def arriving_half(docs: DataFrame) -> int:
+    """How many files make one of two batches: two, and more with the splits of the scan, so that files do not grow with the table."""
+    return max(2, docs.rdd.getNumPartitions())
+
+
 def _streamed(spark: SparkSession, sf_dir: str) -> tuple[str, DataFrame]:
-    """documents arriving in four files, dealt so that copies with smaller ids also come later, in two batches."""
+    """documents arriving in files, dealt so that copies with smaller ids also come later, in two batches."""
     arrivals, out = scratch_path(spark, "arrivals"), scratch_path(spark, "stream-out")
     docs = I.table(spark, sf_dir, "documents").withColumnRenamed("doc_id", "seq")
-    docs.repartition(4, "seq").write.parquet(arrivals)
+    half = arriving_half(docs)
+    docs.repartition(2 * half, "seq").write.parquet(arrivals)
     counts = stream.run_curation(
         spark, arrivals, docs.schema, tx.first_text("text"), "seq", ["seq"], out,
-        scratch_path(spark, "stream-state"), files_per_batch=2,
+        scratch_path(spark, "stream-state"), files_per_batch=half,
     )
     return out, counts
 

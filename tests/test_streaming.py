@@ -1,7 +1,7 @@
 from pyspark.sql import functions as F
 
 from metrospect.operators import curation, dedup
-from metrospect.plans import inputs
+from metrospect.plans import inputs, queries
 from metrospect.streaming import curation as stream
 
 COLUMNS = ["id", "sha256", "cc", "sloc", "split"]
@@ -68,3 +68,20 @@ def test_event_time_bounds_the_state(spark, tmp_path):
     curated = stream.curate_within(stream.read_stream(spark, arrivals, df.schema), F.col("text"), event_time="ts", delay="1 hour")
     curated.writeStream.format("parquet").option("checkpointLocation", state).trigger(availableNow=True).start(out).awaitTermination()
     assert spark.read.parquet(out).count() == 3
+
+
+def test_arriving_files_follow_the_table(spark, sf_dir, tmp_path, monkeypatch):
+    """A table of many splits arrives in as many files a batch, so that none of them grows with it."""
+    inputs.table(spark, sf_dir, "documents").repartition(9).write.parquet(str(tmp_path / "documents.parquet"))
+    monkeypatch.setattr(queries, "scratch_path", lambda _, label: str(tmp_path / label))
+    size = max(f.stat().st_size for f in (tmp_path / "documents.parquet").glob("part-*"))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", str(size))
+    spark.conf.set("spark.sql.files.openCostInBytes", "0")
+    try:
+        counts = queries.REGISTRY["stream_drop_counts"](spark, str(tmp_path)).first()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert len(list((tmp_path / "arrivals").glob("part-*"))) > 4
+    assert counts == queries.REGISTRY["drop_reason_counts"](spark, sf_dir).select(counts.__fields__).first()
