@@ -137,6 +137,41 @@ def test_recall_of_a_whole_graph():
     assert one_graph_recall(x / np.linalg.norm(x, axis=1, keepdims=True)) >= 0.9
 
 
+def test_recall_where_norms_differ():
+    """A few vectors twice as long as most: the nearest are not those of nearest direction alone."""
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(5_000, 64))
+    x *= (1 + rng.uniform(size=(5_000, 1)) ** 8) / np.linalg.norm(x, axis=1, keepdims=True)
+    assert one_graph_recall(x) >= 0.95
+
+
+def test_a_walk_lists_a_node_once():
+    x = np.random.default_rng(9).normal(size=(3_000, 16))
+    index, _ = hnsw.Index.build(hnsw.levelled(x), hnsw.layers_of(np.arange(len(x)), hnsw.DEGREE))
+    met, similar = index.search(index.x[:300], 64)
+    assert met.shape == (300, 64)
+    for query, (nodes, value) in enumerate(zip(met, similar)):
+        assert nodes[0] == query and len(set(nodes.tolist()) - {-1}) == 64 and (np.diff(value) <= 0).all()
+
+
+def test_few_graphs_at_size(spark):
+    """Work grows with the number of graphs that a query meets."""
+    shards, parts, blocks = hnsw.divided(615_000, 615_000 * (64 * 4 + 128), 30_750 * (64 * 4 + 128))
+    assert shards * parts <= 16 and blocks == 1
+    x = np.random.default_rng(10).normal(size=(400, 8))
+    x = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
+    vectors = hnsw.usable_vectors(table(spark, list(enumerate(x.tolist())))).selectExpr("*", "size(v) AS dim")
+    assert hnsw.build_index(vectors, 1, 1).count() == 1
+
+
+def test_scores_of_doubles_and_extreme_norms(spark):
+    rows = [(0, [1 / 3, 0.1]), (1, [0.1, 1 / 3]), (2, [1e200, 1e200]), (3, [1e-200, 0.0])]
+    docs = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = [(r.rank, r.vec_id, r.score) for r in hnsw.search(docs, 20, 20).orderBy("rank").collect()]
+    assert [g[:2] for g in got] == [(1, 2), (2, 1), (3, 3)]
+    assert [g[2] for g in got] == [pytest.approx(s, rel=1e-15) for s in (1e200 / 3 + 1e199, 0.2 / 3, 1e-200 / 3)]
+
+
 def test_norms_far_apart(spark):
     """One long vector must not drown the others' products."""
     rng = np.random.default_rng(7)
