@@ -338,7 +338,7 @@ class Pieces:
 
     def decode(self, ids: list[int]) -> str:
         """The text of ids: control pieces are silent, the space mark that encoding put first goes, bytes that are
-        no UTF-8 become U+FFFD each."""
+        no UTF-8 become U+FFFD each, also if only a silent piece parts them."""
         parts = [self.surfaces[i] for i in ids]
         if self.prefix or self.tidy:
             for place, i in enumerate(ids):
@@ -351,7 +351,13 @@ class Pieces:
                     parts[place] = parts[place][1:]
                 if parts[place] or (marked and not self.tidy):
                     break
-        return b"".join(parts).decode("utf-8", "each_byte_replaced")
+        runs, start = [], 0
+        for _ in range(parts.count(b"")):
+            place = parts.index(b"", start)
+            runs.append(b"".join(parts[start:place]))
+            start = place + 1
+        runs.append(b"".join(parts[start:]))
+        return "".join(run.decode("utf-8", "each_byte_replaced") for run in runs)
 
 
 MODELS: dict[str, Pieces] = {}

@@ -91,6 +91,12 @@ def test_decoding_any_ids(ids):
     assert own.decode(ids) == library.decode(ids)
 
 
+@pytest.mark.parametrize("ids", [[197, 1, 131], [197, 131], [1, 197, 2, 2, 131, 2], [229, 1, 191, 165], [1, 29871, 197, 131, 2]])
+def test_bytes_on_both_sides_of_a_control_piece(ids):
+    own, library = MODELS["plain"]
+    assert own.decode(ids) == library.decode(ids)
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.text("aeinorst▁.,1é漢", max_size=80))
 def test_both_ways_of_merging(text):
